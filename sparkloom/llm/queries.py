@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloom.llm.decontaminate import find_contamination
 from sparkloom.llm.embeddings import embedding_groups
+from sparkloom.llm.html_text import extract_text
+from sparkloom.llm.language import fit_languages, held_out, predict_languages
 from sparkloom.llm.repeats import remove_repeats
 from sparkloom.llm.shared import table
 from sparkloom.llm.simhash import simhash_groups
+from sparkloom.llm.tokens import count_tokens
+from sparkloom.llm.urls import judge_urls
+
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -24,7 +41,39 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_suffix_array_dedup, op4_simhash_near_dedup)}
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id"))
+    model = fit_languages(docs.where("not held_out"))
+    return predict_languages(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_benchmark_decontamination,
+        op3_suffix_array_dedup,
+        op4_simhash_near_dedup,
+        op5_url_filters,
+        op6_token_counts,
+        op7_language_id,
+        op9_html_extraction,
+    )
+}
 
 ORACLE_SQL = {
     "op1_embedding_near_dedup": """
@@ -43,5 +92,22 @@ SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links,
   coalesce((SELECT least(v.vec_id, min(r.b)) FROM reach r WHERE r.a = v.vec_id), v.vec_id) AS component_id,
   coalesce((SELECT least(v.vec_id, min(r.b)) FROM reach r WHERE r.a = v.vec_id), v.vec_id) = v.vec_id AS kept
 FROM v
+""",
+    "op5_url_filters": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM parts
+), rules(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), ranked AS (
+  SELECT s.page_id, s.host, s.path, r.h || r.p AS rule, r.v,
+    row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS nth
+  FROM split s LEFT JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WHERE nth = 1
 """,
 }
