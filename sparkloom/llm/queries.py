@@ -8,7 +8,9 @@ from sparkloom.llm.decontaminate import find_contamination
 from sparkloom.llm.embeddings import embedding_groups
 from sparkloom.llm.html_text import extract_text
 from sparkloom.llm.language import fit_languages, held_out, predict_languages
+from sparkloom.llm.mixing import mix_documents
 from sparkloom.llm.repeats import remove_repeats
+from sparkloom.llm.secret_scan import fit_forest, labelled_findings, scan_secrets
 from sparkloom.llm.shared import table
 from sparkloom.llm.simhash import simhash_groups
 from sparkloom.llm.tokens import count_tokens
@@ -57,10 +59,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = fit_forest(labelled_findings(spark))
+    found = scan_secrets(table(spark, sf_dir, "documents"), forest, ["doc_id"])
+    return found.select("doc_id", "nth", "start", "n_chars", F.sha2("secret", 256).alias("secret_sha256"), "probability")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "copies")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,17 +84,19 @@ QUERIES = {
         op5_url_filters,
         op6_token_counts,
         op7_language_id,
+        op8_secret_scans,
         op9_html_extraction,
+        op10_mixing_sources,
     )
 }
 
 ORACLE_SQL = {
     "op1_embedding_near_dedup": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), ok AS (
   SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9

@@ -39,20 +39,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_rows(df: DataFrame, id_col: str, *cols: str, key: str = "row_key") -> DataFrame:
-    """``df`` with a long ``key`` that tells its rows apart, and only ``id_col`` and ``cols`` besides.
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """True if the ids are integers, present and unique: one small aggregation over that column alone."""
+    if dict(df.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    counts = df.groupBy(F.col(id_col).alias("id")).count()
+    return not counts.where("count > 1 or id is null").limit(1).count()
 
-    The key is the id itself where ids are integers, present and unique (checked by one small aggregation over that
-    column); else a hash of the id and ``cols``, so that rows with one key are exact repeats and share every verdict.
+
+def keyed_rows(df: DataFrame, id_col: str, *cols: str, key: str = "row_key", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a long ``key`` that tells its rows apart, and only ``id_col``, ``cols`` and ``extra`` besides.
+
+    The key is the id itself if ids are unique; else a hash of the id and ``cols``, so that rows with one key are
+    exact repeats in these and share every verdict.
     """
-    kind = dict(df.dtypes)[id_col]
-    rows = df.select(id_col, *cols)
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        ids = F.col(id_col)
-        odd = df.groupBy(ids).count().where((F.col("count") > 1) | ids.isNull()).limit(1).count()
-        if not odd:
-            return rows.withColumn(key, ids.cast("long"))
-    return rows.withColumn(key, F.xxhash64(id_col, *cols))
+    rows = df.select(id_col, *cols, *extra)
+    return rows.withColumn(key, F.col(id_col).cast("long") if unique_ids(df, id_col) else F.xxhash64(id_col, *cols))
 
 
 def estimated_bytes(df: DataFrame) -> int:

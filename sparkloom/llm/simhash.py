@@ -206,7 +206,9 @@ def near_fingerprints(classes: DataFrame, radius: int = 4, keep: int | None = No
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The id, fp (long), component (smallest id reachable over links of ``radius`` bits at most), for each row.
+    """row_key, the id, fp (long), component (smallest id reachable over links of ``radius`` bits at most) and kept.
+
+    kept is true for one row_key of each component: that of the smallest id, nulls last.
 
     Texts are lower-cased over A-Z and cut at ASCII white space; shingles of ``words`` words, repeats included, are
     hashed with XXH64 (seed 42); a bit is set if set in over half of them. Fewer words make one shingle; none (null,
@@ -215,9 +217,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no rows. Other columns are ignored.
     """
     found = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = written(found.groupBy("fp").agg(F.min(id_col).alias("smallest"), F.min("row_key").alias("node")), "classes")
+    classes = written(found.groupBy("fp").agg(F.min(id_col).alias("smallest"), F.min("row_key").alias("node"), F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row_key")).alias("first")), "classes")
     groups = connected_components(near_fingerprints(classes.select("fp", "node"), radius))
     placed = classes.join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    names = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_fp = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(id_col, "fp", F.col("component_id").alias("component"))
+    names = placed.groupBy("root").agg(F.min("smallest").alias("component"), F.min("first").alias("first"))
+    by_fp = placed.select("fp", "root").join(names, "root").select("fp", "component", F.col("first.row_key").alias("first"))
+    return found.join(by_fp, "fp").select("row_key", id_col, "fp", "component", (F.col("row_key") == F.col("first")).alias("kept"))
