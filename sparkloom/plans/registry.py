@@ -26,3 +26,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(_SQL)
+
+
+from sparkloom.plans import catalogue  # noqa: E402, F401  registers the queries
