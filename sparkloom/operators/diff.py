@@ -14,36 +14,39 @@ def starting_line(hunk: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(hunk, F.lit("")), HUNK_START, 1), F.lit("")).try_cast("int")
 
 
+def _named(lines: Column) -> Column:
+    """The path that the last ``+++ b/`` line of ``lines`` names; null without one."""
+    return F.substr(F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), lines), lambda x: x.isNull() | x.startswith("+++ b/")), -1), F.lit(7))
+
+
 def split_hunks(diffs: DataFrame, key: str, diff: str, attribution: str = "compat", floor: int = 30) -> DataFrame:
     """(key, pos, path, hunk) of each hunk over ``floor`` characters, in order from 0.
 
     "compat" gives a hunk the path named last before the next hunk starts, so that a file's last hunk goes to the next
     file, as callers of the analysis have always seen; "strict" gives it the path named before it starts. Path lines
-    are no part of a hunk; null diffs have none.
+    are no part of a hunk; null diffs have none. Each diff is cut within its row: nothing is shuffled.
     """
-    lines = diffs.select(key, F.posexplode(F.split(diff, "\n")).alias("at", "line"))
-    order = Window.partitionBy(key).orderBy("at")
-    is_path = F.col("line").startswith("+++ b/")
-    lines = lines.withColumn("named", F.when(is_path, F.expr("substring(line, 7)"))).withColumn("is_path", is_path)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("nth", F.sum((F.col("line").startswith("@@") & ~is_path).cast("int")).over(so_far)).withColumn("path_now", F.coalesce(F.last("named", True).over(so_far), F.lit("")))
-    wanted = lines.where("nth > 0").groupBy(key, "nth").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_path"), F.struct("at", "line")))), lambda x: x["line"]), "\n").alias("hunk"),
-        (F.max_by("path_now", "at") if attribution == "compat" else F.min_by("path_now", "at")).alias("path"),
+    parts = F.transform(F.split(diff, r"\n(?=@@)"), lambda p: F.split(p, "\n"))
+    cut = diffs.select(key, parts.alias("__parts")).withColumn("__paths", F.transform("__parts", _named))
+    last = lambda i: F.coalesce(F.element_at(F.filter(F.concat(F.array(F.lit("")), F.slice("__paths", 1, i)), lambda x: x.isNotNull()), -1), F.lit(""))
+    hunks = F.transform(
+        "__parts",
+        lambda lines, i: F.struct(
+            i.alias("nth"), lines[0].startswith("@@").alias("starts"), last(i + (1 if attribution == "compat" else 0)).alias("path"),
+            F.array_join(F.filter(lines, lambda x: ~x.startswith("+++ b/")), "\n").alias("hunk"),
+        ),
     )
-    kept = wanted.where(F.length(text.strip(F.col("hunk"))) > floor)
-    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy("nth")) - 1).cast("int")).select(key, "pos", "path", "hunk")
+    kept = F.filter(hunks, lambda h: h["starts"] & (F.length(text.strip(h["hunk"])) > floor))
+    return cut.select(key, F.posexplode(kept).alias("pos", "h")).select(key, "pos", "h.path", "h.hunk")
 
 
 def line_counts(diffs: DataFrame, key: str, diff: str) -> DataFrame:
-    """(key, path, first_at, added, removed, is_test) of each file a diff names."""
-    lines = diffs.select(key, F.posexplode(F.split(diff, ANY_LINE_END)).alias("at", "line"))
-    lines = lines.withColumn("path", F.last(F.when(F.col("line").startswith("+++ b/"), F.expr("substring(line, 7)")), True).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    counts = lines.where("path is not null and path <> ''").groupBy(key, "path").agg(
-        F.min("at").alias("first_at"),
-        F.count_if(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).alias("added"),
-        F.count_if(F.col("line").startswith("-") & ~F.col("line").startswith("---")).alias("removed"),
-    )
+    """(key, path, first_at, added, removed, is_test) of each file a diff names; only counts are shuffled."""
+    count = lambda lines, sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+    sections = F.split(F.concat(F.lit("\n"), F.col(diff)), rf"(?:{ANY_LINE_END})(?=\+\+\+ b/)")
+    cut = diffs.select(key, F.posexplode(F.transform(F.slice(sections, 2, 1 << 30), lambda p: F.split(p, ANY_LINE_END))).alias("at", "lines"))
+    rows = cut.select(key, F.expr("substring(lines[0], 7)").alias("path"), "at", count(F.col("lines"), "+").alias("a"), count(F.col("lines"), "-").alias("r")).where("path <> ''")
+    counts = rows.groupBy(key, "path").agg(F.min("at").alias("first_at"), F.sum("a").alias("added"), F.sum("r").alias("removed"))
     return counts.withColumn("is_test", paths.is_test_path(F.col("path")))
 
 
