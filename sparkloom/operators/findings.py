@@ -30,13 +30,13 @@ def within_budget(rows: DataFrame, key: str, order: list[Column], line: str, max
 
 
 def validated(replies: DataFrame, reply: str = "reply", candidates: str = "candidates") -> DataFrame:
-    """``replies`` with one row a supported finding: concern, evidence, confidence, suggested_check, is_inference, source_comments.
+    """``replies`` with one row a supported finding: reply_pos, concern, evidence, confidence, suggested_check, is_inference, source_comments.
 
     ``reply`` is JSON text ({"concerns": [...]}), ``candidates`` the array that source_indices point into. Findings
     without text, evidence or a valid index go; a confidence outside 0 to 1 becomes null; only true is an inference.
     An unreadable reply has no findings.
     """
-    c = F.explode(F.from_json(reply, REPLY)["concerns"]).alias("c")
+    c = F.posexplode(F.from_json(reply, REPLY)["concerns"]).alias("reply_pos", "c")
     at = F.filter(F.col("c.source_indices"), lambda i: i.rlike(r"^-?\d+$"))
     whole = F.transform(at, lambda i: i.try_cast("int"))
     good = F.filter(whole, lambda i: (i >= 0) & (i < F.size(candidates)))
