@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkloom.functions import paths, text
 
 HUNK_START = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-ANY_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+ANY_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def starting_line(hunk: Column) -> Column:
