@@ -109,7 +109,7 @@ def scan_secrets(docs: DataFrame, forest: PipelineModel, keep: list[str], text_c
     that repeat give their own findings each; a null path is no test path; empty tables give no rows.
     """
     text = F.col("__text")
-    mark = F.concat(F.lit(""), F.hex(F.xxhash64(text)), F.lit(""))
+    mark = F.concat(F.lit("\ue000"), F.hex(F.xxhash64(text)), F.lit("\ue000"))
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.struct(*keep).alias("__who"), path.alias("__path"), F.col(text_col).alias("__text"))
     parts = rows.select("__who", "__path", F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark)), mark).alias("__parts"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-WHITE = " \t\n\r\x0b\x0c\x85\xa0  -     　"  # Unicode White_Space, a fixed value
+WHITE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space, a fixed value
 
 
 class Counter:
