@@ -88,6 +88,11 @@ def first_of_each_body(hits: DataFrame, body: str, order: list[Column], by: tupl
     return hits.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
+def first_ids(rows: DataFrame, body: str, id_col: str) -> DataFrame:
+    """The lowest id of each body, the same way, over a whole corpus: digests are shuffled, texts are not."""
+    return rows.groupBy(F.sha2(text.body_key(F.col(body)), 256).alias("__body")).agg(F.min(id_col).alias(id_col)).drop("__body")
+
+
 def long_enough(hunk: Column) -> Column:
     return F.length(text.strip(F.coalesce(hunk, F.lit("")))) >= MIN_HUNK
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window, functions as F
 
 from sparkloom.functions import paths, retry, text
@@ -70,8 +72,7 @@ def a12(spark, d):
 
 @query("g1_first_of_each_body", r"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def g1(spark, d):
-    rows = t.table(spark, d, "documents").select("doc_id", F.xxhash64(text.body_key(F.col("text"))).alias("h"), text.body_key(F.col("text")).alias("body"))
-    return retrieval.first_of_each_body(rows, "body", [F.asc("doc_id")], ()).select("doc_id")
+    return retrieval.first_ids(t.table(spark, d, "documents"), "text", "doc_id").select("doc_id")
 
 
 @query("f2_pool_semi_join", "SELECT doc_id FROM documents WHERE (source, lang) IN (SELECT source, lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
@@ -197,7 +198,7 @@ def a13(spark, d):
 @query("a14_pool_sizes", "SELECT o_orderpriority, count(*) AS n_rows FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_orderpriority")
 def a14(spark, d):
     pool = t.table(spark, d, "orders").withColumnsRenamed({"o_orderdate": "comment_created_at", "o_orderpriority": "author"})
-    return evalsplit.pool_sizes(evalsplit.held_out_pool(pool.withColumn("comment_created_at", F.col("comment_created_at").cast("timestamp")), __import__("datetime").datetime(1996, 1, 1)), ["author"]).withColumnRenamed("author", "o_orderpriority")
+    return evalsplit.pool_sizes(evalsplit.held_out_pool(pool.withColumn("comment_created_at", F.col("comment_created_at").cast("timestamp")), datetime(1996, 1, 1)), ["author"]).withColumnRenamed("author", "o_orderpriority")
 
 
 @query("g7_even_subsample", "WITH n AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM orders), i AS (SELECT unnest(range(0, 7)) AS i) SELECT DISTINCT o_orderkey, o_orderpriority FROM n JOIN i ON c <= 7 OR pos = floor(i * (c / 7.0::DOUBLE))")
