@@ -16,7 +16,13 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FRAME_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|comments?|comment-\w+|replies|disqus|pagination|pager|toolbar|skip|tags|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+FRAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent "
+    "notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended recommendations widget comment comments replies disqus pagination pager toolbar skip tags "
+    "copyright legal disclaimer".split()
+)
+# Names that only tell of a frame elsewhere, and parts of the article itself.
+NOT_FRAMES = re.compile(r"^(?:with|without|has|no)[-_]|^(?:article|post|entry|story|content|main|page)[-_](?:header|head|title|body|text|content|main)$")
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -51,7 +57,7 @@ class Lines(HTMLParser):
             frame = False
         main = tag in ("article", "main")
         for name, value in attrs:
-            if name in ("class", "id") and value and FRAME_NAMES.search(value) and tag not in ("body", "html", "main"):
+            if name in ("class", "id") and value and tag not in ("body", "html", "main", "article") and names_frame(value):
                 frame = True
             elif name == "role" and value in FRAME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 frame = True
@@ -105,6 +111,17 @@ class Lines(HTMLParser):
                 self.linked += len(data)
 
 
+def names_frame(names: str, known: dict[str, bool] = {}) -> bool:  # noqa: B006  names repeat from page to page
+    """Whether a class or id attribute names a frame: a word of it does, and it is no name of an article's part."""
+    found = known.get(names)
+    if found is None:
+        tokens = [t for t in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split() if not NOT_FRAMES.search(t)]
+        found = any(not FRAME_WORDS.isdisjoint(re.split(r"[-_]+", t)) for t in tokens)
+        if len(known) < 100_000:
+            known[names] = found
+    return found
+
+
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)

@@ -388,6 +388,16 @@ def test_html_marked_article():
     assert html_text.main_text(page) == "A & B\n\none two <x>\n\nthree &am"
 
 
+def test_html_names_of_frames():
+    for names in ("ad", "top-nav", "siteFooter", "cookie_notice", "post comments", "related-posts"):
+        assert html_text.names_frame(names), names
+    for names in ("article-header", "with-sidebar", "content", "reading", "commentary", "entry-content has-footer"):
+        assert not html_text.names_frame(names), names
+    body = "<p>" + "Many words that belong to the article stand here. " * 5 + "</p>"
+    page = f"<div class='page with-sidebar'><article class='post sidebar-left'><div class='entry-header'><h1>Head</h1></div>{body}</article></div><div id='sidebar'>{body}</div>"
+    assert html_text.main_text(page).split("\n\n")[0] == "Head" and html_text.main_text(page).count("Many words") == 5
+
+
 def test_html_by_density():
     para = "A long sentence of the article that goes on for a while, with words enough to be dense. " * 4
     page = "<body>" + "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(12)) + f"<h2>Title</h2><p>{para}</p><p>{para}</p><p>Short end of it, between long ones.</p><p>{para}</p>" + "".join(f"<span><a href='/{i}'>more {i}</a></span><br>" for i in range(12))
