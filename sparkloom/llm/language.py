@@ -50,11 +50,11 @@ class LanguageModel:
     def __init__(self, x: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 20.0, decay: float = 1e-4):
         self.languages = sorted(set(label.tolist()))
         self.code = codewords(len(self.languages))
-        y = self.code[np.searchsorted(self.languages, label)]
+        y = self.code[np.searchsorted(self.languages, label)].astype(x.dtype)
         share = np.bincount(np.searchsorted(self.languages, label))
         weight = (1 / share)[np.searchsorted(self.languages, label)]
-        weight = weight / weight.sum()
-        self.weights, self.bias = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+        weight = (weight / weight.sum()).astype(x.dtype)
+        self.weights, self.bias = np.zeros((x.shape[1], y.shape[1]), x.dtype), np.zeros(y.shape[1], x.dtype)
         speed, speed_b = 0.0, 0.0
         for _ in range(rounds):
             pull = -y / (1 + np.exp(np.clip(y * (x @ self.weights + self.bias), -30, 30))) * weight[:, None]
@@ -98,13 +98,16 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     got = picked.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got.column("x")]).astype(float)
-    return LanguageModel(x, np.array(got.column("lang").to_pylist()))
+    x, labels = np.empty((got.num_rows, DIMS), np.float32), np.array(got.column("lang").to_pylist())
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got, row
+    return LanguageModel(x, labels)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(lang, features(t).astype(np.float32).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _letter(t)]
+        rows = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _letter(t)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
 
