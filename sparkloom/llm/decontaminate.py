@@ -166,21 +166,22 @@ def _verified(similarity: float, min_tokens: int):
     return rows
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, min_tokens: int = 12, min_item: int = 5, filter_bits: int = 24, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, min_tokens: int = 12, min_item: int = 5, max_filter_bits: int = 28, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """A row for each document and benchmark item that overlap: id, item, n_tokens, n_matches, doc_start, item_start.
 
     Tokens are lower-cased words. An overlap is an aligned run of tokens, substitutions allowed, insertions not, with
     at least ``similarity`` of its tokens equal and ``min_tokens`` long; items with fewer tokens have to overlap whole.
     Items of fewer than ``min_item`` tokens, null or empty ones never match. The longest overlap of a pair is given.
 
-    Spaced seeds: hashes of the tokens that four fixed masks keep. A bit filter of fixed size, whatever the benchmark's,
-    goes to all tasks; seeds of documents that pass it join the test seeds by hash; diagonals of hits are verified
-    against the whole text. Candidates go to the documents by broadcast if their files are small, else by a join.
+    Spaced seeds: hashes of the tokens that four fixed masks keep. A bit filter of sixteen bits a test seed, and of
+    2 ** ``max_filter_bits`` (32 MB) at most, goes to all tasks; seeds of documents that pass it join the test seeds by
+    hash, so a fuller filter costs rows, never results; diagonals of hits are verified against the whole text. Candidates go to the documents by broadcast if their files are small, else by a join.
     Null and empty texts have no rows; rows that repeat an id give one for each different text; empty tables give none.
     """
     items = keyed_rows(benchmark, item_col, item_text_col, key="item_key").select("item_key", F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
     items = written(items.where("item_text is not null").dropDuplicates(["item_key"]), "items")
     test = written(items.select("item_key", "item_text").mapInArrow(_test_seeds(min_item), "hash long, item_key long, item_pos int"), "seeds")
+    filter_bits = min(max_filter_bits, max(20, (16 * test.count()).bit_length()))
     bits = test.select("hash").mapInArrow(_filter_words(filter_bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words, filled = bits.column("word").to_numpy(), bits.column("bits").to_numpy().view(np.uint64)
     rows = keyed_rows(docs, id_col, text_col)
