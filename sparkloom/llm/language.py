@@ -86,15 +86,17 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes lowest, each whole. Counting features runs on the executors; the driver gets ``fit_rows`` vectors.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("hash"))
-    n_names = rows.select("lang").distinct().count()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows)
+    n_names = counts.count()
     if not n_names:
         return None
+    each = max(1, fit_rows // n_names)
+    # Hashes are even, so this bound passes about 1.5 * each rows of a language, however many it has.
+    bound = F.least(F.lit(1.0), F.lit(1.5 * each + 100) / F.col("count")) * F.lit(2.0**64) - F.lit(2.0**63)
+    near = rows.select("lang", "hash").join(F.broadcast(counts.select("lang", bound.alias("bound"))), "lang").where(F.col("hash") <= F.col("bound"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    lowest = rows.select("lang", "hash", nth.alias("nth")).where(F.col("nth") <= max(1, fit_rows // n_names)).groupBy("lang").agg(F.max("hash").alias("last")).orderBy("lang").limit(fit_rows).collect()
-    in_sample = F.lit(False)
-    for name, last in lowest:
-        in_sample |= (F.col("lang") == name) & (F.col("hash") <= last)
-    picked = rows.where(in_sample).where(F.col("text").isNotNull()).select("lang", "text")
+    lowest = near.select("lang", "hash", nth.alias("nth")).where(F.col("nth") <= each).groupBy("lang").agg(F.max("hash").alias("last"))
+    picked = rows.join(F.broadcast(lowest), "lang").where((F.col("hash") <= F.col("last")) & F.col("text").isNotNull()).select("lang", "text")
     got = picked.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
