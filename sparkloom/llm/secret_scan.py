@@ -94,7 +94,8 @@ def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
 
 def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8) -> PipelineModel:
     """A random forest over ``findings`` (before, secret, path, label), which have to be a bounded table."""
-    rows = findings.select(*(c.alias(n) for n, c in features(F.col("secret"), F.col("before"), F.col("path")).items()), "label").coalesce(1)
+    rows = findings.select(*(c.alias(n) for n, c in features(F.col("secret"), F.col("before"), F.col("path")).items()), "label")
+    rows = written(rows.coalesce(1), "findings")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     model: RandomForestClassificationModel = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(assemble.transform(rows))
     return PipelineModel([assemble, model])
