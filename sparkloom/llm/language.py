@@ -65,18 +65,26 @@ class LanguageModel:
         # A bit weighs as much as its classifier is right on the fitting rows.
         right = ((np.sign(x @ self.weights + self.bias) == y) * weight[:, None]).sum(axis=0)
         self.trust = np.clip(right - 0.5, 1e-3, None) / np.clip(right - 0.5, 1e-3, None).sum()
+        # The loss beyond which no codeword is near: from that of fitting rows, a part of the way to that of undecided bits.
+        usual = float(np.quantile(self.losses(x).min(axis=1), 0.99))
+        self.limit = usual + 0.4 * max(0.0, float(np.log(2)) - usual)
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores (share of exp(-loss), 0 to 1) and whether the two nearest codewords are too close to call."""
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """The trusted loss of each row for each codeword: 0 if every bit is sure, log 2 if none is decided."""
         margin = x @ self.weights + self.bias
-        loss = np.stack([(self.trust * np.log1p(np.exp(np.clip(-margin * c, -30, 30)))).sum(axis=1) for c in self.code], axis=1)
+        return np.stack([(self.trust * np.log1p(np.exp(np.clip(-margin * c, -30, 30)))).sum(axis=1) for c in self.code], axis=1)
+
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores (share of exp(-loss), 0 to 1), whether the two nearest codewords are too close to call, and
+        whether even the nearest is beyond ``limit``."""
+        loss = self.losses(x)
         fit = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * len(self.trust))
         score = fit / fit.sum(axis=1, keepdims=True)
         order = np.argsort(loss, axis=1, kind="stable")
         best = order[:, 0]
         top = score[np.arange(len(x)), best]
         second = score[np.arange(len(x)), order[:, 1]] if score.shape[1] > 1 else np.zeros(len(x))
-        return [self.languages[i] for i in best], top, top - second < 0.1
+        return [self.languages[i] for i in best], top, top - second < 0.1, loss.min(axis=1) > self.limit
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 6000) -> LanguageModel | None:
@@ -113,7 +121,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
 
-def _predicted(model: LanguageModel | None):
+def _predicted(model: LanguageModel | None, reject: bool = False):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -121,24 +129,26 @@ def _predicted(model: LanguageModel | None):
             some = [i for i, t in enumerate(texts) if t and model and _letter(t)]
             for k in range(0, len(some), 256):
                 at = some[k : k + 256]
-                found, s, u = model.predict(np.stack([features(texts[i]) for i in at]))
+                found, s, u, far = model.predict(np.stack([features(texts[i]) for i in at]))
                 score[at], unsure[at] = s, u
-                for i, name in zip(at, found):
-                    lang[i] = name
+                for i, name, out in zip(at, found, far | u):
+                    if not (reject and out):
+                        lang[i] = name
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], names=["who", "lang_pred", "score", "ambiguous"])
 
     return rows
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", reject: bool = False) -> DataFrame:
     """``keep`` with lang_pred (a learned language, or ``und``), score (0 to 1) and ambiguous for every row.
 
     Only the whole text is an input. Null, empty and letterless texts are ``und`` with score 0, as are all texts if
-    nothing could be learned. Nothing is shuffled; repeated rows are kept; empty tables give no rows.
+    nothing could be learned. With ``reject``, so are texts that no codeword is near (``LanguageModel.limit``) and
+    texts whose two nearest codewords tie; these keep their score and ambiguous. Nothing is shuffled; repeated rows are kept; empty tables give no rows.
     """
     kinds = dict(docs.dtypes)
     who = "struct<" + ", ".join(f"{c}: {kinds[c]}" for c in keep) + ">"
-    found = docs.select(F.struct(*keep).alias("who"), F.col(text_col).alias("text")).mapInArrow(_predicted(model), f"who {who}, lang_pred string, score double, ambiguous boolean")
+    found = docs.select(F.struct(*keep).alias("who"), F.col(text_col).alias("text")).mapInArrow(_predicted(model, reject), f"who {who}, lang_pred string, score double, ambiguous boolean")
     return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "lang_pred", "score", "ambiguous")
 
 
