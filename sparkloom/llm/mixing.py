@@ -17,7 +17,7 @@ Targets = dict[str, "dict[str, float] | float"]
 
 
 class Bags:
-    """A text's hashed word counts (square roots, unit length) and its number of words (cut at ASCII white space)."""
+    """A text's hashed word counts and its number of words (cut at ASCII white space)."""
 
     def __init__(self, dims: int, memory: int = 400_000):
         self.dims, self.memory, self.known = dims, memory, {}
@@ -33,48 +33,124 @@ class Bags:
                 if w not in known:
                     known[w] = xxhash.xxh32_intdigest(w.strip(b".,;:!?\"'()")) % self.dims
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        x = np.sqrt(np.bincount(at, minlength=self.dims))
-        return x / max(np.sqrt((x * x).sum()), 1e-12), len(words)
+        return np.bincount(at, minlength=self.dims), len(words)
 
 
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = 8, dims: int = 512, fit_rows: int = 4096) -> np.ndarray:
-    """Unit topic centroids (spherical k-means), fitted on the at most ``fit_rows`` rows whose ids hash lowest."""
+def with_bags(docs: DataFrame, keep: list[str], text_col: str = "text", dims: int = 512) -> DataFrame:
+    """``keep`` with bag (hashed word counts of the whole text, null without words) and n_tokens."""
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = Bags(dims)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Bags(dims)
+        for batch in batches:
+            found = [count(t) if t else (None, 0) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.uint32).tobytes() if n else None for x, n in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["who", "bag", "n_tokens"])
+
+    kinds = dict(docs.dtypes)
+    who = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
+    found = docs.select(F.struct(*keep).alias("who"), F.col(text_col).alias("text")).mapInArrow(rows, f"who {who}, bag binary, n_tokens long")
+    return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "bag", "n_tokens")
+
+
+def _units(bags: pa.Array, dims: int) -> np.ndarray:
+    """Square roots of the counts in each bag, which is not null, to unit length."""
+    x = np.sqrt(np.frombuffer(b"".join(bags.to_pylist()), np.uint32).reshape(-1, dims).astype(np.float64))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+SUMS = "topic long, n long, fit double, total binary"
+
+
+def _cell_sums(centroids: np.ndarray):
+    """For each task: of every cell the number of rows and the sum of their vectors; and, as topic -1, the row that fits worst."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, worst = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape), (2.0, None)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                x = _units(batch.column(0).slice(k, 2048), centroids.shape[1])
+                score = x @ centroids.T
+                cell, best = score.argmax(axis=1), score.max(axis=1)
+                n += np.bincount(cell, minlength=len(n))
+                total += (np.arange(len(n))[:, None] == cell).astype(float) @ x
+                if best.min() < worst[0]:
+                    worst = (float(best.min()), x[best.argmin()])
+        some = np.flatnonzero(n)
+        if len(some):
+            sums = [total[i].tobytes() for i in some] + [worst[1].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1]), pa.array([*n[some].tolist(), 1]), pa.array([0.0] * len(some) + [worst[0]]), pa.array(sums, pa.binary())], names=["topic", "n", "fit", "total"])
+
+    return rows
+
+
+def _added(most: int):
+    """The sums of a cell's rows added up; of topic -1 the ``most`` rows that fit worst."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, worst = {}, []
         for batch in batches:
-            rows = [bag(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x, n in rows if n], pa.binary())], names=["x"])
+            for r in batch.to_pylist():
+                if r["topic"] < 0:
+                    worst = sorted([*worst, (r["fit"], r["total"])])[:most]
+                else:
+                    n, total = sums.get(r["topic"], (0, 0.0))
+                    sums[r["topic"]] = (n + r["n"], total + np.frombuffer(r["total"]))
+        out = [(k, n, 0.0, t.tobytes()) for k, (n, t) in sums.items()] + [(-1, 1, fit, t) for fit, t in worst]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.binary()))], names=["topic", "n", "fit", "total"])
+
+    return rows
+
 
-    hashed = F.xxhash64(id_col)
-    last = docs.select(hashed.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512, start_rows: int = 4096, rounds: int = 20, close: float = 1e-6) -> np.ndarray:
+    """Unit topic centroids: spherical k-means over all ``bags``.
+
+    It starts from the centroids of at most ``start_rows`` rows whose keys hash lowest. In each round the executors assign
+    every row and add up vectors and counts of each cell; only these sums come to the driver. An empty cell takes a row
+    that fits worst. It ends when no centroid moves by more than ``close`` (one less the cosine), or after ``rounds``.
+    """
+    words, hashed = bags.where("n_tokens > 0"), F.xxhash64(key_col)
+    last = words.select(hashed.alias("h")).orderBy("h").limit(start_rows).agg(F.max("h")).first()[0]
     if last is None:
         return np.zeros((1, dims))
-    sample = docs.where((hashed <= last) & F.col(text_col).isNotNull()).select(text_col).mapInArrow(bags, "x binary").toArrow().column("x")
-    x = np.array([np.frombuffer(b.as_py(), np.float32) for b in sample], float).reshape(-1, dims)
-    return spherical_kmeans(x, min(topics, len(x))) if len(x) else np.zeros((1, dims))
+    x = _units(words.where(hashed <= last).select("bag").toArrow().column("bag"), dims)
+    c = spherical_kmeans(x, min(topics, len(x)))
+    for _ in range(rounds):
+        sums = words.select("bag").mapInArrow(_cell_sums(c), SUMS).repartition("topic").mapInArrow(_added(len(c)), SUMS).collect()
+        now = np.zeros_like(c)
+        for r in sums:
+            if r.topic >= 0:
+                now[r.topic] = np.frombuffer(r.total)
+        worst = [np.frombuffer(r.total) for r in sorted((r for r in sums if r.topic < 0), key=lambda r: (r.fit, r.total))]
+        for k, v in zip(np.flatnonzero(~now.any(axis=1)), worst):
+            now[k] = v
+        norm = np.linalg.norm(now, axis=1, keepdims=True)
+        now = np.where(norm > 0, now / np.where(norm > 0, norm, 1), c)
+        moved, c = float((1 - (now * c).sum(axis=1)).max()), now
+        if moved <= close:
+            break
+    return c
 
 
 def _placed(centroids: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = Bags(centroids.shape[1])
         for batch in batches:
-            topic, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    x, n[i] = bag(text)
-                    topic[i] = int((centroids @ x).argmax()) if n[i] else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"t{k}" if m else NONE for k, m in zip(topic, n)]), pa.array(n)], names=["who", "topic", "n_tokens"])
+            bags, topic = batch.column(1), np.full(batch.num_rows, NONE, object)
+            some = np.flatnonzero(bags.is_valid().to_numpy(zero_copy_only=False))
+            for k in range(0, len(some), 2048):
+                at = some[k : k + 2048]
+                cell = (_units(bags.take(pa.array(at)), centroids.shape[1]) @ centroids.T).argmax(axis=1)
+                topic[at] = [f"t{i}" for i in cell]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(topic.tolist(), pa.string())], names=["who", "topic"])
 
     return rows
 
 
-def with_topics(docs: DataFrame, centroids: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` with topic (nearest centroid; ``(none)`` without words) and n_tokens of each whole text."""
-    kinds = dict(docs.dtypes)
+def with_topics(bags: DataFrame, centroids: np.ndarray, keep: list[str]) -> DataFrame:
+    """``keep`` with topic (nearest centroid; ``(none)`` without words) of each of ``bags``."""
+    kinds = dict(bags.dtypes)
     who = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
-    found = docs.select(F.struct(*keep).alias("who"), F.col(text_col).alias("text")).mapInArrow(_placed(centroids), f"who {who}, topic string, n_tokens long")
-    return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "topic", "n_tokens")
+    found = bags.select(F.struct(*keep).alias("who"), "bag").mapInArrow(_placed(centroids), f"who {who}, topic string")
+    return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "topic")
 
 
 def target_shares(mass: dict[str, float], target: dict[str, float] | float) -> dict[str, float]:
@@ -173,8 +249,9 @@ PRODUCTION: Targets = {"source": 0.7, "lang": 0.7, "topic": 0.5}  # flatter shar
 
 
 def mix_documents(docs: DataFrame, targets: Targets = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", budget: float = 1.0) -> DataFrame:
-    """row_key, the id, source, lang, topic, n_tokens, weight and copies of every row; see ``fit_topics`` and ``mix``."""
+    """row_key, the id, source, lang, topic, n_tokens, weight and copies of every row; see ``fit_topics`` (over all documents) and ``mix``."""
     others = [c for c in targets if c != "topic"]
     rows = keyed_rows(docs, id_col, text_col, *others)
-    placed = written(with_topics(rows, fit_topics(docs, id_col, text_col), ["row_key", id_col, *others], text_col), "placed")
+    bags = written(with_bags(rows, ["row_key", id_col, *others], text_col), "bags")
+    placed = written(with_topics(bags, fit_topics(bags, "row_key"), ["row_key", id_col, *others, "n_tokens"]), "placed")
     return mix(placed, targets, "row_key", budget)
