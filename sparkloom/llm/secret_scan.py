@@ -12,8 +12,10 @@ from sparkloom.llm.shared import estimated_bytes, keyed_rows, written
 
 KEYS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth|credential)s?"
 SIGN = r"""["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}["']?"""
-# A named value; a run of key-like characters with a digit; or the head of a private key.
-CANDIDATE = rf"""{KEYS}{SIGN}[^\s"'<>,;]{{6,4096}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,60}}[0-9])[A-Za-z0-9+/_-]{{16,4096}}={{0,2}}|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----"""
+# A private key from its BEGIN line to its END line; without an END line, BEGIN and the lines of key material behind it.
+PRIVATE_KEY = r"""-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+)"""
+# A private key, named or not; a named value; or a run of key-like characters with a digit. Each runs to its end.
+CANDIDATE = rf"""(?:{KEYS}{SIGN})?{PRIVATE_KEY}|{KEYS}{SIGN}[^\s"'<>,;]{{6,}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,60}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"""
 VENDOR = r"^(?:A[KS]IA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_|xox[abprs]-|sk[-_][A-Za-z0-9]|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}|glpat-|-----BEGIN )"
 # Words of code and prose that random strings do not hold.
 DICTIONARY = "password secret token example sample test dummy change here your user admin name value string number text file path main class service controller handler manager factory config default general public private static string update create delete insert select index table column report version release build package module library common server client request response message data image page content title header footer section chapter paragraph".split()
@@ -62,6 +64,7 @@ def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
     b = lambda salt: f"regexp_replace(base64(unhex(concat({h(salt)}, {h(salt + 'x')}))), '[^A-Za-z0-9]', '')"
     pick = lambda *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(1 + n % {len(xs)} as int))"
     quote = pick("", '"', "")
+    key_lines = f"repeat(concat('\\n', substring({b('q')}, 1, 64)), cast(2 + n % 40 as int))"
     kinds = [
         (f"concat({pick('token', 'auth_token', 'secret', 'api_key', 'access_token')}, {pick(' = ', '=', ': ')}, {quote})", f"substring({h('a')}, 1, cast({pick(40, 32, 24)} as int))", 1),
         (f"concat({pick('password', 'db_password', 'passwd', 'pwd')}, {pick('=', ' = ', ': ')}, {quote})", f"substring({h('b')}, 1, cast({pick(18, 12, 16, 20)} as int))", 1),
@@ -84,6 +87,10 @@ def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
         (pick("isbn ", "phone ", "call ", "no. "), f"concat('978-3-16-', lpad(n * 7919 % 999999, 6, '0'), '-', n % 10)", 0),
         (pick("the ", "und ", "de ", "of "), f"concat({pick('heitkeitlich', 'ontionthering', 'erlichkeitung', 'lesquedesment')}, n % 9, {pick('ungenheit', 'theration', 'elleoi')})", 0),
         (pick("token: ", "password: ", "secret: "), f"substring({h('p')}, 1, 32)", 0, "tests/fixtures/example.txt"),
+        (pick("", "key: ", "private_key = ", "the "), f"concat('-----BEGIN ', {pick('RSA ', 'EC ', 'OPENSSH ', '')}, 'PRIVATE KEY-----', {key_lines}, '\\n-----END ', {pick('RSA ', 'EC ', 'OPENSSH ', '')}, 'PRIVATE KEY-----')", 1),
+        (pick("", "key: ", "private_key = "), f"concat('-----BEGIN ', {pick('RSA ', 'EC ', '')}, 'PRIVATE KEY-----', {key_lines})", 1),
+        (f"concat({pick('token', 'api_key', 'secret', 'access_token')}, {pick('=', ': ', ' = ')})", f"repeat({b('s')}, cast(2 + n % 200 as int))", 1),
+        (pick("base64,", "image ", "data:image/png;base64,"), f"repeat({b('t')}, cast(20 + n % 200 as int))", 0),
     ]
     made = None
     for k, (before, secret, label, *path) in enumerate(kinds):
@@ -104,7 +111,7 @@ def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8) -> Pipeline
 def scan_secrets(docs: DataFrame, forest: PipelineModel, keep: list[str], text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """A row for each secret: ``keep`` of its row, nth, start (from 0, in characters), n_chars, secret, probability.
 
-    Candidates are named values, key-like runs with a digit, and heads of private keys; findings the forest gives less
+    Candidates are private keys from BEGIN to END, named values and key-like runs with a digit, each whole; findings the forest gives less
     than ``threshold`` are false positives and go. Texts are read whole, in one pass without a shuffle: a filter for
     rows with any candidate, then marks around each, at which the text is split. Null and empty texts have none; rows
     that repeat give their own findings each; a null path is no test path; empty tables give no rows.
