@@ -16,31 +16,54 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FRAME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent "
-    "notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended recommendations widget comment comments replies disqus pagination pager toolbar skip tags "
-    "copyright legal disclaimer".split()
+LEAVES = HEADINGS | frozenset("p li dt dd pre td th tr address figcaption summary legend option center br hr".split())
+LISTS = frozenset("ul ol dl dir table tbody thead tfoot figure".split())
+REPLIES = frozenset("comment comments commentlist replies disqus".split())
+FRAME_WORDS = REPLIES | frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent "
+    "alert popup modal newsletter subscribe signup login share sharing social related recommended recommendations pagination pager toolbar notice notices".split()
 )
+# Words that tell of a frame only outside an article.
+DOUBTFUL = frozenset("side search widget tags copyright legal disclaimer skip".split())
 # Names that only tell of a frame elsewhere, and parts of the article itself.
 NOT_FRAMES = re.compile(r"^(?:with|without|has|no)[-_]|^(?:article|post|entry|story|content|main|page)[-_](?:header|head|title|body|text|content|main)$")
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+# How a line's markup weighs its density, and the least weighted density of content.
+IN_FRAME, IN_DOUBT, IN_ARTICLE, INHERITED, FLOOR = 0.04, 0.5, 1.5, 0.75, 0.4
+
+
+class Element:
+    """An open element that holds lines: what its markup says, and what its own lines add up to."""
+
+    __slots__ = ("parent", "tag", "framed", "named", "doubtful", "main", "holds_main", "chars", "tags", "frame", "inside", "density", "scope")
+
+    def __init__(self, parent: Element | None, tag: str, framed: bool, named: bool, doubtful: bool, main: bool):
+        self.parent, self.tag, self.framed, self.named, self.doubtful, self.main = parent, tag, framed, named, doubtful, main
+        self.holds_main = False
+        self.chars = self.tags = 0
 
 
 class Lines(HTMLParser):
-    """Blocks of text in page order, each a line: [text, tags, link characters, frame, inside main, depth, heading]."""
+    """Blocks of text in page order, each a line: [text, tags since the line before, characters in links, element, heading]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.open: list[tuple[str, bool, bool]] = []  # tag, frame, main
-        self.frames = self.mains = self.silent = self.links = self.heading = 0
+        self.top = Element(None, "html", False, False, False, False)
+        self.elements = [self.top]
+        self.open: list[tuple[str, Element]] = []  # tag, the element that was on top before
+        self.silent = self.links = self.heading = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append([text, self.tags, self.linked, self.frames > 0, self.mains > 0, bool(self.heading)])
+            home = self.top
+            linked = min(self.linked, len(text))
+            self.lines.append([text, self.tags, linked, home, bool(self.heading)])
+            home.chars += len(text) - linked
+            home.tags += self.tags
             self.tags = self.linked = 0
         self.parts.clear()
 
@@ -52,22 +75,25 @@ class Lines(HTMLParser):
             return
         if tag == "p" or tag in ("li", "td", "tr", "dt", "dd", "option"):
             self.close_implied(tag)
-        frame = tag in FRAME
-        if tag == "header" and self.mains:
-            frame = False
+        framed, named, doubtful = tag in FRAME, False, False
         main = tag in ("article", "main")
         for name, value in attrs:
-            if name in ("class", "id") and value and tag not in ("body", "html", "main", "article") and names_frame(value):
-                frame = True
+            if name in ("class", "id") and value and tag not in ("body", "html"):
+                kind = names_frame(value, main)
+                named |= kind == 2
+                doubtful |= kind == 1
             elif name == "role" and value in FRAME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                frame = True
+                framed = True
             elif name == "role" and value == "main":
                 main = True
-        if frame:
-            main = False
-        self.open.append((tag, frame, main))
-        self.frames += frame
-        self.mains += main
+        self.open.append((tag, self.top))
+        if framed or named or doubtful or main or tag in BLOCKS and tag not in LEAVES:
+            if main:
+                up = self.top
+                while up is not None and not up.holds_main:
+                    up.holds_main, up = True, up.parent
+            self.top = Element(self.top, tag, framed, named, doubtful, main)
+            self.elements.append(self.top)
         self.silent += tag in SILENT
         self.links += tag == "a"
         self.heading += tag in HEADINGS
@@ -82,12 +108,11 @@ class Lines(HTMLParser):
                 return
 
     def shut(self, k):
-        for name, frame, main in self.open[k:]:
-            self.frames -= frame
-            self.mains -= main
+        for name, _ in self.open[k:]:
             self.silent -= name in SILENT
             self.links -= name == "a"
             self.heading -= name in HEADINGS
+        self.top = self.open[k][1]
         del self.open[k:]
 
     def handle_endtag(self, tag):
@@ -110,19 +135,36 @@ class Lines(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
+    def settle(self):
+        """Hands what elements say down to those inside them; parents come before their children."""
+        for e in self.elements:
+            up = e.parent
+            above = up is not None
+            # The head of an article is its own; a name does not make a frame of what holds the article.
+            own_head = e.tag == "header" and above and up.inside
+            e.frame = above and up.frame or e.framed and not own_head or e.named and not e.holds_main
+            e.inside = not e.frame and (e.main or above and up.inside)
+            e.doubtful = not e.inside and (e.doubtful and not e.holds_main or above and up.doubtful)
+            own = float(np.log1p(e.chars / max(1, e.tags)))
+            e.density = max(own, INHERITED * up.density) if above and up.tag not in ("html", "body") else own
+            e.scope = up.scope if above and (e.tag in LISTS or e.inside and up.inside) else e
 
-def names_frame(names: str, known: dict[str, bool] = {}) -> bool:  # noqa: B006  names repeat from page to page
-    """Whether a class or id attribute names a frame: a word of it does, and it is no name of an article's part."""
-    found = known.get(names)
+
+def names_frame(names: str, article: bool = False, known: dict[tuple[str, bool], int] = {}) -> int:  # noqa: B006  names repeat from page to page
+    """2 if a class or id attribute names a frame, 1 if it may, 0 if not: a word of it does, and it is no name of an
+    article's part. Of an article itself, only names of readers' comments count."""
+    found = known.get((names, article))
     if found is None:
         tokens = [t for t in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split() if not NOT_FRAMES.search(t)]
-        found = any(not FRAME_WORDS.isdisjoint(re.split(r"[-_]+", t)) for t in tokens)
+        words = [w for t in tokens for w in re.split(r"[-_]+", t)]
+        found = 2 if not (REPLIES if article else FRAME_WORDS).isdisjoint(words) else int(not article and not DOUBTFUL.isdisjoint(words))
         if len(known) < 100_000:
-            known[names] = found
+            known[names, article] = found
     return found
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
+    """``x`` under a Gaussian of ``sigma`` lines, cut at three sigmas and normed at both ends."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     over = np.convolve(np.ones(len(x)), kernel, "full")[reach : reach + len(x)]
@@ -144,33 +186,52 @@ def two_means(x: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def line_scores(lines: list[list], sigma: float) -> np.ndarray:
+    """The smoothed text-to-tag ratio of each line, or that of its element's lines if higher, weighed by its markup.
+
+    The element's ratio counts less the more of the text around the line is in links: so lines of links do not stand in
+    for the prose beside them, but a single one does not leave it.
+    """
+    whole = np.array([len(x[0]) for x in lines], float)
+    size = whole - np.array([x[2] for x in lines], float)
+    ratio = np.log1p(size / np.maximum(1, np.array([x[1] for x in lines], float)))
+    prose = smoothed(size / whole, sigma)
+    weight = np.array([IN_FRAME if x[3].frame else IN_ARTICLE if x[3].inside else IN_DOUBT if x[3].doubtful else 1.0 for x in lines])
+    return weight * np.maximum(smoothed(ratio, sigma), prose * np.array([x[3].density for x in lines]))
+
+
+def content_lines(lines: list[list], scores: np.ndarray) -> np.ndarray:
+    """True for the lines of the content regions.
+
+    Dense lines are those over the threshold of two clusters, which is at least ``FLOOR`` and at most half the highest
+    score. Thin lines between two dense ones of their own scope (an article, else an element that is no list) belong to
+    the region, as does a heading right before it; lines of frames do neither.
+    """
+    cut = max(FLOOR, min(two_means(scores), scores.max() / 2))
+    region = scores > cut
+    dense = np.flatnonzero(region).tolist()
+    for a, b in zip(dense, dense[1:]):
+        for k in range(a + 1, b):
+            home = lines[k][3]
+            if not home.frame and home.scope is lines[a][3].scope and home.scope is lines[b][3].scope:
+                region[k] = True
+    for k in range(len(lines) - 2, -1, -1):
+        if lines[k][4] and region[k + 1] and not lines[k][3].frame:
+            region[k] = True
+    return region
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The main content's blocks, joined by blank lines; see ``extract_text``."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not x[3]]
-    if not lines:
+    parser.settle()
+    if not parser.lines:
         return ""
-    inside = np.array([x[4] for x in lines])
-    size = np.array([len(x[0]) for x in lines], float)
-    linked = np.minimum(1.0, np.array([x[2] for x in lines]) / size)
-    ratio = np.log1p(size * (1 - linked) / np.maximum(1, np.array([x[1] for x in lines], float)))
-    smooth = smoothed(ratio, sigma)
-    if inside.any():
-        # Marked content is a region as it stands; density only drops lines of links in it.
-        region = inside & ~((linked > 0.8) & (smooth < two_means(smooth)))
-    else:
-        dense = smooth > two_means(smooth)
-        at = np.flatnonzero(dense)
-        region = np.zeros(len(lines), bool)
-        if len(at):
-            region[at[0] : at[-1] + 1] = True
-            if at[0] and lines[at[0] - 1][5]:
-                region[at[0] - 1] = True
-        region &= linked <= 0.8
-    return "\n\n".join(x[0] for x, r in zip(lines, region) if r)
+    region = content_lines(parser.lines, line_scores(parser.lines, sigma))
+    return "\n\n".join(x[0] for x, r in zip(parser.lines, region) if r)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +244,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """The id, url, text (main content, empty if none) and n_chars (code points) of every row.
 
     The parser's events are cut into lines at block tags. A line's text-to-tag ratio (characters outside links over
-    tags since the line before, logarithm) is smoothed by a Gaussian over its neighbours, and two-means clustering sets
-    the threshold; the content region runs from the first to the last dense line. Lines within elements that are
-    frames by tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) never
-    count, and an ``article`` or ``main`` element bounds the region. Character references are decoded, white space in a
-    block becomes one space, blocks are joined by a blank line. Null html is empty. Whole pages are read; nothing is
-    shuffled; repeated rows and null ids and urls are kept; empty tables give no rows.
+    tags since the line before, logarithm) is smoothed by a Gaussian over its neighbours; that of all lines of its
+    element counts instead if higher. Markup only weighs it: frames by tag, role, class or id (menus, headers, footers,
+    sidebars, notices, adverts, forms, comments) little, lines in ``article`` or ``main`` more. Two-means clustering of
+    the weighed ratios sets the threshold, and thin lines between dense ones of the same scope belong to the region.
+    Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null
+    html is empty. Whole pages are read; nothing is shuffled; repeated rows and null ids and urls are kept; empty tables
+    give no rows.
     """
     kinds = dict(pages.dtypes)
     found = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_extracted, f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
