@@ -10,7 +10,7 @@ from sparkloom.llm.html_text import extract_text
 from sparkloom.llm.language import fit_languages, held_out, predict_languages
 from sparkloom.llm.mixing import mix_documents
 from sparkloom.llm.repeats import remove_repeats
-from sparkloom.llm.secret_scan import fit_forest, labelled_findings, scan_secrets
+from sparkloom.llm.secret_scan import corpus_forest, scan_secrets
 from sparkloom.llm.shared import table
 from sparkloom.llm.simhash import simhash_groups
 from sparkloom.llm.tokens import count_tokens
@@ -60,8 +60,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = fit_forest(labelled_findings(spark))
-    found = scan_secrets(table(spark, sf_dir, "documents"), forest, ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, corpus_forest(docs), ["doc_id"])
     return found.select("doc_id", "nth", "start", "n_chars", F.sha2("secret", 256).alias("secret_sha256"), "probability")
 
 

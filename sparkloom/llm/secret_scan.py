@@ -2,39 +2,74 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.llm.shared import estimated_bytes, keyed_rows, written
 
 KEYS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth|credential)s?"
-SIGN = r"""["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}["']?"""
+SIGN = r"""(?:["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})["']?"""
 # A private key from its BEGIN line to its END line; without an END line, BEGIN and the lines of key material behind it.
 PRIVATE_KEY = r"""-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+)"""
-# A private key, named or not; a named value; or a run of key-like characters with a digit. Each runs to its end.
-CANDIDATE = rf"""(?:{KEYS}{SIGN})?{PRIVATE_KEY}|{KEYS}{SIGN}[^\s"'<>,;]{{6,}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,60}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"""
-VENDOR = r"^(?:A[KS]IA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_|xox[abprs]-|sk[-_][A-Za-z0-9]|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}|glpat-|-----BEGIN )"
-# Words of code and prose that random strings do not hold.
-DICTIONARY = "password secret token example sample test dummy change here your user admin name value string number text file path main class service controller handler manager factory config default general public private static string update create delete insert select index table column report version release build package module library common server client request response message data image page content title header footer section chapter paragraph".split()
+# Fixed prefixes of issued keys.
+ISSUED = r"(?:A[KS]IA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_)"
+LOGIN = r"""[^\s/:@"'<>]*+:"""
+# A private key, named or not; a named value; the password of a URL; an issued key; or a key-like run with a digit or
+# of 32 characters. Each runs to its end.
+CANDIDATE = rf"""(?:{KEYS}{SIGN})?{PRIVATE_KEY}|{KEYS}{SIGN}[^\s"'<>,;]{{6,}}|(?<=://){LOGIN}[^\s/@"'<>]{{3,}}(?=@)|(?<![A-Za-z0-9+/_-])(?:{ISSUED}[A-Za-z0-9_.+/=-]{{12,}}|(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}|[A-Za-z0-9+/_-]{{32,}})={{0,2}})"""
+VENDOR = rf"^(?:A[KS]IA[0-9A-Z]{{16}}$|gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_|xox[abprs]-|sk[-_][A-Za-z0-9]|AIza[0-9A-Za-z_-]{{30,}}|eyJ[A-Za-z0-9_-]{{10,}}|glpat-|npm_[A-Za-z0-9]{{20,}}|-----BEGIN )"
+# Words of code and prose that random strings do not hold; the frequent words of a corpus come on top.
+DICTIONARY = tuple("password secret token example sample test dummy change here your user admin name value string number text file path main class service controller handler manager factory config default general public private static string update create delete insert select index table column report version release build package module library common server client request response message data image page content title header footer section chapter paragraph".split())
 SECRET_WORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth\w*|bearer|credentials?)\W*$"
 BENIGN_WORDS = r"(?i)(?:commit|sha(?:1|256|512)?|hash|checksum|digest|md5|uuid|guid|etag|revision|integrity|version|build|isbn|base64,?|id|ref|tag|file|path|url|see)\W*$"
 PLACEHOLDER = r"(?i)your|example|sample|dummy|change.?me|placeholder|xxxx|\*\*\*\*|<|\$\{|\{\{|1234567|todo|redacted|foobar"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|fixtures?|examples?|samples?|docs?|mocks?)(?:[/_.-]|$)|\.lock$"
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "distinct", "hex", "digest_length", "dictionary", "vowels", "slashes", "vendor", "named", "secret_word", "benign_word", "placeholder", "test_path"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "likeness", "distinct", "hex", "digest_length", "dictionary", "vowels", "slashes", "vendor", "named", "secret_word", "benign_word", "placeholder", "test_path"]
 
 
 def _share(s: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(s, f"[^{chars}]", "")) / F.greatest(F.length(s), F.lit(1))
 
 
-def features(secret: Column, before: Column, path: Column) -> dict[str, Column]:
-    """Each number the forest judges a finding by."""
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 4096) -> list[str]:
+    """The ``most`` (bounded: they go to the driver) words of a to z that occur most often over all whole texts.
+
+    Ties go by the word. Counting is one aggregation with map-side sums; null and empty texts and tables have none.
+    """
+    raw = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    words = raw.select(F.explode(F.regexp_extract_all("raw", F.lit("[a-z]{2,}"), F.lit(0))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in words.where("n > 1 and length(word) < 40").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+@functools.cache
+def transition_scores(words: tuple[str, ...]) -> str:
+    """How much likelier than by chance each character follows each other in ``words``, as bits; 28 by 28, comma-separated.
+
+    The characters are a to z, any digit and anything else, which also stands at both ends of a word.
+    """
+    n = [[0.1] * 28 for _ in range(28)]
+    for w in words:
+        at = [27, *(ord(c) - 97 if "a" <= c <= "z" else 26 if c.isdigit() else 27 for c in w.lower()), 27]
+        for a, b in zip(at, at[1:]):
+            n[a][b] += 1
+    return ",".join(f"{math.log2(28 * x / sum(row)):.3f}" for row in n for x in row)
+
+
+def features(secret: Column, before: Column, path: Column, words: tuple[str, ...] = DICTIONARY) -> dict[str, Column]:
+    """Each number the forest judges a finding by. ``words`` are the dictionary, of which the usual transitions between
+    characters are learnt, too."""
     size = F.greatest(F.length(secret), F.lit(1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(secret, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "_")
-    words = "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w)))
+    known = F.filter(F.transform(F.regexp_extract_all(secret, F.lit("[A-Za-z][a-z]+|[A-Z]{2,}"), F.lit(0)), F.lower), lambda w: w.isin(*words))
+    folded = F.split(F.regexp_replace(F.regexp_replace(F.lower(secret), "[0-9]", "{"), "[^a-z{]", "|"), "")
+    scores = F.expr(f"cast(split('{transition_scores(words)}', ',') as array<double>)")
+    steps = F.zip_with(F.slice(folded, 1, size - 1), F.slice(folded, 2, size - 1), lambda a, b: F.get(scores, (F.ascii(a) - 97) * 28 + F.ascii(b) - 97))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
         "length": F.length(secret).cast("double"),
@@ -43,14 +78,15 @@ def features(secret: Column, before: Column, path: Column) -> dict[str, Column]:
         "lower": _share(secret, "a-z"),
         "symbols": _share(secret, r"\W_"),
         "transitions": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / size,
+        "likeness": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / size,
         "distinct": F.size(F.array_distinct(F.split(F.substring(secret, 1, 64), ""))) / F.least(size, F.lit(64)),
         "hex": flag(secret.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "digest_length": flag(F.length(secret).isin(32, 40, 56, 64, 96, 128) & secret.rlike("^[0-9a-fA-F]+$")),
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(secret), words, "")) / size,
+        "dictionary": F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / size,
         "vowels": _share(F.lower(secret), "aeiou"),
         "slashes": _share(secret, "/.-"),
         "vendor": flag(secret.rlike(VENDOR)),
-        "named": flag(before.rlike(f"{KEYS}{SIGN}$")),
+        "named": flag(before.rlike(rf"""(?:{KEYS}{SIGN}|://[^\s/:@"'<>]*:)$""")),
         "secret_word": flag(before.rlike(SECRET_WORDS)),
         "benign_word": flag(before.rlike(BENIGN_WORDS)),
         "placeholder": flag(secret.rlike(PLACEHOLDER)),
@@ -58,12 +94,15 @@ def features(secret: Column, before: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
-    """(before, secret, path, label): ``each`` findings of every kind below, made from hashes of their numbers."""
+def labelled_findings(spark: SparkSession, each: int = 200, words: tuple[str, ...] = DICTIONARY) -> DataFrame:
+    """(before, secret, path, label, kind): ``each`` findings of every kind below, made from hashes of their numbers and
+    from the first ``words``."""
     h = lambda salt: f"sha2(concat('{salt}', n), 256)"
     b = lambda salt: f"regexp_replace(base64(unhex(concat({h(salt)}, {h(salt + 'x')}))), '[^A-Za-z0-9]', '')"
     pick = lambda *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(1 + n % {len(xs)} as int))"
     quote = pick("", '"', "")
+    some_words = [w for w in words if len(w) > 3][:200] or list(DICTIONARY)
+    word = lambda step: f"element_at(array({', '.join(map(repr, some_words))}), cast(1 + (n * {step} + n DIV 7) % {len(some_words)} as int))"
     key_lines = f"repeat(concat('\\n', substring({b('q')}, 1, 64)), cast(2 + n % 40 as int))"
     kinds = [
         (f"concat({pick('token', 'auth_token', 'secret', 'api_key', 'access_token')}, {pick(' = ', '=', ': ')}, {quote})", f"substring({h('a')}, 1, cast({pick(40, 32, 24)} as int))", 1),
@@ -85,7 +124,13 @@ def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
         (pick("on ", "at ", "from "), f"concat('2024-0', 1 + n % 9, '-1', n % 10, '-', lpad(n % 60, 2, '0'), '-', lpad(n % 59, 2, '0'), '-00')", 0),
         (pick("base64,", "image ", "data:image/png;base64,"), f"repeat({b('o')}, 4)", 0),
         (pick("isbn ", "phone ", "call ", "no. "), f"concat('978-3-16-', lpad(n * 7919 % 999999, 6, '0'), '-', n % 10)", 0),
-        (pick("the ", "und ", "de ", "of "), f"concat({pick('heitkeitlich', 'ontionthering', 'erlichkeitung', 'lesquedesment')}, n % 9, {pick('ungenheit', 'theration', 'elleoi')})", 0),
+        (pick("the ", "a ", "of ", ""), f"concat({word(1)}, {pick('-', '_', '/', '')}, {word(3)}, {pick('-', '_', '/', '')}, {word(7)}, {pick('-', '_', '/', '')}, {word(11)}, n % 100)", 0),
+        (f"concat({pick('password', 'token', 'secret', 'credentials')}, {pick(' is ', ' was ', ': ', ' = ')})", f"concat({word(5)}, {pick('', '.', '_', '-')}, {pick('', word(2), word(9))})", 0),
+        (f"concat({pick('password', 'token', 'secret', 'passphrase')}, {pick(' is ', ' was ')})", f"concat(substring({b('u')}, 1, cast({pick(10, 16, 24)} as int)), {pick('!', '', '#7')})", 1),
+        (f"concat({pick('postgres', 'https', 'mysql', 'amqp')}, '://', {pick('app', 'root', 'svc_user', 'admin')}, ':')", f"substring({b('v')}, 1, cast({pick(8, 12, 16, 24)} as int))", 1),
+        (f"concat({pick('postgres', 'https', 'mysql', 'amqp')}, '://', {pick('app', 'root', 'user', 'admin')}, ':')", f"concat({pick('${DB_PASSWORD}', 'password', 'changeme', 'yourpassword')}, {pick('', '1')})", 0),
+        (pick("use ", "the ", ""), f"concat('ghp_', regexp_replace(substring({b('w')}, 1, 36), '[0-9]', 'q'))", 1),
+        (pick("glpat ", "with ", ""), f"concat({pick('glpat-', 'npm_', 'github_pat_')}, substring({b('y')}, 1, 36))", 1),
         (pick("token: ", "password: ", "secret: "), f"substring({h('p')}, 1, 32)", 0, "tests/fixtures/example.txt"),
         (pick("", "key: ", "private_key = ", "the "), f"concat('-----BEGIN ', {pick('RSA ', 'EC ', 'OPENSSH ', '')}, 'PRIVATE KEY-----', {key_lines}, '\\n-----END ', {pick('RSA ', 'EC ', 'OPENSSH ', '')}, 'PRIVATE KEY-----')", 1),
         (pick("", "key: ", "private_key = "), f"concat('-----BEGIN ', {pick('RSA ', 'EC ', '')}, 'PRIVATE KEY-----', {key_lines})", 1),
@@ -94,46 +139,67 @@ def labelled_findings(spark: SparkSession, each: int = 200) -> DataFrame:
     ]
     made = None
     for k, (before, secret, label, *path) in enumerate(kinds):
-        some = spark.range(k * each, (k + 1) * each, 1, 1).withColumnRenamed("id", "n").selectExpr(f"{before} as before", f"{secret} as secret", f"'{path[0] if path else 'src'}' as path", f"cast({label} as double) as label")
+        some = spark.range(k * each, (k + 1) * each, 1, 1).withColumnRenamed("id", "n").selectExpr(f"{before} as before", f"{secret} as secret", f"'{path[0] if path else 'src'}' as path", f"cast({label} as double) as label", f"{k} as kind")
         made = some if made is None else made.unionByName(some)
     return made
 
 
-def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8) -> PipelineModel:
+class SecretModel:
+    """A fitted forest and the dictionary its features look words up in."""
+
+    def __init__(self, stages: PipelineModel, words: tuple[str, ...]):
+        self.stages, self.words = stages, words
+
+    def judged(self, findings: DataFrame, secret: str = "secret", before: str = "before", path: str = "path") -> DataFrame:
+        """``findings`` with probability: how likely each is a secret."""
+        rows = findings.select("*", *(c.alias(n) for n, c in features(F.col(secret), F.col(before), F.col(path), self.words).items()))
+        return self.stages.transform(rows).select(*findings.columns, vector_to_array("probability")[1].alias("probability"))
+
+
+def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 8, words: tuple[str, ...] = DICTIONARY) -> SecretModel:
     """A random forest over ``findings`` (before, secret, path, label), which have to be a bounded table."""
-    rows = findings.select(*(c.alias(n) for n, c in features(F.col("secret"), F.col("before"), F.col("path")).items()), "label")
+    rows = findings.select(*(c.alias(n) for n, c in features(F.col("secret"), F.col("before"), F.col("path"), words).items()), "label")
     rows = written(rows.coalesce(1), "findings")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     model: RandomForestClassificationModel = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(assemble.transform(rows))
-    return PipelineModel([assemble, model])
+    return SecretModel(PipelineModel([assemble, model]), words)
+
+
+def corpus_forest(docs: DataFrame, text_col: str = "text") -> SecretModel:
+    """The forest in production: its dictionary holds the frequent words of all texts of ``docs``, too."""
+    words = tuple(dict.fromkeys([*DICTIONARY, *corpus_words(docs, text_col)]))
+    return fit_forest(labelled_findings(docs.sparkSession, words=words[len(DICTIONARY) :] or DICTIONARY), words=words)
 
 
-def scan_secrets(docs: DataFrame, forest: PipelineModel, keep: list[str], text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: SecretModel, keep: list[str], text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """A row for each secret: ``keep`` of its row, nth, start (from 0, in characters), n_chars, secret, probability.
 
-    Candidates are private keys from BEGIN to END, named values and key-like runs with a digit, each whole; findings the forest gives less
-    than ``threshold`` are false positives and go. Texts are read whole, in one pass without a shuffle: a filter for
-    rows with any candidate, then marks around each, at which the text is split. Null and empty texts have none; rows
-    that repeat give their own findings each; a null path is no test path; empty tables give no rows.
+    Candidates are private keys from BEGIN to END, named values, passwords of URLs, issued keys and key-like runs, each
+    whole; findings the forest gives less than ``threshold`` are false positives and go. Texts are read whole, in one
+    pass: a filter for rows with any candidate, then marks around each, at which the text is split. Only candidates
+    are shuffled, to add up their offsets. Null and empty texts have none; rows that repeat give their own findings
+    each; a null path is no test path; empty tables give no rows.
     """
     text = F.col("__text")
     mark = F.concat(F.lit("\ue000"), F.hex(F.xxhash64(text)), F.lit("\ue000"))
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.struct(*keep).alias("__who"), path.alias("__path"), F.col(text_col).alias("__text"))
-    parts = rows.select("__who", "__path", F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark)), mark).alias("__parts"))
-    at = F.transform(
+    parts = rows.select("__who", "__path", F.monotonically_increasing_id().alias("__row"), F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark)), mark).alias("__parts"))
+    each = F.transform(
         F.sequence(F.lit(1), F.size("__parts") - 1, F.lit(2)),
-        lambda i: F.struct(((i - 1) / 2).cast("int").alias("nth"), F.substring(F.get("__parts", i - 1), -80, 80).alias("left"), F.get("__parts", i).alias("found"), F.aggregate(F.slice("__parts", 1, i), F.lit(0), lambda a, p: a + F.length(p)).alias("at")),
+        lambda i: F.struct(((i - 1) / 2).cast("int").alias("nth"), F.length(F.get("__parts", i - 1)).alias("gap"), F.substring(F.get("__parts", i - 1), -80, 80).alias("left"), F.get("__parts", i).alias("found")),
     )
-    found = parts.select("__who", "__path", F.explode(at).alias("c")).select("__who", "__path", "c.*")
+    found = parts.select("__who", "__path", "__row", F.explode(each).alias("c")).select("__who", "__path", "__row", "c.*")
+    so_far = Window.partitionBy("__row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("at", F.sum(F.col("gap") + F.length("found")).over(so_far) - F.length("found"))
     key = F.regexp_extract("found", f"^({KEYS}{SIGN})", 1)
+    key = F.when(key != "", key).when(F.col("left").endswith("://"), F.regexp_extract("found", f"^({LOGIN})", 1)).otherwise("")
     found = found.withColumn("key", key).withColumn("secret", F.expr("substring(found, length(key) + 1)")).withColumn("before", F.concat("left", "key"))
-    judged = forest.transform(found.select("*", *(c.alias(n) for n, c in features(F.col("secret"), F.col("before"), F.col("__path")).items())))
-    probability = vector_to_array("probability")[1]
-    return judged.select(*(F.col(f"__who.{c}").alias(c) for c in keep), "nth", (F.col("at") + F.length("key")).cast("int").alias("start"), F.length("secret").alias("n_chars"), "secret", probability.alias("probability")).where(F.col("probability") >= threshold)
+    judged = forest.judged(found, "secret", "before", "__path").where(F.col("probability") >= threshold)
+    return judged.select(*(F.col(f"__who.{c}").alias(c) for c in keep), "nth", (F.col("at") + F.length("key")).cast("int").alias("start"), F.length("secret").alias("n_chars"), "secret", "probability")
 
 
-def redact_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, label: str = "[SECRET]", broadcast_bytes: int = 16 << 20) -> DataFrame:
+def redact_secrets(docs: DataFrame, forest: SecretModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, label: str = "[SECRET]", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by ``label``; all rows and columns stay.
 
     Rows without a finding keep their text to the byte. Findings go to the documents by broadcast if their files are
