@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.shared import estimated_bytes, keyed_rows, written
+from sparkloom.llm.shared import keyed_rows, small_side, written
 
 # Any overlap of five tokens or more with at most a fifth substituted holds one of these, whatever was substituted.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
@@ -189,8 +189,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     diagonals = hits.join(test, "hash").groupBy("row_key", "item_key").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     found = diagonals.join(items, "item_key").groupBy("row_key").agg(F.collect_list(F.struct("item_key", "item", F.col("item_text").alias("text"), "shifts")).alias("found"))
     found = written(found, "hits")
-    if estimated_bytes(found) <= broadcast_bytes:
-        found = F.broadcast(found)
+    found = small_side(found, broadcast_bytes)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     near = rows.join(found, "row_key").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "found")
     out = near.mapInArrow(_verified(similarity, min_tokens), f"id {kind}, item {item_kind}, n_tokens int, n_matches int, doc_start int, item_start int")

@@ -24,7 +24,8 @@ def features(text: str, at_once: int = 1 << 20) -> np.ndarray:
         two = b[:-1] * np.uint32(31) + b[1:]
         three = (two[:-1] * np.uint32(961) + b[2:] * np.uint32(7)) * np.uint32(2654435761) >> np.uint32(20)
         out += np.bincount(three, minlength=DIMS)
-        out += np.bincount((two * np.uint32(2246822519)) >> np.uint32(20), minlength=DIMS)
+        # The first pair behind a border was the last one before it.
+        out += np.bincount((two[1 if k else 0 :] * np.uint32(2246822519)) >> np.uint32(20), minlength=DIMS)
     out = np.sqrt(out)
     return out / max(np.sqrt((out * out).sum()), 1e-12)
 
@@ -90,21 +91,24 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 6000) -> LanguageModel | None:
     """A model of the labelled ``docs``; None if no text has a letter.
 
-    Fitted on at most ``fit_rows`` rows, the same number for each language where there are as many: those whose id
-    hashes lowest, each whole. Counting features runs on the executors; the driver gets ``fit_rows`` vectors.
+    Fitted on at most ``fit_rows`` rows, the same number for each language where there are as many: those whose id and
+    text hash lowest, each whole; rows that repeat both count once. Counting features runs on the executors; the driver
+    gets ``fit_rows`` vectors at most.
     """
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("hash"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows)
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    rows = rows.where(F.col("text").isNotNull())
+    different = rows.select("lang", "hash").distinct()
+    counts = different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows)
     n_names = counts.count()
     if not n_names:
         return None
     each = max(1, fit_rows // n_names)
-    # Hashes are even, so this bound passes about 1.5 * each rows of a language, however many it has.
+    # Different hashes are even, so this bound passes about 1.5 * each of a language, however many it has.
     bound = F.least(F.lit(1.0), F.lit(1.5 * each + 100) / F.col("count")) * F.lit(2.0**64) - F.lit(2.0**63)
-    near = rows.select("lang", "hash").join(F.broadcast(counts.select("lang", bound.alias("bound"))), "lang").where(F.col("hash") <= F.col("bound"))
+    near = different.join(F.broadcast(counts.select("lang", bound.alias("bound"))), "lang").where(F.col("hash") <= F.col("bound"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     lowest = near.select("lang", "hash", nth.alias("nth")).where(F.col("nth") <= each).groupBy("lang").agg(F.max("hash").alias("last"))
-    picked = rows.join(F.broadcast(lowest), "lang").where((F.col("hash") <= F.col("last")) & F.col("text").isNotNull()).select("lang", "text")
+    picked = rows.join(F.broadcast(lowest), "lang").where(F.col("hash") <= F.col("last")).dropDuplicates(["lang", "hash"]).select("lang", "text")
     got = picked.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,13 @@ from sparkloom.llm.embeddings import spherical_kmeans
 from sparkloom.llm.shared import keyed_rows, written
 
 NONE = "(none)"
+ROUNDS, CLOSE = 500, 1e-9  # of raking, in the driver and in Spark alike
+
+
+def stalled(errors: list[float], over: int = 20) -> bool:
+    """True if the last ``over`` rounds took less than a hundredth off the error: the targets cannot all be met."""
+    return len(errors) > over and errors[-1] > 0.99 * errors[-1 - over]
+
 Targets = dict[str, "dict[str, float] | float"]
 
 
@@ -104,15 +112,16 @@ def _added(most: int):
 def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512, start_rows: int = 4096, rounds: int = 20, close: float = 1e-6) -> np.ndarray:
     """Unit topic centroids: spherical k-means over all ``bags``.
 
-    It starts from the centroids of at most ``start_rows`` rows whose keys hash lowest. In each round the executors assign
+    It starts from the centroids of at most ``start_rows`` rows whose keys hash lowest, one for each key. In each round the executors assign
     every row and add up vectors and counts of each cell; only these sums come to the driver. An empty cell takes a row
     that fits worst. It ends when no centroid moves by more than ``close`` (one less the cosine), or after ``rounds``.
     """
     words, hashed = bags.where("n_tokens > 0"), F.xxhash64(key_col)
-    last = words.select(hashed.alias("h")).orderBy("h").limit(start_rows).agg(F.max("h")).first()[0]
+    last = words.select(hashed.alias("h")).distinct().orderBy("h").limit(start_rows).agg(F.max("h")).first()[0]
     if last is None:
         return np.zeros((1, dims))
-    x = _units(words.where(hashed <= last).select("bag").toArrow().column("bag"), dims)
+    first = words.select("bag", hashed.alias("h")).where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h")
+    x = _units(first.select("bag").toArrow().column("bag"), dims)
     c = spherical_kmeans(x, min(topics, len(x)))
     for _ in range(rounds):
         sums = words.select("bag").mapInArrow(_cell_sums(c), SUMS).repartition("topic").mapInArrow(_added(len(c)), SUMS).collect()
@@ -166,10 +175,10 @@ def target_shares(mass: dict[str, float], target: dict[str, float] | float) -> d
     return {c: v / scale for c, v in raw.items()}
 
 
-def rake(cells: list[tuple], mass: np.ndarray, targets: Targets, rounds: int = 500, close: float = 1e-9) -> tuple[np.ndarray, float]:
+def rake(cells: list[tuple], mass: np.ndarray, targets: Targets, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[np.ndarray, float]:
     """Weights of ``cells`` (category tuples in the order of ``targets``) whose marginals are the targets.
 
-    Each step scales the cells of every category to its share; it ends when all marginals are ``close``. Returns also
+    Each step scales the cells of every category to its share; it ends when all marginals are ``close`` or get no closer. Returns also
     the largest error left, which stays over ``close`` only if empty cells make the targets impossible.
     """
     w, total, error = mass.astype(float).copy(), float(mass.sum()), 0.0
@@ -179,19 +188,22 @@ def rake(cells: list[tuple], mass: np.ndarray, targets: Targets, rounds: int = 5
         own = dict(zip(names.tolist(), np.bincount(at, weights=mass, minlength=len(names)).tolist()))
         share = target_shares(own, target)
         dims.append((at, np.array([share[n] for n in names.tolist()]) * total))
+    errors: list[float] = []
     for _ in range(rounds):
         error = 0.0
         for at, goal in dims:
             now = np.bincount(at, weights=w, minlength=len(goal))
             error = max(error, float(np.abs(now - goal).max()) / max(total, 1e-12))
             w *= np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
-        if error <= close:
+        errors.append(error)
+        if error <= close or stalled(errors):
             break
     return w, error
 
 
-def rake_frame(cells: DataFrame, targets: Targets, rounds: int = 50, close: float = 1e-6) -> DataFrame:
-    """The same steps as joins and aggregations of Spark, for more cells than the driver may hold; adds ``w``."""
+def rake_frame(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, float]:
+    """The same steps as joins and aggregations of Spark, for more cells than the driver may hold: ``cells`` with ``w``,
+    and the largest error left."""
     total = cells.agg(F.sum("mass")).first()[0] or 0
     w, goals = cells.withColumn("w", F.col("mass").cast("double")), {}
     for d, target in targets.items():
@@ -204,19 +216,21 @@ def rake_frame(cells: DataFrame, targets: Targets, rounds: int = 50, close: floa
             raw = own.select(d, F.when(F.col("m") > 0, F.pow(F.col("m") / total, F.lit(float(target)))).otherwise(0.0).alias("g"))
         scale = raw.agg(F.sum("g")).first()[0] or 1.0
         goals[d] = written(raw.select(d, (F.col("g") / scale * total).alias("goal")), "goal")
+    error, errors = 0.0, []
     for _ in range(rounds):
         error = 0.0
         for d, goal in goals.items():
             now = written(w.groupBy(d).agg(F.sum("w").alias("now")).join(goal, d), "marginal")
-            error = max(error, now.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] or 0.0)
+            error = max(error, (now.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] or 0.0) / max(total, 1e-12))
             w = w.join(now, d).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("goal") / F.col("now")).otherwise(0.0)).drop("now", "goal")
         w = written(w, "cells")
-        if error <= close * max(total, 1e-12):
+        errors.append(error)
+        if error <= close or stalled(errors):
             break
-    return w
+    return w, error
 
 
-def mix(placed: DataFrame, targets: Targets, key_col: str, budget: float = 1.0, seed: int = 17, driver_cells: int = 200_000) -> DataFrame:
+def mix(placed: DataFrame, targets: Targets, key_col: str, budget: float = 1.0, seed: int = 17, driver_cells: int = 200_000, tolerance: float = 1e-4, strict: bool = False) -> DataFrame:
     """``placed`` (key_col, the columns of ``targets``, n_tokens) with weight and copies for each row.
 
     The token mass of every cell of categories is raked to the targets' marginals (shares of tokens, or a power of the
@@ -224,7 +238,8 @@ def mix(placed: DataFrame, targets: Targets, key_col: str, budget: float = 1.0,
     raked over present mass, times ``budget`` (tokens wanted as a share of those there). copies is its whole part, plus
     one with the probability of the rest, by a hash of the key and ``seed``: the same on every run and any partitioning.
     Cells, not documents, come to the driver, and only if at most ``driver_cells``; more are raked by Spark. Cells
-    without tokens have weight ``budget``. Rows that repeat a key get the same copies. Empty tables give no rows.
+    without tokens have weight ``budget``. If raking leaves a marginal off by over ``tolerance`` of all tokens, as it must
+    when empty cells make targets impossible, that is a warning, or an error if ``strict``. Rows that repeat a key get the same copies. Empty tables give no rows.
     """
     dims = list(targets)
     rows = placed.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in dims})
@@ -233,13 +248,19 @@ def mix(placed: DataFrame, targets: Targets, key_col: str, budget: float = 1.0,
     if n <= driver_cells:
         found = [tuple(r) for r in cells.collect()]
         mass = np.array([float(r[-1] or 0) for r in found])
-        w, _ = rake([r[:-1] for r in found], mass, targets) if found else (mass, 0.0)
+        w, error = rake([r[:-1] for r in found], mass, targets) if found else (mass, 0.0)
         factor = np.divide(w, mass, out=np.ones_like(w), where=mass > 0) * budget
         schema = pa.schema([(d, pa.string()) for d in dims] + [("weight", pa.float64())])
         arrays = [pa.array([r[k] for r in found], pa.string()) for k in range(len(dims))] + [pa.array(factor)]
         weights = F.broadcast(placed.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, schema=schema)))
     else:
-        weights = rake_frame(cells, targets).select(*dims, F.when(F.col("mass") > 0, F.col("w") / F.col("mass") * budget).otherwise(budget).alias("weight"))
+        raked, error = rake_frame(cells, targets)
+        weights = raked.select(*dims, F.when(F.col("mass") > 0, F.col("w") / F.col("mass") * budget).otherwise(budget).alias("weight"))
+    if error > tolerance:
+        message = f"the marginals miss their targets by up to {error:.2g} of all tokens: the cells present cannot meet them all"
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=2)
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key_col), F.lit(seed)), 11) / F.lit(float(1 << 53))).cast("double")
     whole = F.floor("weight")
     return rows.join(weights, dims, "left").withColumn("copies", (whole + F.when(u < F.col("weight") - whole, 1).otherwise(0)).cast("int"))

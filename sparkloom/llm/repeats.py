@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.llm.arrays import utf8_rows, whole_groups
-from sparkloom.llm.shared import estimated_bytes, keyed_rows, written
+from sparkloom.llm.shared import keyed_rows, small_side, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -264,8 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("row_key").agg(F.collect_list("run").alias("runs"))
     )
     open_runs = written(open_runs, "open")
-    if estimated_bytes(open_runs) <= broadcast_bytes:
-        open_runs = F.broadcast(open_runs)
+    open_runs = small_side(open_runs, broadcast_bytes)
     ranked = (
         rows.join(open_runs, "row_key").select("row_key", text_col, "runs")
         .mapInArrow(_bytes_of_runs(length), "row_key long, start int, count short, lead short, key long, salt long, lone boolean, split boolean, raw binary")

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sparkloom.llm.shared import estimated_bytes, keyed_rows, written
+from sparkloom.llm.shared import keyed_rows, small_side, written
 
 KEYS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth|credential)s?"
 SIGN = r"""(?:["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})["']?"""
@@ -208,8 +208,7 @@ def redact_secrets(docs: DataFrame, forest: SecretModel, id_col: str = "doc_id",
     rows = keyed_rows(docs, id_col, *(c for c in docs.columns if c != id_col), key="__key")
     spans = scan_secrets(rows, forest, ["__key"], text_col, path_col, threshold).select("__key", F.struct(F.col("start"), F.col("n_chars")).alias("span"))
     spans = written(spans.groupBy("__key").agg(F.array_sort(F.collect_set("span")).alias("__spans")), "secrets")
-    if estimated_bytes(spans) <= broadcast_bytes:
-        spans = F.broadcast(spans)
+    spans = small_side(spans, broadcast_bytes)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__spans", i - 1)["start"] + F.get("__spans", i - 1)["n_chars"])
     stop = lambda i: F.coalesce(F.get("__spans", i)["start"], F.length(text_col))
     pieces = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: F.substr(F.col(text_col), start(i) + 1, stop(i) - start(i)))
