@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.arrays import utf8_rows, whole_groups
+from sparkloom.llm.arrays import group_starts, utf8_rows
 from sparkloom.llm.shared import keyed_rows, small_side, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
@@ -106,94 +107,164 @@ def _segments(length: int):
     return rows
 
 
-def _bytes_of_runs(length: int):
-    """The bytes of each run still undecided."""
+def _frequent(length: int, counters: int = 4096):
+    """Misra-Gries counts of anchor keys over a task: no key with more than a share of 1 / ``counters`` is missing, and
+    counts are at most so much too low. The null key counts all rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.empty(0, np.int64), np.empty(0, np.int64), 0
         for batch in batches:
-            raws = list(utf8_rows(batch.column(1)))
-            runs = batch.column(2)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-            flat = runs.flatten()
-            start, count = flat.field("start").to_numpy(), flat.field("count").to_numpy()
-            for k in range(0, len(flat), 4096):
-                some = slice(k, k + 4096)
-                texts = [raws[d][s : s + c + length - 1] for d, s, c in zip(of[some].tolist(), start[some].tolist(), count[some].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column(0).to_numpy()[of[some]]), *(flat[some].field(n) for n in ("start", "count", "lead", "key", "salt", "lone", "split")), pa.array(texts, pa.binary())],
-                    names=["row_key", "start", "count", "lead", "key", "salt", "lone", "split", "raw"],
-                )
+            found = [runs_of_anchors(np.frombuffer(raw, np.uint8), length)[3] for raw in utf8_rows(batch.column(1))]
+            here = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            total += len(here)
+            new, times = np.unique(here, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(keys)).astype(np.int64)
+            if len(keys) > counters:
+                counts -= np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]
+                keys, counts = keys[counts > 0], counts[counts > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *keys.tolist()], pa.int64()), pa.array([total, *counts.tolist()], pa.int64())], names=["key", "n"])
 
     return rows
 
 
-def _reranked(length: int):
-    """Ranks the windows of each anchor key by the pair of their halves' ranks; gives windows whose pair repeats.
+def ranked_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A pass over rows that Spark sorted by key, salt and whole: (rows, first of each run, times, mixed, the others).
 
-    Groups of a key that was split over tasks give every distinct window, and its pair, to be ranked once more.
+    A run is the rows equal in key, salt and whole. times is the sum of their weights; mixed tells whether the key has
+    another run, or is crowded (split over tasks). Only one row waits for the next batch, however long a run or a
+    key is: the first of the last run, with what is known of it as its weight and crowded.
     """
-    half = length // 2
-
-    def one(group: pa.Table) -> tuple[np.ndarray, ...]:
-        rank: dict[bytes, int] = {}
-        first, second, member, pos = [], [], [], []
-        for m, (raw, s, c) in enumerate(zip(group.column("raw").to_pylist(), group.column("start").to_pylist(), group.column("count").to_pylist())):
-            at = [rank.setdefault(raw[p : p + half], len(rank)) for p in range(c + length - half)]
-            first += at[:c]
-            second += at[length - half : length - half + c]
-            member += [m] * c
-            pos += range(s, s + c)
-        pair = np.array(first) * len(rank) + np.array(second)
-        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
-        return np.array(member), np.array(pos), times[which] > 1
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        parts = [x for x in (held, batch) if x is not None]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        key, salt, whole = (table.column(c).to_numpy() for c in ("key", "salt", "whole"))
+        weight, crowded = table.column("weight").to_numpy(), table.column("crowded").to_numpy()
+        heads, firsts = group_starts([key, salt]), group_starts([key, salt, whole])
+        times = np.add.reduceat(weight.astype(np.int64), firsts)
+        of = np.searchsorted(heads, firsts, side="right") - 1
+        mixed = (np.bincount(of)[of] > 1) | np.logical_or.reduceat(crowded, heads)[of]
+        others = np.setdiff1d(np.arange(len(key)), firsts, assume_unique=True)
+        if batch is None:
+            yield table, firsts, times, mixed, others
+            return
+        last = table.slice(int(firsts[-1]), 1)
+        last = last.set_column(last.schema.get_field_index("weight"), "weight", pa.array([min(int(times[-1]), 2)], pa.int8()))
+        last = last.set_column(last.schema.get_field_index("crowded"), "crowded", pa.array([bool(mixed[-1])]))
+        held = last.select(batch.schema.names).combine_chunks().to_batches()[0].cast(batch.schema)
+        yield table, firsts[:-1], times[:-1], mixed[:-1], others
+
+
+FIRST = "row_key long, start int, count short, lead short, key long, salts int, state byte"
+DONE, LONE, WITNESS = 0, 1, 2
+
+
+def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that repeat as a whole, as done; of mixed keys, the first of each run to be ranked further.
+
+    A witness is decided itself, but others may repeat a part of it. Unique keys leave.
+    """
+    names = ["row_key", "start", "count", "lead", "key", "salts"]
+    for table, firsts, times, mixed, others in ranked_rows(batches):
+        done, more = np.concatenate([others, firsts[times != 1]]), (times > 0) & mixed
+        at = np.concatenate([done, firsts[more]])
+        state = np.concatenate([np.full(len(done), DONE), np.where(times[more] == 1, LONE, WITNESS)])
+        if len(at):
+            some = table.select(names).take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(some.column(n).combine_chunks() for n in names), pa.array(state.astype(np.int8))], names=[*names, "state"])
+
+
+NEXT = "row_key long, start int, count short, lead short, key long, salts int, salt long, whole long, weight byte, crowded boolean, lone boolean, raw binary"
+
+
+class Grown:
+    """Rows of the next round: each run cut into blocks of windows, ranked over the bytes that all of a block hold.
+
+    The leads of a block (how far its windows start before their anchor) are those with the same quotient by ``size``.
+    The smaller the blocks, the longer the string around the anchor that all their windows hold. Its key is the
+    rank of a pair: the key of the round before, and the bytes by which the string has grown.
+    """
+
+    def __init__(self, length: int, size: int, before: int):
+        self.length, self.size, self.before, self.reach = length, size, before, length - length // 2
+        self.out: list[list] = [[] for _ in range(12)]
+
+    def block(self, lead: int, size: int) -> tuple[int, int]:
+        low = lead // size * size
+        return low, min(low + size - 1, self.reach)
+
+    def add(self, row: int, start: int, count: int, lead: int, key: int, salts: int, lone: bool, raw: bytes) -> None:
+        out, least, length = self.out, lead - count + 1, self.length
+        high = lead
+        while high >= least:
+            low, top = self.block(high, self.size)
+            was_low, was_top = self.block(high, self.before)
+            end = max(least, low)
+            piece = raw[lead - high : lead - end + length]
+            grown = raw[lead - low : lead - was_low] + raw[lead - was_top + length : lead - top + length]
+            whole = xxhash.xxh3_64_intdigest(piece, seed=high + 1)
+            rank = xxhash.xxh3_64_intdigest(grown, seed=(key ^ (low * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)
+            values = (row, start + lead - high, high - end + 1, high, rank, salts, whole % salts, whole, 1, salts > 1, lone, piece if self.size > 1 else None)
+            for column, v in zip(out, values):
+                column.append(v)
+            high = end - 1
+
+    def pass_on(self, row: int, start: int, count: int) -> None:
+        """A run already decided: it goes on under a key of its own."""
+        for column, v in zip(self.out, (row, start, count, 0, (row * 1_000_003 + start) & 0xFFFFFFFFFFFFFFFF, 1, 0, 0, 0, False, False, None)):
+            column.append(v)
+
+    def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """What has gathered, if ``least`` rows or more."""
+        if len(self.out[0]) < least:
+            return
+        row, start, count, lead, key, salts, salt, whole, weight, crowded, lone, raw = self.out
+        self.out = [[] for _ in range(12)]
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        columns = [pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int16()), pa.array(lead, pa.int16()), signed(key), pa.array(salts, pa.int32()), pa.array(salt, pa.int64()), signed(whole)]
+        columns += [pa.array(weight, pa.int8()), pa.array(crowded, pa.bool_()), pa.array(lone, pa.bool_()), pa.array(raw, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in NEXT.split(", ")])
+
+
+def _opened(length: int, size: int):
+    """The runs of each row that are still open, with their bytes, as rows of the next round."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = Grown(length, size, 1 << 15)
+        for batch in batches:
+            for doc, raw, runs in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), batch.column(2)):
+                for r in runs.as_py():
+                    s, c = r["start"], r["count"]
+                    grown.add(doc, s, c, r["lead"], r["key"], r["salts"], r["lone"], raw[s : s + c + length - 1])
+                yield from grown.batches(8192)
+        yield from grown.batches()
+
+    return rows
+
+
+def _next_ranks(length: int, size: int, before: int):
+    """One round: runs that repeat as a whole are decided, unique keys leave, the rest is cut into blocks of ``size``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, offsets in whole_groups(batches, ["key", "salt"]):
-            docs, starts, ends, digests, lone_out = [], [], [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                group = table.slice(a, b - a)
-                row, lone, split = group.column("row_key").to_numpy(), group.column("lone").to_numpy(), group.column("split")[0].as_py()
-                if b - a == 1 and not split:
-                    continue
-                member, pos, again = one(group)
-                hit = again & lone[member]
-                # runs of hits are one span
-                m, p = member[hit], pos[hit]
-                if len(m):
-                    new = np.append(True, (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1))
-                    at = np.flatnonzero(new)
-                    docs += row[m[at]].tolist()
-                    starts += p[at].tolist()
-                    ends += (p[np.append(at[1:] - 1, len(p) - 1)] + length).tolist()
-                    digests += [None] * len(at)
-                    lone_out += [True] * len(at)
-                if split:
-                    raws, begin = group.column("raw").to_pylist(), group.column("start").to_numpy()
-                    left = np.flatnonzero(~hit)
-                    seen: set[bytes] = set()
-                    for x in left.tolist():
-                        window = raws[member[x]][pos[x] - begin[member[x]] :][:length]
-                        if lone[member[x]] or window not in seen:
-                            seen.add(window)
-                            docs.append(int(row[member[x]]))
-                            starts.append(int(pos[x]))
-                            ends.append(int(pos[x]) + length)
-                            digests.append(xxhash.xxh3_128_digest(window))
-                            lone_out.append(bool(lone[member[x]]))
-                    for x in np.flatnonzero(hit).tolist():
-                        window = raws[member[x]][pos[x] - begin[member[x]] :][:length]
-                        if window not in seen:
-                            seen.add(window)
-                            docs.append(int(row[member[x]]))
-                            starts.append(int(pos[x]))
-                            ends.append(int(pos[x]) + length)
-                            digests.append(xxhash.xxh3_128_digest(window))
-                            lone_out.append(False)
-            if docs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary()), pa.array(lone_out, pa.bool_())],
-                    names=["row_key", "start", "end", "digest", "lone"],
-                )
+        grown = Grown(length, size, before)
+        names = ["row_key", "start", "count", "lead", "key", "salts", "lone", "raw"]
+        for table, firsts, times, mixed, others in ranked_rows(batches):
+            row, start, count, lead, key, salts, lone = (table.column(n).to_numpy() for n in names[:-1])
+            weight, raw = table.column("weight").to_numpy(), table.column("raw")
+            repeats = np.concatenate([others, firsts[times > 1]])
+            done = np.concatenate([repeats[lone[repeats]], firsts[weight[firsts] == 0]])
+            for i in done.tolist():
+                grown.pass_on(int(row[i]), int(start[i]), int(count[i]))
+            if size:
+                for i, t in zip(firsts[(times > 0) & mixed].tolist(), times[(times > 0) & mixed].tolist()):
+                    grown.add(int(row[i]), int(start[i]), int(count[i]), int(lead[i]), int(key[i]), int(salts[i]), bool(lone[i]) and t == 1, raw[i].as_py())
+            yield from grown.batches(8192)
+        yield from grown.batches()
 
     return rows
 
@@ -227,54 +298,51 @@ def merged_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[np.append(new[1:] - 1, len(reach) - 1)].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_rows: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def block_sizes(length: int) -> list[int]:
+    """Windows a block in each round: powers of two from the largest a run can fill to eight, then single windows."""
+    size = 1 << ((length - length // 2).bit_length() - 1)
+    return [size >> k for k in range(size.bit_length()) if size >> k >= 8] + [1]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_rows: int = 256, hot_keys: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Each row's id with n_bytes, n_removed, spans (removed runs) and kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes (even, 2 to 30,000) that covers it also starts anywhere else in the
     corpus, the same text included. Texts are UTF-8 bytes; strings never cross rows and are judged on the input.
 
-    Prefix doubling, over positions sampled by content: every window of ``length`` holds one anchor whose half-length
-    string is the window's least by hash, so equal windows share it. (1) Spark shuffles runs of windows by their
-    anchor's rank key for half the length and sorts them; keys that occur once are unique and leave. A run whose bytes
-    all repeat is decided at once. (2) The other windows are ranked again at the doubled offset, by the pair of the
-    ranks of their two halves; windows whose pair is unique leave, and at ``length`` the rest are repeats. A key with
-    over ``group_rows`` distinct runs is split over tasks, whose distinct windows Spark ranks once more.
+    Prefix doubling over positions sampled by content: every window of ``length`` holds one anchor, whose half-length
+    string is the window's least by hash, so equal windows share it. Rows are runs of windows with one anchor. In each
+    round Spark sorts them by rank; unique ranks leave, runs whose bytes all repeat are decided, and the others are cut
+    into halves and ranked again by the pair of their rank and of the bytes by which the string grows: from half the
+    length around the anchor, the part still missing halves each round, until it is single windows of the whole ``length``.
+
+    Runs that repeat within a batch are counted before the shuffle. Keys with over a ``hot_keys``-th of all rows (so
+    fewer than that many; and over ``group_rows``) are split over tasks by their runs' bytes; their rows do not leave
+    early, but equal windows still meet. No task holds a key's rows: the pass over the sorted rows keeps one.
 
     Null text is empty: nothing removed. Texts shorter than ``length`` stay whole. Repeated rows are each other's
     copies. An empty table gives no rows. Null ids are kept as ids. Other columns are ignored.
     """
     rows = keyed_rows(docs, id_col, text_col)
-    runs = rows.select("row_key", text_col).mapInArrow(_segments(length), "row_key long, start int, count short, lead short, key long, whole long, weight byte")
-    per_key = Window.partitionBy("key").orderBy("whole").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per_run = Window.partitionBy("key", "whole").orderBy("whole")
-    judged = (
-        runs.withColumn("n", F.sum("weight").over(per_key)).withColumn("n_rows", F.count("*").over(per_key))
-        .withColumn("mixed", F.min("whole").over(per_key) < F.max("whole").over(per_key))
-        .withColumn("m", F.sum("weight").over(per_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("nth", F.row_number().over(per_run))
-        .where("n > 1 or weight = 0")
-        .select("row_key", "start", "count", "lead", "key", "whole", "n_rows", (F.expr("weight = 0 or m > 1")).alias("repeats"), F.expr("mixed and nth = 1 and weight > 0").alias("ranks"))
-    )
-    judged = written(judged, "runs")
-    decided = judged.where("repeats").select("row_key", "start", (F.col("start") + F.col("count") + F.lit(length - 1)).cast("int").alias("end"))
-    n_salts = F.ceil(F.col("n_rows") / F.lit(group_rows))
-    open_runs = (
-        judged.where("ranks")
-        .select("row_key", F.struct("start", "count", "lead", "key", F.pmod("whole", n_salts).cast("long").alias("salt"), (~F.col("repeats")).alias("lone"), (n_salts > 1).alias("split")).alias("run"))
-        .groupBy("row_key").agg(F.collect_list("run").alias("runs"))
-    )
-    open_runs = written(open_runs, "open")
-    open_runs = small_side(open_runs, broadcast_bytes)
-    ranked = (
-        rows.join(open_runs, "row_key").select("row_key", text_col, "runs")
-        .mapInArrow(_bytes_of_runs(length), "row_key long, start int, count short, lead short, key long, salt long, lone boolean, split boolean, raw binary")
-        .repartition("key", "salt").sortWithinPartitions("key", "salt")
-        .mapInArrow(_reranked(length), "row_key long, start int, end int, digest binary, lone boolean")
-    )
-    ranked = written(ranked, "ranked")
-    shared = ranked.where("digest is not null").groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
-    late = ranked.where("digest is not null and lone").join(shared, "digest").select("row_key", "start", "end")
-    spans = decided.unionByName(ranked.where("digest is null").select("row_key", "start", "end")).unionByName(late)
-    per_row = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    texts = rows.select("row_key", text_col)
+    counts = written(texts.mapInArrow(_frequent(length, hot_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where("key is null").agg(F.max("n")).first()[0] or 0
+    most = max(group_rows, total // hot_keys)
+    hot = counts.where((F.col("key").isNotNull()) & (F.col("n") > most)).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("salts"))
+    runs = texts.mapInArrow(_segments(length), "row_key long, start int, count short, lead short, key long, whole long, weight byte")
+    runs = runs.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    runs = runs.withColumn("salt", F.pmod("whole", "salts")).withColumn("crowded", F.col("salts") > 1)
+    judged = written(runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "whole").mapInArrow(_first_ranks, FIRST), "runs")
+    decided = judged.where(F.col("state") == DONE).select("row_key", "start", "count")
+    lone = (F.col("state") == LONE).alias("lone")
+    open_runs = judged.where(F.col("state") != DONE).groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "lead", "key", "salts", lone)).alias("runs"))
+    open_runs = small_side(written(open_runs, "open"), broadcast_bytes)
+    sizes = block_sizes(length)
+    now = rows.join(open_runs, "row_key").select("row_key", text_col, "runs").mapInArrow(_opened(length, sizes[0]), NEXT)
+    for before, size in zip(sizes, [*sizes[1:], 0]):
+        now = now.repartition("key", "salt").sortWithinPartitions("key", "salt", "whole").mapInArrow(_next_ranks(length, size, before), NEXT)
+    spans = decided.unionByName(written(now.select("row_key", "start", "count"), "ranked"))
+    spans = spans.select("row_key", F.struct("start", (F.col("start") + F.col("count") + F.lit(length - 1)).cast("int").alias("end")).alias("span"))
+    per_row = spans.groupBy("row_key").agg(F.collect_list("span").alias("found"))
     kind = dict(docs.dtypes)[id_col]
     return rows.join(per_row, "row_key", "left").select(F.col(id_col), text_col, "found").mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary").withColumnRenamed("id", id_col)
