@@ -1,4 +1,4 @@
-"""Operator 4: SimHash fingerprints and exact links within a Hamming radius."""
+"""Operator 4: SimHash fingerprints and exact links within a Hamming radius, by tiles of population counts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.llm.arrays import unite, utf8_rows, whole_groups
 from sparkloom.llm.components import connected_components
@@ -136,16 +136,17 @@ def block_masks(radius: int, keep: int, bits: int = 64) -> list[int]:
     return [sum(block[i] for i in chosen) for chosen in combinations(range(n), keep)]
 
 
-def tile_links(fp: np.ndarray, radius: int, tile: int = 2048) -> np.ndarray:
+def tile_links(fp: np.ndarray, radius: int, tile: int = 2048, lows: int | None = None) -> np.ndarray:
     """The smallest linked position of each fingerprint, by tiles of exclusive-or and bit counts.
 
     Fingerprints come sorted by population count; tile pairs whose counts differ by more than ``radius`` are skipped.
+    The first ``lows`` (all, if not given) meet every other; those behind them do not meet each other.
     """
     pop = np.bitwise_count(fp)
     parent = np.arange(len(fp))
-    step = 128
-    for a in range(0, len(fp), step):
-        rows = slice(a, min(a + step, len(fp)))
+    step, lows = 128, len(fp) if lows is None else lows
+    for a in range(0, lows, step):
+        rows = slice(a, min(a + step, lows))
         for b in range(a, len(fp), tile):
             if int(pop[b]) - int(pop[rows.stop - 1]) > radius:
                 break
@@ -158,19 +159,23 @@ def tile_links(fp: np.ndarray, radius: int, tile: int = 2048) -> np.ndarray:
     return parent
 
 
+MEETING = ["tile", "mask", "value", "finer", "rest", "part"]
+
+
 def _linked(radius: int):
-    """Within each bucket, edges from each fingerprint's row to the root of its set there: a forest, never all pairs."""
+    """Within each meeting, edges from each fingerprint's row to the root of its set there: a forest, never all pairs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, offsets in whole_groups(batches, ["mask", "part", "value"]):
-            fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
+        for table, offsets in whole_groups(batches, MEETING):
+            fp, node, tile = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("tile").to_numpy()
             a_out, b_out = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 if b - a < 2:
                     continue
                 f = fp[a:b]
-                order = np.argsort(np.bitwise_count(f), kind="stable")
-                parent = tile_links(f[order], radius)
+                pop = np.bitwise_count(f)
+                order = np.argsort(pop, kind="stable")
+                parent = tile_links(f[order], radius, lows=int((pop // (radius + 1) == tile[a]).sum()))
                 child = np.flatnonzero(parent != np.arange(b - a))
                 if len(child):
                     own = node[a:b][order]
@@ -182,27 +187,48 @@ def _linked(radius: int):
     return rows
 
 
-def near_fingerprints(classes: DataFrame, radius: int = 4, keep: int | None = None, bucket_rows: int = 4096) -> DataFrame:
+def _masked(masks: list[int], mask: str, value: str) -> Column:
+    """An array with, for each mask, its number and the fingerprint's bits under it."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return F.array(*(F.struct(F.lit(k).cast("long").alias(mask), F.col("fp").bitwiseAND(F.lit(m)).alias(value)) for k, m in enumerate(signed)))
+
+
+def near_fingerprints(classes: DataFrame, radius: int = 4, keep: int | None = None, bucket_rows: int = 4096, most_parts: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all of ``classes`` (fp, node; distinct fp) within ``radius`` bits, as forests.
 
-    The tiled comparison runs inside buckets of fingerprints that agree on some pigeonhole mask, which loses no link.
-    ``keep`` blocks of radius + keep are masked in; by default as few as hold an average bucket under
-    ``bucket_rows``. A bucket with more rows is cut in parts, and every pair of parts meets in a task of its own.
+    Fingerprints are dealt to tiles by population count, radius + 1 counts a band: a tile is a band and the one above
+    it, and its lower band is compared with both. Other pairs of bands are never met: their counts differ too much.
+    Inside a tile, only fingerprints that agree on some pigeonhole mask are compared, which loses no link and keeps work
+    from growing with the square of the corpus. ``keep`` blocks of radius + keep are masked in; by default as few as
+    hold an average bucket under ``bucket_rows``. Larger buckets are cut in parts, every two of which meet in a task of
+    their own; if that took over ``most_parts`` parts (as many as finer masks), by finer masks first.
     """
     if keep is None:
         n, keep = classes.count(), 1
         while keep < 4 and n >> (64 * keep // (radius + keep)) > bucket_rows:
             keep += 1
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(radius, keep)]
-    kept = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks)))).alias("at")
-    rows = classes.select("fp", "node", kept).select("fp", "node", "at.mask", "at.value")
-    large = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    n_parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(bucket_rows))
-    own = F.pmod(F.xxhash64("node"), n_parts)
-    # part of a pair (i, j), i <= j: own part meets every other
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda j: F.least(own, j) * n_parts + F.greatest(own, j))
-    dealt = rows.join(large, ["mask", "value"], "left").select("fp", "node", "mask", "value", F.explode(pairs).alias("part"))
-    return dealt.repartition("mask", "part", "value").sortWithinPartitions("mask", "part", "value").mapInArrow(_linked(radius), "a long, b long")
+    finer = block_masks(radius, keep + 2)
+    most_parts = len(finer) if most_parts is None else most_parts
+    band = F.floor(F.bit_count("fp") / (radius + 1)).cast("long")
+    rows = classes.select("fp", "node", F.explode(F.array(band, band - 1)).alias("tile")).where("tile >= 0")
+    rows = rows.select("fp", "node", "tile", F.explode(_masked(block_masks(radius, keep), "mask", "value")).alias("at")).select("fp", "node", "tile", "at.*")
+    bucket = ["tile", "mask", "value"]
+
+    def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+        large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+        return rows.join(large, keys, "left").withColumn("n_parts", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(bucket_rows))).drop("n")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), F.col("n_parts"))
+        # part of a pair (i, j), i <= j: own part meets every other
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1), lambda j: F.least(own, j) * F.col("n_parts") + F.greatest(own, j))
+        return rows.select("fp", "node", *MEETING[:-1], F.explode(pairs).alias("part"))
+
+    rows = sized(rows, bucket)
+    cut = rows.where(F.col("n_parts") <= most_parts).withColumns({"finer": F.lit(-1).cast("long"), "rest": F.lit(0).cast("long")})
+    huge = rows.where(F.col("n_parts") > most_parts).select("fp", "node", *bucket, F.explode(_masked(finer, "finer", "rest")).alias("at")).select("fp", "node", *bucket, "at.*")
+    met = dealt(cut).unionByName(dealt(sized(huge, [*bucket, "finer", "rest"])))
+    return met.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(_linked(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
