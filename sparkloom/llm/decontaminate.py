@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.llm.arrays import group_starts
 from sparkloom.llm.shared import keyed_rows, small_side, written
 
 # Any overlap of five tokens or more with at most a fifth substituted holds one of these, whatever was substituted.
@@ -56,7 +57,20 @@ def _probes(h: np.ndarray, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], ..
     return tuple(((x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63))) for x in (h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)))
 
 
-def _test_seeds(min_item: int):
+def contexts(tokens: np.ndarray, at: np.ndarray, min_tokens: int, pad: int) -> np.ndarray:
+    """The tokens around each seed, as far as an overlap of under twice ``min_tokens`` that holds it can reach."""
+    left, right = 2 * min_tokens - 1 - 5, 2 * min_tokens - 1
+    around = np.concatenate([np.full(left, pad, np.uint64), tokens, np.full(right, pad, np.uint64)])
+    return np.lib.stride_tricks.sliding_window_view(around, left + right)[at]
+
+
+def _contexts_column(around: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1] * 8), len(around), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
+
+
+def _test_seeds(min_item: int, min_tokens: int, similarity: float):
+    """A row for each seed of an item: where it is, what is around it, and how many equal tokens there an overlap needs."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
@@ -64,9 +78,12 @@ def _test_seeds(min_item: int):
                 t = tokens(text or "")
                 if len(t) < min_item:
                     continue
+                need = int(np.ceil(similarity * min(len(t), min_tokens) - 1e-9))
                 for number, mask in enumerate(MASKS):
                     h = seeds(t, mask, number)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item, np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], names=["hash", "item_key", "item_pos"])
+                    for k in range(0, len(h), 4096):
+                        at = np.arange(k, min(k + 4096, len(h)))
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), item, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), need, np.int32)), _contexts_column(contexts(t, at, min_tokens, 1))], names=["hash", "who", "pos", "need", "around"])
 
     return rows
 
@@ -80,15 +97,14 @@ def _filter_words(bits: int):
     return rows
 
 
-def _hits(words: np.ndarray, filled: np.ndarray, bits: int):
-    """Seeds of documents that the filter of test seeds lets through."""
+def _hits(words: np.ndarray, filled: np.ndarray, bits: int, min_tokens: int):
+    """Seeds of documents that the filter of test seeds lets through, with the tokens around them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 6), np.uint64)
         table[words] = filled
-        tokens = Tokens()
+        tokens, out, size = Tokens(), [], 0
         for batch in batches:
-            doc_out, pos_out, hash_out = [], [], []
             for doc, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
                 if not text:
                     continue
@@ -101,16 +117,84 @@ def _hits(words: np.ndarray, filled: np.ndarray, bits: int):
                     at = np.flatnonzero(table[word] & bit)
                     if len(at):
                         at = at[(table[second[0][at]] & second[1][at]) != 0]
-                    if len(at):
-                        doc_out.append(np.full(len(at), doc, np.int64))
-                        pos_out.append(at.astype(np.int32))
-                        hash_out.append(h[at].view(np.int64))
-            if doc_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hash_out, doc_out, pos_out)], names=["hash", "row_key", "pos"])
+                    for k in range(0, len(at), 4096):
+                        some = at[k : k + 4096]
+                        out.append((h[some].view(np.int64), np.full(len(some), doc, np.int64), some.astype(np.int32), contexts(t, some, min_tokens, 0)))
+                        size += len(some)
+                if size >= 4096:
+                    yield gathered(out)
+                    out, size = [], 0
+        if out:
+            yield gathered(out)
+
+    def gathered(out: list[tuple]) -> pa.RecordBatch:
+        h, doc, at, around = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at), _contexts_column(around)], names=["hash", "who", "pos", "around"])
 
     return rows
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Diagonals of hits that can belong to an overlap, from rows sorted by hash, salt, part and kind.
+
+    The test seeds of a meeting (kind 0, a bounded part) come first and are kept; hits stream past them. Some stretch of
+    an overlap, of under twice the least length, is as similar as the whole and holds a hit; so around that hit at least
+    the tokens that the least overlap needs are equal. Hits without are by chance, however common the phrase.
+    """
+    now, items, need, shifts, tests = None, None, None, None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("hash", "salt", "part")]
+        who, pos, kind, needs = (batch.column(c).to_numpy() for c in ("who", "pos", "kind", "need"))
+        around = np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        starts = np.append(group_starts([*keys, kind]), batch.num_rows)
+        rows_out, items_out, shifts_out = [], [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            group = tuple(int(k[a]) for k in keys)
+            if group != now:
+                now, tests, items = group, [], None
+            if kind[a] == 0:
+                tests.append((who[a:b].copy(), pos[a:b].copy(), needs[a:b].copy(), around[a:b].copy()))
+                items = None
+                continue
+            if not tests:
+                continue
+            if items is None:
+                items, shifts, need, facing = (np.concatenate(x) for x in zip(*tests))
+            step = max(1, (1 << 21) // facing.size)
+            for k in range(a, b, step):
+                some = slice(k, min(k + step, b))
+                i, j = np.nonzero((around[some, None] == facing[None]).sum(axis=2) >= need)
+                rows_out.append(who[some][i])
+                items_out.append(items[j])
+                shifts_out.append(pos[some][i] - shifts[j])
+        if rows_out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows_out, items_out, shifts_out)], names=["row_key", "item_key", "shift"])
+
+
+def diagonals(hits: DataFrame, test: DataFrame, group_rows: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """(row_key, item_key, shift) of all ``hits`` that face a seed of ``test`` and can belong to an overlap.
+
+    Hashes with over ``group_rows`` hits or test seeds are split: hits by their document into salts, which all get the
+    test seeds, and test seeds by their item into parts, which all get the hits. So a phrase common to many documents
+    and items is compared in many tasks, and only what it may be a part of leaves them.
+    """
+    n_hits, n_tests = (x.groupBy("hash").agg(F.count("*").alias(n)) for x, n in ((hits, "n_hits"), (test, "n_tests")))
+    n_tests = n_tests.join(n_hits, "hash", "left_semi")
+    cut = lambda n: F.ceil(F.col(n) / F.lit(group_rows)).cast("int")
+    large = written(n_hits.join(n_tests, "hash").where((F.col("n_hits") > group_rows) | (F.col("n_tests") > group_rows)).select("hash", cut("n_hits").alias("salts"), cut("n_tests").alias("parts")), "hot")
+    large = small_side(large, broadcast_bytes)
+    one = F.lit(1)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), one) - 1))
+    own = lambda n: F.pmod(F.xxhash64("who"), F.coalesce(F.col(n), one)).cast("int")
+    columns = ["hash", "salt", "part", "kind", "who", "pos", "need", "around"]
+    tests = test.join(large, "hash", "left").withColumn("part", own("parts")).withColumn("salt", upto("salts")).withColumn("kind", F.lit(0)).select(columns)
+    docs = hits.join(large, "hash", "left").withColumn("salt", own("salts")).withColumn("part", upto("parts")).withColumn("kind", F.lit(1)).withColumn("need", F.lit(0)).select(columns)
+    met = tests.unionByName(docs).repartition("hash", "salt", "part").sortWithinPartitions("hash", "salt", "part", "kind")
+    return met.mapInArrow(_met, "row_key long, item_key long, shift int")
+
+
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int, int]:
     """(tokens, matches, start in doc, start in item) of the longest overlap on a diagonal that is similar enough.
 
@@ -166,7 +250,7 @@ def _verified(similarity: float, min_tokens: int):
     return rows
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, min_tokens: int = 12, min_item: int = 5, max_filter_bits: int = 28, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, min_tokens: int = 12, min_item: int = 5, max_filter_bits: int = 28, group_rows: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """A row for each document and benchmark item that overlap: id, item, n_tokens, n_matches, doc_start, item_start.
 
     Tokens are lower-cased words. An overlap is an aligned run of tokens, substitutions allowed, insertions not, with
@@ -175,21 +259,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Spaced seeds: hashes of the tokens that four fixed masks keep. A bit filter of sixteen bits a test seed, and of
     2 ** ``max_filter_bits`` (32 MB) at most, goes to all tasks; seeds of documents that pass it join the test seeds by
-    hash, so a fuller filter costs rows, never results; diagonals of hits are verified against the whole text. Candidates go to the documents by broadcast if their files are small, else by a join.
+    hash, so a fuller filter costs rows, never results. Where they meet, the tokens around them decide which diagonals can
+    hold an overlap (``diagonals``, which splits hot seeds), and these are verified against the whole text. Candidates go
+    to the documents by broadcast if their rows are small, else by a join.
     Null and empty texts have no rows; rows that repeat an id give one for each different text; empty tables give none.
     """
     items = keyed_rows(benchmark, item_col, item_text_col, key="item_key").select("item_key", F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
     items = written(items.where("item_text is not null").dropDuplicates(["item_key"]), "items")
-    test = written(items.select("item_key", "item_text").mapInArrow(_test_seeds(min_item), "hash long, item_key long, item_pos int"), "seeds")
+    test = written(items.select("item_key", "item_text").mapInArrow(_test_seeds(min_item, min_tokens, similarity), "hash long, who long, pos int, need int, around binary"), "seeds")
     filter_bits = min(max_filter_bits, max(20, (16 * test.count()).bit_length()))
     bits = test.select("hash").mapInArrow(_filter_words(filter_bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words, filled = bits.column("word").to_numpy(), bits.column("bits").to_numpy().view(np.uint64)
     rows = keyed_rows(docs, id_col, text_col)
-    hits = rows.select("row_key", text_col).mapInArrow(_hits(words, filled, filter_bits), "hash long, row_key long, pos int")
-    diagonals = hits.join(test, "hash").groupBy("row_key", "item_key").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
-    found = diagonals.join(items, "item_key").groupBy("row_key").agg(F.collect_list(F.struct("item_key", "item", F.col("item_text").alias("text"), "shifts")).alias("found"))
-    found = written(found, "hits")
-    found = small_side(found, broadcast_bytes)
+    hits = written(rows.select("row_key", text_col).mapInArrow(_hits(words, filled, filter_bits, min_tokens), "hash long, who long, pos int, around binary"), "seed_hits")
+    near = diagonals(hits, test, group_rows, broadcast_bytes).groupBy("row_key", "item_key").agg(F.collect_set("shift").alias("shifts"))
+    found = near.join(items, "item_key").groupBy("row_key").agg(F.collect_list(F.struct("item_key", "item", F.col("item_text").alias("text"), "shifts")).alias("found"))
+    found = small_side(written(found, "hits"), broadcast_bytes)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     near = rows.join(found, "row_key").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "found")
     out = near.mapInArrow(_verified(similarity, min_tokens), f"id {kind}, item {item_kind}, n_tokens int, n_matches int, doc_start int, item_start int")
