@@ -143,17 +143,18 @@ def _predicted(model: LanguageModel | None, reject: bool = False):
     return rows
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", reject: bool = False) -> DataFrame:
-    """``keep`` with lang_pred (a learned language, or ``und``), score (0 to 1) and ambiguous for every row.
+def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", reject: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``keep`` with lang_pred (a learned language, or ``und``), score (0 to 1) and ambiguous for every row; ``names`` renames these.
 
     Only the whole text is an input. Null, empty and letterless texts are ``und`` with score 0, as are all texts if
     nothing could be learned. With ``reject``, so are texts that no codeword is near (``LanguageModel.limit``) and
-    texts whose two nearest codewords tie; these keep their score and ambiguous. Nothing is shuffled; repeated rows are kept; empty tables give no rows.
+    texts whose two nearest codewords tie; these keep their score and ambiguous. Nothing is shuffled; repeated rows are
+    kept; empty tables give no rows.
     """
     kinds = dict(docs.dtypes)
-    who = "struct<" + ", ".join(f"{c}: {kinds[c]}" for c in keep) + ">"
+    who = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
     found = docs.select(F.struct(*keep).alias("who"), F.col(text_col).alias("text")).mapInArrow(_predicted(model, reject), f"who {who}, lang_pred string, score double, ambiguous boolean")
-    return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "lang_pred", "score", "ambiguous")
+    return found.select(*(F.col(f"who.`{c}`").alias(c) for c in keep), *(F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "ambiguous"), names)))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
