@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.llm.arrays import group_starts, utf8_rows
-from sparkloom.llm.shared import keyed_rows, small_side, written
+from sparkloom.llm.shared import keyed_rows, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -304,7 +304,7 @@ def block_sizes(length: int) -> list[int]:
     return [size >> k for k in range(size.bit_length()) if size >> k >= 8] + [1]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_rows: int = 256, hot_keys: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_rows: int = 256, hot_keys: int = 4096) -> DataFrame:
     """Each row's id with n_bytes, n_removed, spans (removed runs) and kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes (even, 2 to 30,000) that covers it also starts anywhere else in the
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length around the anchor, the part still missing halves each round, until it is single windows of the whole ``length``.
 
     Runs that repeat within a batch are counted before the shuffle. Keys with over a ``hot_keys``-th of all rows (so
-    fewer than that many; and over ``group_rows``) are split over tasks by their runs' bytes; their rows do not leave
+    fewer than that many; and over ``group_rows``) are split by their runs' bytes, eight parts for as many rows; these do not leave
     early, but equal windows still meet. No task holds a key's rows: the pass over the sorted rows keeps one.
 
     Null text is empty: nothing removed. Texts shorter than ``length`` stay whole. Repeated rows are each other's
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = written(texts.mapInArrow(_frequent(length, hot_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("key is null").agg(F.max("n")).first()[0] or 0
     most = max(group_rows, total // hot_keys)
-    hot = counts.where((F.col("key").isNotNull()) & (F.col("n") > most)).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("salts"))
+    hot = counts.where((F.col("key").isNotNull()) & (F.col("n") > most)).select("key", F.ceil(F.lit(8) * F.col("n") / F.lit(most)).cast("int").alias("salts"))
     runs = texts.mapInArrow(_segments(length), "row_key long, start int, count short, lead short, key long, whole long, weight byte")
     runs = runs.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     runs = runs.withColumn("salt", F.pmod("whole", "salts")).withColumn("crowded", F.col("salts") > 1)
@@ -336,9 +336,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     decided = judged.where(F.col("state") == DONE).select("row_key", "start", "count")
     lone = (F.col("state") == LONE).alias("lone")
     open_runs = judged.where(F.col("state") != DONE).groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "lead", "key", "salts", lone)).alias("runs"))
-    open_runs = small_side(written(open_runs, "open"), broadcast_bytes)
     sizes = block_sizes(length)
-    now = rows.join(open_runs, "row_key").select("row_key", text_col, "runs").mapInArrow(_opened(length, sizes[0]), NEXT)
+    # Always by a merge join: the runs grow with the corpus, so a plan for small ones would tell nothing of large ones.
+    now = rows.join(written(open_runs, "open").hint("merge"), "row_key").select("row_key", text_col, "runs").mapInArrow(_opened(length, sizes[0]), NEXT)
     for before, size in zip(sizes, [*sizes[1:], 0]):
         now = now.repartition("key", "salt").sortWithinPartitions("key", "salt", "whole").mapInArrow(_next_ranks(length, size, before), NEXT)
     spans = decided.unionByName(written(now.select("row_key", "start", "count"), "ranked"))
