@@ -323,7 +323,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text is empty: nothing removed. Texts shorter than ``length`` stay whole. Repeated rows are each other's
     copies. An empty table gives no rows. Null ids are kept as ids. Other columns are ignored.
     """
-    rows = keyed_rows(docs, id_col, text_col)
+    # Keys are never null; saying so keeps both joins below on one shuffle of the texts.
+    rows = keyed_rows(docs, id_col, text_col).where("row_key is not null").select(id_col, "row_key", text_col)
     texts = rows.select("row_key", text_col)
     counts = written(texts.mapInArrow(_frequent(length, hot_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("key is null").agg(F.max("n")).first()[0] or 0
@@ -338,11 +339,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_runs = judged.where(F.col("state") != DONE).groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "lead", "key", "salts", lone)).alias("runs"))
     sizes = block_sizes(length)
     # Always by a merge join: the runs grow with the corpus, so a plan for small ones would tell nothing of large ones.
-    now = rows.join(written(open_runs, "open").hint("merge"), "row_key").select("row_key", text_col, "runs").mapInArrow(_opened(length, sizes[0]), NEXT)
+    now = rows.join(written(open_runs, "open").hint("merge"), "row_key").select("row_key", text_col, "runs", id_col).mapInArrow(_opened(length, sizes[0]), NEXT)
     for before, size in zip(sizes, [*sizes[1:], 0]):
         now = now.repartition("key", "salt").sortWithinPartitions("key", "salt", "whole").mapInArrow(_next_ranks(length, size, before), NEXT)
-    spans = decided.unionByName(written(now.select("row_key", "start", "count"), "ranked"))
+    spans = decided.unionByName(now.select("row_key", "start", "count"))
     spans = spans.select("row_key", F.struct("start", (F.col("start") + F.col("count") + F.lit(length - 1)).cast("int").alias("end")).alias("span"))
     per_row = spans.groupBy("row_key").agg(F.collect_list("span").alias("found"))
     kind = dict(docs.dtypes)[id_col]
-    return rows.join(per_row, "row_key", "left").select(F.col(id_col), text_col, "found").mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary").withColumnRenamed("id", id_col)
+    return rows.join(per_row.hint("merge"), "row_key", "left").select(F.col(id_col), text_col, "found").mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary").withColumnRenamed("id", id_col)
