@@ -10,8 +10,9 @@ import pyarrow as pa
 
 def utf8_rows(column: pa.Array) -> Iterator[bytes]:
     """Each string of ``column`` as UTF-8 bytes; null gives empty bytes."""
-    for value in column.cast(pa.large_binary()):
-        yield value.as_py() or b""
+    for k in range(0, len(column), 256):
+        for value in column.slice(k, 256).cast(pa.large_binary()):
+            yield value.as_py() or b""
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,6 +18,9 @@ from sparkloom.llm.shared import keyed_rows, written
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+_space = re.compile(rb"[ \t-\r]").search
+
+
 def _rotl(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
@@ -71,50 +75,80 @@ def xxh64_slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints_of(texts: list[bytes], words: int = 4, at_once: int = 1 << 17) -> np.ndarray:
-    """The 64-bit SimHash of each text over shingles of ``words`` words, repeats included."""
-    spaced = [b" ".join(t.lower().split()) for t in texts]
-    out = np.zeros(len(texts), np.uint64)
-    raw = np.frombuffer(b"\n".join(spaced) + b"\n", np.uint8)
-    breaks = np.flatnonzero((raw == 32) | (raw == 10))
-    last = np.cumsum(np.array([len(t) + 1 for t in spaced], np.int64)) - 1
-    first = np.append(0, last[:-1] + 1)
-    word_start, word_end = np.append(0, breaks[:-1] + 1), breaks
-    doc = np.searchsorted(last, word_start)
-    n_words = np.bincount(doc[word_end > word_start], minlength=len(texts))
-    lead = np.flatnonzero(doc[: len(doc) - words + 1] == doc[words - 1 :]) if len(doc) >= words else np.empty(0, np.int64)
-    short = np.flatnonzero((n_words > 0) & (n_words < words))
-    start = np.concatenate([word_start[lead], first[short]])
-    end = np.concatenate([word_end[lead + words - 1], last[short]])
-    of = np.concatenate([doc[lead], short])
-    order = np.argsort(of, kind="stable")
-    start, end, of = start[order], end[order], of[order]
-    ones = np.zeros((len(texts), 64), np.int64)
-    for k in range(0, len(of), at_once):
-        some = slice(k, k + at_once)
-        h = xxh64_slices(raw, start[some], end[some])
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        heads = np.flatnonzero(np.diff(of[some], prepend=-1))
-        ones[of[some][heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-    total = np.bincount(of, minlength=len(texts))
-    major = ones * 2 > total[:, None]
-    out[:] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
-def _fingerprint_rows(words: int, bytes_at_once: int = 4 << 20):
+PIECE = 1 << 20  # bytes of a text cut into words at a time
+
+
+def pieces_of(raw: bytes, words: int) -> Iterator[bytes]:
+    """The lower-cased words of a text, space-joined, in pieces of about ``PIECE`` bytes that together hold each shingle of
+    ``words`` words once: all but the first begin with the last words of the one before. Fewer words are one piece."""
+    begin, before, first = 0, [], True
+    while begin < len(raw):
+        end = len(raw)
+        if end - begin > PIECE:
+            space = _space(raw, begin + PIECE)
+            end = space.start() if space else end
+        now = before + raw[begin:end].lower().split()
+        begin = end
+        if len(now) >= words or now and first and begin >= len(raw):
+            yield b" ".join(now)
+            before, first = now[len(now) - words + 1 :] if words > 1 else [], False
+        else:
+            before = now
+
+
+def shingle_hashes(pieces: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of ``pieces`` (space-joined words; fewer than ``words`` are one shingle), and whose each is, in order."""
+    raw = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    starts = np.append(0, ends[:-1] + 1)
+    last = np.cumsum(np.array([len(t) + 1 for t in pieces], np.int64)) - 1
+    of = np.searchsorted(last, starts).astype(np.int32)
+    n_words = np.bincount(of, minlength=len(pieces))
+    lead = np.flatnonzero(of[: len(of) - words + 1] == of[words - 1 :]) if len(of) >= words else np.empty(0, np.int64)
+    short = np.flatnonzero(n_words < words)
+    whose = np.concatenate([of[lead], short.astype(np.int32)])
+    h = xxh64_slices(raw, np.concatenate([starts[lead], np.append(0, last[:-1] + 1)[short]]), np.concatenate([ends[lead + words - 1], last[short]]))
+    if len(short):
+        order = np.argsort(whose, kind="stable")
+        h, whose = h[order], whose[order]
+    return h, whose
+
+
+def in_pieces(texts: Iterable[bytes], words: int, bytes_at_once: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingle hashes of ``texts`` and the number of each one's text, some bytes at a time; long texts come in parts."""
+    pieces, owners, size = [], [], 0
+    for k, raw in enumerate(texts):
+        for piece in pieces_of(raw, words):
+            pieces.append(piece)
+            owners.append(k)
+            size += len(piece)
+            if size >= bytes_at_once:
+                h, whose = shingle_hashes(pieces, words)
+                yield h, np.array(owners)[whose]
+                pieces, owners, size = [], [], 0
+    if pieces:
+        h, whose = shingle_hashes(pieces, words)
+        yield h, np.array(owners)[whose]
+
+
+def fingerprints_of(texts: Iterable[bytes], n: int, words: int = 4, at_once: int = 1 << 16) -> np.ndarray:
+    """The 64-bit SimHash of each of the ``n`` texts over shingles of ``words`` words, repeats included."""
+    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    for hashes, owner in in_pieces(texts, words):
+        total += np.bincount(owner, minlength=n)
+        for k in range(0, len(hashes), at_once):
+            h, of = hashes[k : k + at_once], owner[k : k + at_once]
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            heads = np.flatnonzero(np.diff(of, prepend=-1))
+            ones[of[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _fingerprint_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, waiting, size = [], [], 0
-            for raw in utf8_rows(batch.column(1)):
-                waiting.append(raw)
-                size += len(raw)
-                if size >= bytes_at_once:
-                    found.append(fingerprints_of(waiting, words))
-                    waiting, size = [], 0
-            if waiting:
-                found.append(fingerprints_of(waiting, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())], names=["row_key", "fp"])
+            fp = fingerprints_of(utf8_rows(batch.column(1)), batch.num_rows, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["row_key", "fp"])
 
     return rows
 

@@ -27,3 +27,16 @@ def test_upper_band_does_not_meet_itself():
     parent = simhash.tile_links(fp[order], 4, lows=1)
     assert parent.tolist() == [0, 0, 2, 3]
     assert simhash.tile_links(fp[order], 4).tolist() == [0, 0, 2, 0]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [b" ".join(rng.choice([b"a", b"Bc", b"def", b"\xc3\xa9g"]) + b"\n" * rng.randrange(3) for _ in range(n)) for n in (0, 1, 3, 4, 5, 50, 400)] + [b"x" * 300 + b" " + b"y" * 200, b" " * 200 + b"a b", b"a b" + b"\t" * 150 + b"c d e"]
+    whole = simhash.fingerprints_of(texts, len(texts)).tolist()
+    shingles = [list(simhash.in_pieces([t], 4)) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 40)
+    cut = [list(simhash.in_pieces([t], 4, 100)) for t in texts]
+    for a, b in zip(shingles, cut):
+        join = lambda x: sorted(np.concatenate([h for h, _ in x]).tolist()) if x else []
+        assert join(a) == join(b)
+    assert simhash.fingerprints_of(texts, len(texts)).tolist() == whole
