@@ -58,14 +58,14 @@ def _probes(h: np.ndarray, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], ..
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray, min_tokens: int, pad: int) -> np.ndarray:
-    """The tokens around each seed, as far as an overlap of under twice ``min_tokens`` that holds it can reach."""
+    """Sixteen bits of each token around each seed, as far as an overlap of under twice ``min_tokens`` that holds it can reach."""
     left, right = 2 * min_tokens - 1 - 5, 2 * min_tokens - 1
-    around = np.concatenate([np.full(left, pad, np.uint64), tokens, np.full(right, pad, np.uint64)])
+    around = np.concatenate([np.full(left, pad, np.uint16), tokens.astype(np.uint16), np.full(right, pad, np.uint16)])
     return np.lib.stride_tricks.sliding_window_view(around, left + right)[at]
 
 
 def _contexts_column(around: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1] * 8), len(around), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1] * 2), len(around), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
 
 
 def _test_seeds(min_item: int, min_tokens: int, similarity: float):
@@ -134,46 +134,53 @@ def _hits(words: np.ndarray, filled: np.ndarray, bits: int, min_tokens: int):
     return rows
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(min_tokens: int):
     """Diagonals of hits that can belong to an overlap, from rows sorted by hash, salt, part and kind.
 
     The test seeds of a meeting (kind 0, a bounded part) come first and are kept; hits stream past them. Some stretch of
     an overlap, of under twice the least length, is as similar as the whole and holds a hit; so around that hit at least
     the tokens that the least overlap needs are equal. Hits without are by chance, however common the phrase.
     """
-    now, items, need, shifts, tests = None, None, None, None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy() for c in ("hash", "salt", "part")]
-        who, pos, kind, needs = (batch.column(c).to_numpy() for c in ("who", "pos", "kind", "need"))
-        around = np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        starts = np.append(group_starts([*keys, kind]), batch.num_rows)
-        rows_out, items_out, shifts_out = [], [], []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            group = tuple(int(k[a]) for k in keys)
-            if group != now:
-                now, tests, items = group, [], None
-            if kind[a] == 0:
-                tests.append((who[a:b].copy(), pos[a:b].copy(), needs[a:b].copy(), around[a:b].copy()))
-                items = None
-                continue
-            if not tests:
+    width = 2 * (2 * min_tokens - 1) - 5
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items, need, shifts, tests = None, None, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if items is None:
-                items, shifts, need, facing = (np.concatenate(x) for x in zip(*tests))
-            step = max(1, (1 << 21) // facing.size)
-            for k in range(a, b, step):
-                some = slice(k, min(k + step, b))
-                i, j = np.nonzero((around[some, None] == facing[None]).sum(axis=2) >= need)
-                rows_out.append(who[some][i])
-                items_out.append(items[j])
-                shifts_out.append(pos[some][i] - shifts[j])
-        if rows_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows_out, items_out, shifts_out)], names=["row_key", "item_key", "shift"])
-
-
-def diagonals(hits: DataFrame, test: DataFrame, group_rows: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
+            keys = [batch.column(c).to_numpy() for c in ("hash", "salt", "part")]
+            who, pos, kind, needs = (batch.column(c).to_numpy() for c in ("who", "pos", "kind", "need"))
+            column = batch.column("around").cast(pa.large_binary())
+            at = int(np.frombuffer(column.buffers()[1], np.int64)[column.offset])
+            around = np.frombuffer(column.buffers()[2], np.uint16, batch.num_rows * width, at).reshape(-1, width)
+            starts = np.append(group_starts([*keys, kind]), batch.num_rows)
+            rows_out, items_out, shifts_out = [], [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                group = tuple(int(k[a]) for k in keys)
+                if group != now:
+                    now, tests, items = group, [], None
+                if kind[a] == 0:
+                    tests.append((who[a:b].copy(), pos[a:b].copy(), needs[a:b].copy(), around[a:b].copy()))
+                    items = None
+                    continue
+                if not tests:
+                    continue
+                if items is None:
+                    items, shifts, need, facing = (np.concatenate(x) for x in zip(*tests))
+                step = max(1, (1 << 21) // facing.size)
+                for k in range(a, b, step):
+                    some = slice(k, min(k + step, b))
+                    i, j = np.nonzero((around[some, None] == facing[None]).sum(axis=2) >= need)
+                    rows_out.append(who[some][i])
+                    items_out.append(items[j])
+                    shifts_out.append(pos[some][i] - shifts[j])
+            if rows_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows_out, items_out, shifts_out)], names=["row_key", "item_key", "shift"])
+
+    return rows
+
+
+def diagonals(hits: DataFrame, test: DataFrame, min_tokens: int, group_rows: int = 4096, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(row_key, item_key, shift) of all ``hits`` that face a seed of ``test`` and can belong to an overlap.
 
     Hashes with over ``group_rows`` hits or test seeds are split: hits by their document into salts, which all get the
@@ -192,7 +199,7 @@ def diagonals(hits: DataFrame, test: DataFrame, group_rows: int = 4096, broadcas
     tests = test.join(large, "hash", "left").withColumn("part", own("parts")).withColumn("salt", upto("salts")).withColumn("kind", F.lit(0)).select(columns)
     docs = hits.join(large, "hash", "left").withColumn("salt", own("salts")).withColumn("part", upto("parts")).withColumn("kind", F.lit(1)).withColumn("need", F.lit(0)).select(columns)
     met = tests.unionByName(docs).repartition("hash", "salt", "part").sortWithinPartitions("hash", "salt", "part", "kind")
-    return met.mapInArrow(_met, "row_key long, item_key long, shift int")
+    return met.mapInArrow(_met(min_tokens), "row_key long, item_key long, shift int")
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int, int]:
@@ -272,7 +279,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     words, filled = bits.column("word").to_numpy(), bits.column("bits").to_numpy().view(np.uint64)
     rows = keyed_rows(docs, id_col, text_col)
     hits = written(rows.select("row_key", text_col).mapInArrow(_hits(words, filled, filter_bits, min_tokens), "hash long, who long, pos int, around binary"), "seed_hits")
-    near = diagonals(hits, test, group_rows, broadcast_bytes).groupBy("row_key", "item_key").agg(F.collect_set("shift").alias("shifts"))
+    near = diagonals(hits, test, min_tokens, group_rows, broadcast_bytes).groupBy("row_key", "item_key").agg(F.collect_set("shift").alias("shifts"))
     found = near.join(items, "item_key").groupBy("row_key").agg(F.collect_list(F.struct("item_key", "item", F.col("item_text").alias("text"), "shifts")).alias("found"))
     found = small_side(written(found, "hits"), broadcast_bytes)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
