@@ -97,39 +97,59 @@ def _filter_words(bits: int):
     return rows
 
 
-def _hits(words: np.ndarray, filled: np.ndarray, bits: int, min_tokens: int):
-    """Seeds of documents that the filter of test seeds lets through, with the tokens around them."""
+def seeds_of_many(tokens: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask, its places within single documents and their hashes; ``doc`` numbers each token's document."""
+    by_place = [tokens * np.uint64(odd) for odd in _odd[:4]]
+    for number, mask in enumerate(MASKS):
+        n = len(tokens) - mask[-1]
+        if n <= 0:
+            continue
+        h = sum((by_place[k][at : at + n] for k, at in enumerate(mask)), np.uint64(number + 1) * np.uint64(0x2545F4914F6CDD1D))
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        yield np.flatnonzero(doc[:n] == doc[mask[-1] :]), h
+
+
+def _hits(words: np.ndarray, filled: np.ndarray, bits: int, min_tokens: int, at_once: int = 1 << 16):
+    """Seeds of documents that the filter of test seeds lets through, with the tokens around them.
+
+    Documents are handled some at a time. So what is around a seed near an end may belong to another: that can only let a
+    diagonal pass that the whole texts then refute.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 6), np.uint64)
         table[words] = filled
-        tokens, out, size = Tokens(), [], 0
+        tokens = Tokens()
+
+        def hits(keys: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(t) for t in found])
+            every, first = np.concatenate(found), np.cumsum(sizes) - sizes
+            doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+            for place, h in seeds_of_many(every, doc):
+                (word, bit), second = _probes(h, bits)
+                at = place[((table[word] & bit) != 0)[place]]
+                at = at[(table[second[0][at]] & second[1][at]) != 0]
+                for k in range(0, len(at), 4096):
+                    some = at[k : k + 4096]
+                    mine = doc[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[some].view(np.int64)), pa.array(np.array(keys, np.int64)[mine]), pa.array((some - first[mine]).astype(np.int32)), _contexts_column(contexts(every, some, min_tokens, 0))], names=["hash", "who", "pos", "around"]
+                    )
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                t = tokens(text)
-                for number, mask in enumerate(MASKS):
-                    h = seeds(t, mask, number)
-                    if not len(h):
-                        continue
-                    (word, bit), second = _probes(h, bits)
-                    at = np.flatnonzero(table[word] & bit)
-                    if len(at):
-                        at = at[(table[second[0][at]] & second[1][at]) != 0]
-                    for k in range(0, len(at), 4096):
-                        some = at[k : k + 4096]
-                        out.append((h[some].view(np.int64), np.full(len(some), doc, np.int64), some.astype(np.int32), contexts(t, some, min_tokens, 0)))
-                        size += len(some)
-                if size >= 4096:
-                    yield gathered(out)
-                    out, size = [], 0
-        if out:
-            yield gathered(out)
-
-    def gathered(out: list[tuple]) -> pa.RecordBatch:
-        h, doc, at, around = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at), _contexts_column(around)], names=["hash", "who", "pos", "around"])
+            keys, found, size = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text:
+                    keys.append(key)
+                    found.append(tokens(text))
+                    size += len(found[-1])
+                if size >= at_once:
+                    yield from hits(keys, found)
+                    keys, found, size = [], [], 0
+            if found:
+                yield from hits(keys, found)
 
     return rows
 

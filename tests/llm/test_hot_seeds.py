@@ -72,3 +72,13 @@ def test_common_phrases_alone_leave_no_pairs(spark):
 def test_contexts():
     around = d.contexts(np.arange(10, 20, dtype=np.uint64), np.array([0, 9]), 4, 1)
     assert around.shape == (2, 9) and around[0].tolist() == [1, 1, 10, 11, 12, 13, 14, 15, 16] and around[1].tolist() == [17, 18, 19, 1, 1, 1, 1, 1, 1]
+
+
+def test_seeds_of_many_documents_at_once():
+    rng = np.random.default_rng(5)
+    found = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 3, 4, 5, 1, 30)]
+    doc = np.repeat(np.arange(len(found)), [len(t) for t in found])
+    first = np.cumsum([0, *map(len, found)])
+    for number, (place, h) in enumerate(d.seeds_of_many(np.concatenate(found), doc)):
+        got = [(int(doc[p]), int(p - first[doc[p]]), int(h[p])) for p in place]
+        assert got == [(i, k, int(x)) for i, t in enumerate(found) for k, x in enumerate(d.seeds(t, d.MASKS[number], number))]
