@@ -59,10 +59,17 @@ def with_bags(docs: DataFrame, keep: list[str], text_col: str = "text", dims: in
     return found.select(*(F.col(f"who.{c}").alias(c) for c in keep), "bag", "n_tokens")
 
 
-def _units(bags: pa.Array, dims: int) -> np.ndarray:
-    """Square roots of the counts in each bag, which is not null, to unit length."""
-    x = np.sqrt(np.frombuffer(b"".join(bags.to_pylist()), np.uint32).reshape(-1, dims).astype(np.float64))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def _units(bags: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Square roots of the counts in each bag, which is not null, to unit length, in single precision.
+
+    The squares of the roots add up to the count of all words, so no norm has to be taken."""
+    column = bags.cast(pa.large_binary())
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = int(np.frombuffer(column.buffers()[1], np.int64)[column.offset]) if len(column) else 0
+    counts = np.frombuffer(column.buffers()[2], np.uint32, len(column) * dims, at).reshape(-1, dims) if len(column) else np.empty((0, dims), np.uint32)
+    x = np.sqrt(counts, dtype=np.float32)
+    x /= np.sqrt(np.maximum(1, counts.sum(axis=1, dtype=np.int64)))[:, None].astype(np.float32)
+    return x
 
 
 SUMS = "topic long, n long, fit double, total binary"
@@ -72,16 +79,16 @@ def _cell_sums(centroids: np.ndarray):
     """For each task: of every cell the number of rows and the sum of their vectors; and, as topic -1, the row that fits worst."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, worst = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape), (2.0, None)
+        n, total, worst, near = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape), (2.0, None), centroids.T.astype(np.float32)
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 x = _units(batch.column(0).slice(k, 2048), centroids.shape[1])
-                score = x @ centroids.T
+                score = x @ near
                 cell, best = score.argmax(axis=1), score.max(axis=1)
                 n += np.bincount(cell, minlength=len(n))
-                total += (np.arange(len(n))[:, None] == cell).astype(float) @ x
+                total += (np.arange(len(n))[:, None] == cell).astype(np.float32) @ x
                 if best.min() < worst[0]:
-                    worst = (float(best.min()), x[best.argmin()])
+                    worst = (float(best.min()), x[best.argmin()].astype(float))
         some = np.flatnonzero(n)
         if len(some):
             sums = [total[i].tobytes() for i in some] + [worst[1].tobytes()]
@@ -121,7 +128,7 @@ def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512,
     if last is None:
         return np.zeros((1, dims))
     first = words.select("bag", hashed.alias("h")).where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h")
-    x = _units(first.select("bag").toArrow().column("bag"), dims)
+    x = _units(first.select("bag").toArrow().column("bag"), dims).astype(float)
     c = spherical_kmeans(x, min(topics, len(x)))
     for _ in range(rounds):
         sums = words.select("bag").mapInArrow(_cell_sums(c), SUMS).repartition("topic").mapInArrow(_added(len(c)), SUMS).collect()
@@ -147,7 +154,7 @@ def _placed(centroids: np.ndarray):
             some = np.flatnonzero(bags.is_valid().to_numpy(zero_copy_only=False))
             for k in range(0, len(some), 2048):
                 at = some[k : k + 2048]
-                cell = (_units(bags.take(pa.array(at)), centroids.shape[1]) @ centroids.T).argmax(axis=1)
+                cell = (_units(bags.take(pa.array(at)), centroids.shape[1]) @ centroids.T.astype(np.float32)).argmax(axis=1)
                 topic[at] = [f"t{i}" for i in cell]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(topic.tolist(), pa.string())], names=["who", "topic"])
 
