@@ -8,6 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what Python makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def utf8_rows(column: pa.Array) -> Iterator[bytes]:
     """Each string of ``column`` as UTF-8 bytes; null gives empty bytes."""
     for k in range(0, len(column), 256):

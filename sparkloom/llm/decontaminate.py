@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.arrays import group_starts
+from sparkloom.llm.arrays import group_starts, sliced
 from sparkloom.llm.shared import keyed_rows, small_side, written
 
 # Any overlap of five tokens or more with at most a fifth substituted holds one of these, whatever was substituted.
@@ -22,7 +22,7 @@ _odd = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 class Tokens:
     """Hashes of the lower-cased words (letters, digits, underscores) of a text."""
 
-    def __init__(self, memory: int = 400_000):
+    def __init__(self, memory: int = 200_000):
         self.known: dict[str, int] = {}
         self.memory = memory
 
@@ -138,7 +138,7 @@ def _hits(words: np.ndarray, filled: np.ndarray, bits: int, min_tokens: int, at_
                         [pa.array(h[some].view(np.int64)), pa.array(np.array(keys, np.int64)[mine]), pa.array((some - first[mine]).astype(np.int32)), _contexts_column(contexts(every, some, min_tokens, 0))], names=["hash", "who", "pos", "around"]
                     )
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys, found, size = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
@@ -257,7 +257,7 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: floa
 def _verified(similarity: float, min_tokens: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for who, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 doc = tokens(text)

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkloom.llm.arrays import sliced
+
 DIMS = 4096
 _letter = re.compile(r"[^\W\d_]").search
 # ASCII letters lower-cased, other ASCII one blank, bytes of longer characters kept.
@@ -120,14 +122,14 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _letter(t)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
 
 def _predicted(model: LanguageModel | None, reject: bool = False):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             some = [i for i, t in enumerate(texts) if t and model and _letter(t)]

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.llm.arrays import sliced
 from sparkloom.llm.embeddings import spherical_kmeans
 from sparkloom.llm.shared import keyed_rows, written
 
@@ -27,10 +28,10 @@ Targets = dict[str, "dict[str, float] | float"]
 class Bags:
     """A text's hashed word counts and its number of words (cut at ASCII white space)."""
 
-    def __init__(self, dims: int, memory: int = 400_000):
+    def __init__(self, dims: int, memory: int = 200_000):
         self.dims, self.memory, self.known = dims, memory, {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, int]:
+    def __call__(self, text: str) -> tuple[bytes, int]:
         words, known = text.encode().lower().split(), self.known
         try:
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -41,7 +42,7 @@ class Bags:
                 if w not in known:
                     known[w] = xxhash.xxh32_intdigest(w.strip(b".,;:!?\"'()")) % self.dims
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return np.bincount(at, minlength=self.dims), len(words)
+        return np.bincount(at, minlength=self.dims).astype(np.uint32).tobytes(), len(words)
 
 
 def with_bags(docs: DataFrame, keep: list[str], text_col: str = "text", dims: int = 512) -> DataFrame:
@@ -49,9 +50,9 @@ def with_bags(docs: DataFrame, keep: list[str], text_col: str = "text", dims: in
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Bags(dims)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [count(t) if t else (None, 0) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.uint32).tobytes() if n else None for x, n in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["who", "bag", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x if n else None for x, n in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["who", "bag", "n_tokens"])
 
     kinds = dict(docs.dtypes)
     who = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
