@@ -53,11 +53,11 @@ class LanguageModel:
     def __init__(self, x: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 20.0, decay: float = 1e-4):
         self.languages = sorted(set(label.tolist()))
         self.code = codewords(len(self.languages))
-        y = self.code[np.searchsorted(self.languages, label)].astype(x.dtype)
+        y = self.code[np.searchsorted(self.languages, label)].astype(np.float32)
         share = np.bincount(np.searchsorted(self.languages, label))
         weight = (1 / share)[np.searchsorted(self.languages, label)]
-        weight = (weight / weight.sum()).astype(x.dtype)
-        self.weights, self.bias = np.zeros((x.shape[1], y.shape[1]), x.dtype), np.zeros(y.shape[1], x.dtype)
+        weight = (weight / weight.sum()).astype(np.float32)
+        self.weights, self.bias = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
         speed, speed_b = 0.0, 0.0
         for _ in range(rounds):
             pull = -y / (1 + np.exp(np.clip(y * (x @ self.weights + self.bias), -30, 30))) * weight[:, None]
@@ -114,10 +114,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     got = picked.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    x, labels = np.empty((got.num_rows, DIMS), np.float32), np.array(got.column("lang").to_pylist())
-    for i, row in enumerate(got.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    del got, row
+    x, labels, parts, n = np.empty((got.num_rows, DIMS), np.float32), np.array(got.column("lang").to_pylist()), got.column("x").chunks, 0
+    del got
+    while parts:  # each part goes as soon as it is copied
+        for value in parts.pop(0):
+            x[n] = np.frombuffer(value.as_buffer(), np.float16)
+            n += 1
     return LanguageModel(x, labels)
 
 
