@@ -14,7 +14,7 @@ from sparkloom.functions import text
 
 MAX_COMMENTS, MAX_EVIDENCE, MAX_CONTEXT, MAX_CALLS = 5, 10_000, 12_000, 12
 JACCARD, RATIO = 0.82, 0.88
-REPLY = "struct<concerns: array<struct<concern: string, evidence: string, confidence: string, suggested_check: string, is_inference: string, source_indices: array<string>>>>"
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
 def within_budget(rows: DataFrame, key: str, order: list[Column], line: str, max_rows: int = MAX_COMMENTS, max_chars: int = MAX_EVIDENCE) -> DataFrame:
@@ -32,21 +32,27 @@ def within_budget(rows: DataFrame, key: str, order: list[Column], line: str, max
 def validated(replies: DataFrame, reply: str = "reply", candidates: str = "candidates") -> DataFrame:
     """``replies`` with one row a supported finding: reply_pos, concern, evidence, confidence, suggested_check, is_inference, source_comments.
 
-    ``reply`` is JSON text ({"concerns": [...]}), ``candidates`` the array that source_indices point into. Findings
-    without text, evidence or a valid index go; a confidence outside 0 to 1 becomes null; only true is an inference.
-    An unreadable reply has no findings.
+    ``reply`` is JSON text ({"concerns": [...]}), ``candidates`` the array that source_indices point into. Every item is
+    judged by its own JSON types; one that is malformed takes no other with it. Findings whose concern or evidence is no
+    text or blank, or whose indices are no list or hold no valid whole number, go. A confidence that is no number (or
+    text of one) in 0 to 1 becomes null; only a JSON true is an inference. An unreadable reply has no findings.
     """
-    c = F.posexplode(F.from_json(reply, REPLY)["concerns"]).alias("reply_pos", "c")
-    at = F.filter(F.col("c.source_indices"), lambda i: i.rlike(r"^-?\d+$"))
-    whole = F.transform(at, lambda i: i.try_cast("int"))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    part = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    a_text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    listed = lambda v: F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    items = replies.select("*", F.posexplode(listed(part(F.try_parse_json(reply), "concerns"))).alias("reply_pos", "c")).where(kind(F.col("c")).startswith("OBJECT"))
+    whole = F.transform(F.filter(listed(part(F.col("c"), "source_indices")), lambda i: kind(i) == "BIGINT"), lambda i: F.try_variant_get(i, "$", "bigint"))
     good = F.filter(whole, lambda i: (i >= 0) & (i < F.size(candidates)))
-    number = F.col("c.confidence").try_cast("double")
+    given = part(F.col("c"), "confidence")
+    number = F.when((kind(given) != "STRING") | a_text(given).rlike(NUMBER), F.try_variant_get(given, "$", "double"))
+    inference = part(F.col("c"), "is_inference")
     return (
-        replies.select("*", c).withColumn("source_comments", F.transform(good, lambda i: F.get(candidates, i)))
-        .withColumn("concern", text.strip(F.col("c.concern"))).withColumn("evidence", text.strip(F.col("c.evidence")))
+        items.withColumn("source_comments", F.transform(good, lambda i: F.get(candidates, i.cast("int"))))
+        .withColumn("concern", text.strip(a_text(part(F.col("c"), "concern")))).withColumn("evidence", text.strip(a_text(part(F.col("c"), "evidence"))))
         .where("concern <> '' and evidence <> '' and size(source_comments) > 0")
         .withColumn("confidence", F.when(number.between(0, 1) & ~F.isnan(number), number))
-        .withColumn("suggested_check", F.col("c.suggested_check")).withColumn("is_inference", F.coalesce(F.col("c.is_inference") == "true", F.lit(False)))
+        .withColumn("suggested_check", a_text(part(F.col("c"), "suggested_check"))).withColumn("is_inference", F.coalesce((kind(inference) == "BOOLEAN") & F.try_variant_get(inference, "$", "boolean"), F.lit(False)))
         .drop("c", reply)
     )
 

@@ -84,13 +84,17 @@ def f2(spark, d):
 
 @query("f3_temporal_cutoff", "SELECT event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS held_out FROM events GROUP BY event_type")
 def f3(spark, d):
-    cut = F.lit("2024-01-15").cast("timestamp")
-    return t.table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("ts") < cut).alias("before"), F.count_if(F.col("ts") >= cut).alias("held_out"))
+    comments = t.table(spark, d, "events").withColumn("comment_created_at", F.col("ts").cast("timestamp"))
+    late = evalsplit.pool_sizes(evalsplit.held_out_pool(comments, datetime(2024, 1, 15), with_bots=True), ["event_type"])
+    whole = evalsplit.pool_sizes(comments, ["event_type"]).withColumnRenamed("n_rows", "n")
+    held = F.coalesce("n_rows", F.lit(0))
+    return whole.join(late, "event_type", "left").select("event_type", (F.col("n") - held).alias("before"), held.alias("held_out"))
 
 
 @query("f4_author_suffix", "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%widget'")
 def f4(spark, d):
-    return t.table(spark, d, "part").where(~F.col("p_name").endswith("widget")).select("p_partkey")
+    comments = t.table(spark, d, "part").withColumn("author", F.regexp_replace("p_name", "widget$", "[bot]")).withColumn("comment_created_at", F.lit(datetime(2024, 1, 15)))
+    return evalsplit.held_out_pool(comments, datetime(2024, 1, 15)).select("p_partkey")
 
 
 @query("f5_automated_content", "SELECT doc_id FROM documents WHERE NOT coalesce(contains(text, 'license') OR contains(text, 'token = '), false)")
@@ -428,13 +432,37 @@ def f13(spark, d):
     return findings.validated(rows).select("event_id", "concern", "confidence", "is_inference", F.array_join("source_comments", ",").alias("sources"))
 
 
-@query("t26_unreadable_reply", "SELECT 0::BIGINT AS n_findings")
+# Replies whose items have other types than asked for; of each event the number in its JSON picks one.
+_TYPED = (
+    '[{"concern": "c", "evidence": "e", "source_indices": ["0"]}]',
+    '[{"concern": "c", "evidence": "e", "source_indices": [0], "is_inference": "true", "confidence": true}]',
+    '[{"concern": 5, "evidence": "e", "source_indices": [0]}]',
+    '[{"concern": {"a": 1}, "evidence": "e", "source_indices": [0]}]',
+    '["bare", null, {"concern": " c\\n", "evidence": "e", "source_indices": [1], "confidence": 2}]',
+    '[{"concern": "c", "evidence": "e", "source_indices": 0}]',
+    '[{"concern": "c", "evidence": "e", "source_indices": [0, 1], "confidence": "0.25", "is_inference": true}]',
+    '[{"concern": "c", "evidence": "e", "source_indices": [true, 1, 0.0, 7, -1], "confidence": []}, {"concern": "d", "evidence": 3, "source_indices": [0]}]',
+    '{"concern": "c", "evidence": "e", "source_indices": [0]}',
+)
+
+
+@query("f13_f15_typed_replies", f"WITH {t.EVENTS} SELECT event_id, CASE k % 9 WHEN 4 THEN 2 ELSE 0 END::INTEGER AS reply_pos, 'c' AS concern, CASE k % 9 WHEN 1 THEN 1.0 WHEN 6 THEN 0.25 END::DOUBLE AS confidence, k % 9 = 6 AS is_inference, CASE k % 9 WHEN 1 THEN 'c0' WHEN 6 THEN 'c0,c1' ELSE 'c1' END AS sources FROM ev WHERE k % 9 IN (1, 4, 6, 7)")
+def f13_typed(spark, d):
+    reply = F.concat(F.lit('{"concerns": '), F.element_at(F.array(*map(F.lit, _TYPED)), (F.col("k") % 9 + 1).cast("int")), F.lit("}"))
+    rows = t.events(spark, d).select("event_id", reply.alias("reply"), F.array(F.lit("c0"), F.lit("c1")).alias("candidates"))
+    return findings.validated(rows).select("event_id", "reply_pos", "concern", "confidence", "is_inference", F.array_join("source_comments", ",").alias("sources"))
+
+
+@query("t26_unreadable_reply", f"WITH {t.EVENTS} SELECT k % 3 AS cut, count(*) AS n_findings FROM ev WHERE k % 3 = 1 GROUP BY k % 3")
 def t26(spark, d):
-    rows = t.table(spark, d, "events").select(F.concat(F.lit("{oops"), "props").alias("reply"), F.array(F.lit("c")).alias("candidates"))
-    return findings.validated(rows).agg(F.count("*").alias("n_findings"))
+    """Of each three replies one lacks its end, one is whole and one is no JSON at all."""
+    whole = F.lit('{"concerns": [{"concern": "c", "evidence": "e", "source_indices": [0]}]}')
+    reply = F.when(F.col("k") % 3 == 0, F.substring(whole, 1, 60)).when(F.col("k") % 3 == 1, whole).otherwise(F.concat(F.lit("oops"), "props"))
+    rows = t.events(spark, d).select((F.col("k") % 3).alias("cut"), reply.alias("reply"), F.array(F.lit("c")).alias("candidates"))
+    return findings.validated(rows).groupBy("cut").agg(F.count("*").alias("n_findings"))
 
 
-@query("f16_t11_t13_contradicted")
+@query("f16_t11_t13_contradicted", "SELECT p_partkey, p_partkey % 2 = 0 AND length(regexp_replace(p_type, '[^A-Za-z]', '_', 'g')) >= 4 AS contradicted FROM part")
 def f16(spark, d):
     """Concerns about an upper-case word of each part, against contexts that import and declare it or do not."""
     name = F.upper(F.regexp_replace("p_type", "[^A-Za-z]", "_"))
@@ -467,7 +495,7 @@ def t4(spark, d):
 
 @query("g3_g4_a15_findings_merged")
 def g3(spark, d):
-    rows = t.table(spark, d, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").cast("int").alias("pos"), F.substring("text", 1, 1 << 20).alias("concern"), (F.col("role") == "user").alias("is_inference"), (F.length("text") / 5000).alias("confidence"), F.array("role").alias("source_key"))
+    rows = t.table(spark, d, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").cast("int").alias("pos"), F.col("text").alias("concern"), (F.col("role") == "user").alias("is_inference"), (F.length("text") / 5000).alias("confidence"), F.array("role").alias("source_key"))
     return findings.union_of_evidence(rows, findings.merged(rows))
 
 
@@ -554,8 +582,10 @@ def t28(spark, d):
 
 @query("st1_idempotent_claim", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'queued' ELSE 'duplicate_skipped' END AS result FROM events")
 def st1(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return t.table(spark, d, "events").select("event_id", F.when(F.row_number().over(w) == 1, "queued").otherwise("duplicate_skipped").alias("result"))
+    """Every event claims its review; the state machine tells which came first."""
+    key = F.concat_ws("/", "user_id", "event_type")
+    e = t.table(spark, d, "events").select(key.alias("claim_key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit("claim").alias("action"), F.col("event_type").alias("task_id"), F.lit("w").alias("worker"), F.lit("").alias("value"), F.lit(False).alias("allow_reclaim"), F.lit(False).alias("redelivered"))
+    return claims.replayed(e, "claim_key").select(F.col("seq").alias("event_id"), "result")
 
 
 def _claim_events(spark, d):

@@ -80,15 +80,15 @@ def reconciled(s: dict, at: float) -> tuple[dict, str, str | None]:
     if s["status"] == "processing" and s["lease_until"] <= at:
         free = s | {"task_id": None, "lease_owner": None, "lease_until": None}
         if s["attempts"] >= MAX_ATTEMPTS:
-            error = "review claim lease expired after maximum recovery attempts"
+            error = "its lease ran out on the last attempt"
             return free | {"status": "failed", "error": error}, "failed", error
-        return free | {"status": "abandoned", "error": "worker claim lease expired; review will be recovered", "dispatched_at": at - EXPIRY - GRACE + recovery_delay(s["attempts"])}, "abandoned", None
+        return free | {"status": "abandoned", "error": "the worker's lease ran out; another may take the claim", "dispatched_at": at - EXPIRY - GRACE + recovery_delay(s["attempts"])}, "abandoned", None
     if s["status"] in CLAIMABLE and (s["dispatched_at"] is None or s["dispatched_at"] <= at - EXPIRY - GRACE):
         if s["attempts"] >= MAX_ATTEMPTS or s["dispatches"] >= MAX_ATTEMPTS:
-            error = "review expired from queue after maximum recovery attempts"
+            error = "no worker took the claim though it was sent the most times allowed"
             return s | {"status": "failed", "error": error}, "failed", error
         expired = s["status"] == "queued" and s["dispatched_at"] is not None
-        again = {"status": "expired", "error": "queued message expired before a worker claimed it"} if expired else {}
+        again = {"status": "expired", "error": "the message expired before any worker took the claim"} if expired else {}
         return s | again | {"dispatched_at": at, "dispatches": s["dispatches"] + 1}, "dispatched", None
     return s, "idle", None
 
@@ -107,18 +107,22 @@ def _fold(state: dict | None, rows: pd.DataFrame) -> tuple[dict | None, list[tup
     for e in rows.sort_values(["at", "seq"], kind="stable").to_dict("records"):
         e = _plain(e)
         state, result, dead = step(state, e)
-        out.append((e["at"], e["action"], result, state and state["status"], state and state["attempts"], dead))
+        out.append((e["seq"], e["at"], e["action"], result, state and state["status"], state and state["attempts"], dead))
     return state, out
 
 
 def replayed(events: DataFrame, key: str) -> DataFrame:
-    """What became of each event (key, seq, at, action, ...) in order: result, status, attempts, dead_letter."""
+    """What became of each event (key, seq, at, action, ...) in order: result, status, attempts, dead_letter.
+
+    The events of one key are one group: a claim's own history, which the attempts and sends allowed keep short.
+    """
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, out = _fold(None, rows)
-        return pd.DataFrame([(k[0], *x) for x in out], columns=[key, "at", "action", "result", "status", "attempts", "dead_letter"])
+        return pd.DataFrame([(k[0], *x) for x in out], columns=[key, "seq", "at", "action", "result", "status", "attempts", "dead_letter"])
 
-    return events.groupBy(key).applyInPandas(run, f"{key} {dict(events.dtypes)[key]}, {OUT}")
+    kinds = dict(events.dtypes)
+    return events.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, seq {kinds['seq']}, {OUT}")
 
 
 def claim_stream(events: DataFrame, key: str, watermark: str = "30 minutes") -> DataFrame:
@@ -142,7 +146,7 @@ def claim_stream(events: DataFrame, key: str, watermark: str = "30 minutes") ->
             wake = now["lease_until"] if now["status"] == "processing" else (now["dispatched_at"] or 0) + EXPIRY + GRACE if now["status"] in CLAIMABLE else None
             if wake is not None:
                 state.setTimeoutTimestamp(max(int(wake * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(k[0], *x) for x in out], columns=[key, "at", "action", "result", "status", "attempts", "dead_letter"])
+        yield pd.DataFrame([(k[0], *x[1:]) for x in out], columns=[key, "at", "action", "result", "status", "attempts", "dead_letter"])
 
     return events.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {OUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
