@@ -66,10 +66,10 @@ def overview(summary: DataFrame) -> Column:
     listed = F.transform(F.slice(files, 1, 12), lambda x: F.format_string("- `%s (+%d/-%d)`", x["path"], x["added"], x["removed"]))
     more = F.when(n > 12, F.array(F.format_string("- `…and %d more changed files`", n - 12))).otherwise(F.array().cast("array<string>"))
     tested = F.concat(F.lit("**Test files changed:** "), F.array_join(F.transform(F.slice(tests, 1, 8), lambda p: F.concat(F.lit("`"), p, F.lit("`"))), ", "))
-    untested = F.lit("**Validation:** No test file is present in this diff. Run the existing tests that cover the changed areas before merging.")
+    untested = F.lit("**Tests:** none are part of this diff, so run those that cover the code it touches.")
     head = F.format_string("**Changed areas (%d files; +%d/-%d lines):**", n, F.col("added"), F.col("removed"))
     body = F.array_join(F.concat(F.array(head), listed, more, F.array(F.when(F.size(tests) > 0, tested).otherwise(untested))), "\n")
-    return F.when(n > 0, body).otherwise("The PR diff did not contain reviewable file changes.")
+    return F.when(n > 0, body).otherwise("The diff holds no change of a file that could be reviewed.")
 
 
 def joined_in_order(rows: DataFrame, key: list[str], pos: str, part: str, separator: str = "\n...\n") -> DataFrame:

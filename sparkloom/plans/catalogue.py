@@ -35,20 +35,23 @@ def v1(spark, d):
     return e.join(means, "label").select(F.col("id").alias("vec_id"), F.round(cosine_similarity(F.col("vector"), F.col("mean")), 9).alias("similarity"))
 
 
-_RANKED = rf"""WITH {t.PAIRS}, doc AS (SELECT doc_id, source, lang, text, list_distinct(regexp_extract_all(text, '[A-Z][A-Z0-9_]{{3,}}')) AS ids, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM documents),
+_RANKED = rf"""WITH {t.PAIRS}, doc AS (SELECT doc_id, source, lang, text, list_distinct(regexp_extract_all(text, '\b[A-Z][A-Z0-9_]{{3,}}\b')) AS ids, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM documents),
 c AS (SELECT vp.*, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM vp JOIN doc ON doc.doc_id = id JOIN doc q ON q.doc_id = query_id WHERE sim >= 0.2 AND length(q.body) >= 30)"""
 
 
 @query(
     "r4_live_top_k",
-    f"""{_RANKED}, s AS (SELECT c.query_id, c.id, b.body, sim, round(sim, 3) + CASE WHEN a.lang = b.lang THEN 0.025 ELSE 0 END + CASE WHEN a.lang = b.lang AND a.source = b.source THEN 0.02 ELSE 0 END AS score FROM c JOIN doc a ON a.doc_id = query_id JOIN doc b ON b.doc_id = id WHERE n <= 20),
+    f"""{_RANKED}, s AS (SELECT c.query_id, c.id, b.body, sim, round(sim, 3) + CASE WHEN len(list_intersect(a.ids, b.ids)) > 0 THEN 0.08 ELSE 0 END + CASE WHEN a.lang = b.lang THEN 0.025 ELSE 0 END + CASE WHEN a.doc_id % 100 = 0 AND b.doc_id % 3 = 0 THEN 0.025 ELSE 0 END + CASE WHEN a.lang = b.lang AND a.source = b.source THEN 0.02 ELSE 0 END AS score FROM c JOIN doc a ON a.doc_id = query_id JOIN doc b ON b.doc_id = id WHERE n <= 20),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY score DESC, sim DESC, id) AS k FROM s), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, id) AS nth FROM f WHERE k = 1)
 SELECT query_id, id AS github_comment_id, nth, round(score, 6) AS score FROM g WHERE nth <= 5""",
 )
 def r4(spark, d):
-    """Live retrieval. Texts of these tables are lower-cased first, so that identifiers (which differ by regex dialect) add nothing."""
-    past = t.past_comments(spark, d).withColumns({c: F.lower(c) for c in ("diff_hunk", "body")})
-    asked = past.where("github_comment_id % 50 = 0").select(F.col("github_comment_id").alias("query_id"), F.col("diff_hunk").alias("hunk"), "path", "repo_owner", "repo_name", F.col("embedding").alias("vector"))
+    """Live retrieval with all bonuses: texts as they are, and paths of tests for some of the queries and past comments."""
+    past = t.past_comments(spark, d)
+    tested = lambda rest: F.when(rest, F.concat("source", F.lit("/tests/a."), "lang")).otherwise(F.concat("source", F.lit("/a."), "lang"))
+    named = past.withColumnsRenamed({"repo_owner": "source", "repo_name": "lang"})
+    asked = named.where("github_comment_id % 50 = 0").select(F.col("github_comment_id").alias("query_id"), F.col("diff_hunk").alias("hunk"), tested(F.col("github_comment_id") % 100 == 0).alias("path"), F.col("source").alias("repo_owner"), F.col("lang").alias("repo_name"), F.col("embedding").alias("vector"))
+    past = named.withColumn("path", tested(F.col("github_comment_id") % 3 == 0)).withColumnsRenamed({"source": "repo_owner", "lang": "repo_name"})
     return retrieval.similar_comments(asked, past, 5, 0.2).select("query_id", "github_comment_id", "nth", F.round("score", 6).alias("score"))
 
 

@@ -240,10 +240,10 @@ def test_report(spark):
     source = F.struct(F.lit("o").alias("repo_owner"), F.lit("r").alias("repo_name"), F.lit("x.py").alias("path"), F.lit("a|b\nc").alias("body"), F.lit(0.876).alias("similarity"), F.lit("http://h").alias("html_url"), F.lit("x.py").alias("triggered_by_file"), F.lit("@@ -1 +4 @@\n+go()").alias("triggered_by_hunk"))
     f = F.struct(F.lit("leak").alias("concern"), F.lit("seen").alias("evidence"), F.lit(0.57).alias("confidence"), F.lit("look").alias("suggested_check"), F.lit(False).alias("is_inference"), F.array(source).alias("source_comments"))
     body = one(spark, r=report.report(F.array(f), F.lit(1), F.lit(2), F.lit("completed_with_findings"), F.lit(True), F.lit("note"), F.lit("sum"))).r
-    for part in ("*2 hunks scanned · 1 similar past pattern matched*", "### Finding 1: leak", "**Location:** `x.py` · line 4", "(uncalibrated):** 56% |", "```python\ngo()\n```", "(1 match):**", '| 88% | `o/r` | `x.py` | *"a\\|b c"* | [view](http://h) |', "**Analysis status:** note", "analysis is partial"):
+    for part in ("*2 hunks scanned · 1 similar past pattern matched*", "### Finding 1: leak", "**Location:** `x.py` · line 4", "(uncalibrated):** 56% |", "```python\ngo()\n```", "(1 match):**", '| 88% | `o/r` | `x.py` | *"a\\|b c"* | [view](http://h) |', "**Analysis status:** note", "Only a part of this change"):
         assert part in body, part
     none = one(spark, r=report.report(F.array().cast("array<" + spark.range(1).select(f.alias("f")).schema["f"].dataType.simpleString() + ">"), F.lit(0), F.lit(1), F.lit("general_analysis_only"), F.lit(False), F.lit(""), F.lit(""))).r
-    assert "No relevant indexed historical comments" in none and "1 hunk scanned" in none
+    assert "No past comment on similar code" in none and "1 hunk scanned" in none
 
 
 def test_rank_order_and_caps(spark):
