@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 
 def retry_after_seconds(value: Column, now: Column) -> Column:
@@ -29,3 +29,13 @@ def task_delay(retries: Column) -> Column:
 def recovery_delay(attempts: Column, jitter: Column | None = None) -> Column:
     top = F.least(30 * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))), F.lit(1800.0))
     return top if jitter is None else top * (0.8 + 0.4 * jitter)
+
+
+def cooldown_remaining(at: Column, pause: Column, by: list[str], order: list[Column]) -> Column:
+    """Seconds each call has yet to wait for what earlier calls by the same client were told to pause.
+
+    ``at`` is in seconds; a null or negative ``pause`` is none. A later, shorter pause never ends an earlier one.
+    """
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(at + F.greatest(F.coalesce(pause, F.lit(0)), F.lit(0))).over(before)
+    return F.greatest(F.coalesce(until - at, F.lit(0)), F.lit(0))

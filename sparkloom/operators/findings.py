@@ -108,7 +108,11 @@ class _Concern:
         if not self.words or not other.words:
             return False
         union = self.words | other.words
-        return len(self.words & other.words) / len(union) >= JACCARD or SequenceMatcher(None, self.low, other.low).ratio() >= RATIO
+        if len(self.words & other.words) / len(union) >= JACCARD:
+            return True
+        # The two quick ratios are upper bounds of the ratio, so the slow one is taken only where it can decide.
+        m = SequenceMatcher(None, self.low, other.low)
+        return m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and m.ratio() >= RATIO
 
 
 def merged(findings: DataFrame, key: str = "review_id") -> DataFrame:

@@ -606,3 +606,24 @@ def st2(spark, d):
 @query("st5_st7_dead_letters")
 def st5(spark, d):
     return claims.dead_letter_rows(claims.replayed(_claim_events(spark, d).drop("ts"), "claim_key"))
+
+
+# ---- clients ----
+
+
+@query("src7_comments_of_a_pull", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id = 7")
+def src7(spark, d):
+    url = F.concat(F.lit("https://host/repos/o/"), "event_type", F.lit("/pulls/"), "user_id")
+    return pages.comments_of_pull(t.table(spark, d, "events").withColumn("pull_request_url", url), "o", "view", 7).select("event_id")
+
+
+@query("t25_query_value", r"WITH u AS (SELECT page_id, url, regexp_extract(url, '^[^#]*') AS rest, regexp_extract(url, '#.*$') AS fragment FROM pages), q AS (SELECT *, regexp_extract(rest, '^[^?]*') AS base, CASE WHEN instr(rest, '?') > 0 THEN list_transform(string_split(substr(rest, instr(rest, '?') + 1), '&'), lambda p: CASE WHEN starts_with(p, 'ref=') THEN 'ref=new' ELSE p END) ELSE [] END AS pairs FROM u) SELECT page_id, CASE WHEN starts_with(url, 'https:') THEN base || '?' || array_to_string(CASE WHEN list_contains(pairs, 'ref=new') THEN pairs ELSE list_append(pairs, 'ref=new') END, '&') || fragment ELSE url END AS url FROM q")
+def t25(spark, d):
+    return t.table(spark, d, "pages").select("page_id", pages.with_query_value(F.col("url"), "ref", "new", "https").alias("url"))
+
+
+@query("st12_cooldown", f"WITH {t.EVENTS}, a AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS sec, CASE WHEN event_type = 'error' THEN k * 600 END AS pause, ts FROM ev) SELECT event_id, greatest(coalesce(max(sec + coalesce(pause, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - sec, 0), 0)::BIGINT AS wait FROM a")
+def st12(spark, d):
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    pause = F.when(F.col("event_type") == "error", F.col("k") * 600)
+    return t.events(spark, d).select("event_id", retry.cooldown_remaining(at, pause, ["user_id"], [F.col("ts"), F.col("event_id")]).cast("long").alias("wait"))

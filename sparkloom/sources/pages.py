@@ -14,6 +14,19 @@ def next_page_url(link: Column) -> Column:
     return F.regexp_replace(F.trim(F.element_at(F.split(F.get(parts, F.lit(0)), ";"), 1)), "^<+|>+$", "")
 
 
+def with_query_value(url: Column, name: str, value: str, scheme: str) -> Column:
+    """Urls of ``scheme`` with ``name`` set to ``value`` in their query; other parameters stay as they are, blank ones go.
+
+    A parameter that is there already keeps its place. Urls of other schemes, and nulls, are unchanged.
+    """
+    rest, fragment = F.regexp_extract(url, r"^([^#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
+    base, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
+    ours = f"{name}={value}"
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.")), lambda p: F.when(p.startswith(f"{name}="), ours).otherwise(p))
+    merged = F.array_join(F.when(F.array_contains(pairs, ours), F.array_distinct(pairs)).otherwise(F.array_append(pairs, F.lit(ours))), "&")
+    return F.when(url.startswith(f"{scheme}:"), F.concat(base, F.lit("?"), merged, fragment)).otherwise(url)
+
+
 def paginate(get: Callable[[str, dict], tuple[list, str | None]], url: str, params: dict | None = None, max_items: int | None = None) -> Iterator[dict]:
     """Items of a list of pages; ``get`` gives a page and the next url.
 
@@ -71,6 +84,16 @@ def landed_comments(spark: SparkSession, path: str, schema: str, max_items: int
     return rows.limit(max_items) if max_items else rows
 
 
+def comments_of_pull(comments: DataFrame, owner: str, repo: str, number: int) -> DataFrame:
+    """The comments of one pull request, by the end of their ``pull_request_url``: a filter of the scan."""
+    return comments.where(F.col("pull_request_url").endswith(f"/repos/{owner}/{repo}/pulls/{number}"))
+
+
+def comments_of_pull_url(owner: str, repo: str, number: int) -> str:
+    """Where a live client lists them, for the ``urls`` of "rest_list"."""
+    return f"/repos/{owner}/{repo}/pulls/{number}/comments"
+
+
 def diffs(spark: SparkSession, path: str) -> DataFrame:
     """A row (file, diff) for each landed diff, whole or between two heads."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("diff"))

@@ -310,3 +310,11 @@ def test_first_claims_stream(spark, tmp_path):
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_query_value_and_pull_comments(spark):
+    urls = [("rediss://h:1/0", "rediss://h:1/0?c=R"), ("rediss://h/0?a=1&c=old&b=#x", "rediss://h/0?a=1&c=R#x"), ("redis://h/0", "redis://h/0"), (None, None)]
+    df = spark.createDataFrame(urls, "url string, want string")
+    assert all(r.got == r.want for r in df.select("want", pages.with_query_value(F.col("url"), "c", "R", "rediss").alias("got")).collect())
+    rows = spark.createDataFrame([(1, "https://x/repos/o/r/pulls/1"), (2, "https://x/repos/o/r/pulls/11"), (3, None)], "id int, pull_request_url string")
+    assert [r.id for r in pages.comments_of_pull(rows, "o", "r", 1).collect()] == [1]
