@@ -17,56 +17,77 @@ MIN_HUNK = 30
 BONUS = {"identifier": 0.08, "suffix": 0.025, "test": 0.025, "repo": 0.02}
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+FOUND = "query_id long, id long, similarity double"
 
 
-def _best(ids: np.ndarray, wanted: np.ndarray, before: np.ndarray | None, threshold: float, limit: int, exclude_self: bool):
-    """The ``limit`` best corpus rows of each batch for each query, by one matrix product a batch."""
-    unit = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+def _rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                some = batch.slice(k, 4096)
-                x, own = _rows(some.column(1)), some.column(0).to_numpy()
-                norm = np.linalg.norm(x, axis=1)
-                score = np.where(norm > 0, unit @ x.T / np.where(norm > 0, norm, 1), 0.0)
-                fits = score >= threshold
-                if before is not None:
-                    fits &= some.column(2).to_numpy()[None] < before[:, None]
-                if exclude_self:
-                    fits &= ids[:, None] != own[None]
-                if score.shape[1] > limit:
-                    score = np.where(fits, score, -np.inf)
-                    fits &= score >= -np.partition(-score, limit - 1, axis=1)[:, limit - 1 : limit]
-                q, c = np.nonzero(fits)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
-
-    return rows
+def _best(queries: pa.Table, corpus: pa.RecordBatch | pa.Table, width: int, threshold: float, limit: int, exclude_self: bool) -> Iterator[pa.RecordBatch]:
+    """The ``limit`` best corpus rows for each query out of every 4,096, by matrix products of bounded size."""
+    ids, wanted = queries.column("query_id").to_numpy(), _rows(queries.column("vector"), width)
+    before = queries.column("before").to_numpy() if "before" in queries.column_names else None
+    unit = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+    for k in range(0, corpus.num_rows, 4096):
+        some = corpus.slice(k, 4096)
+        x, own = _rows(some.column("vector"), width), some.column("id").to_numpy()
+        at = None if before is None else some.column("at").to_numpy()
+        norm = np.linalg.norm(x, axis=1)
+        for j in range(0, len(ids), 1024):
+            asked = slice(j, j + 1024)
+            score = np.where(norm > 0, unit[asked] @ x.T / np.where(norm > 0, norm, 1), 0.0)
+            fits = score >= threshold
+            if before is not None:
+                fits &= at[None] < before[asked, None]
+            if exclude_self:
+                fits &= ids[asked, None] != own[None]
+            if score.shape[1] > limit:
+                score = np.where(fits, score, -np.inf)
+                fits &= score >= -np.partition(-score, limit - 1, axis=1)[:, limit - 1 : limit]
+            q, c = np.nonzero(fits)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[asked][q]), pa.array(own[c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
 
 
 def top_similar(queries: DataFrame, corpus: DataFrame, limit: int, threshold: float = -1.0, exclude_self: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, id, similarity, nth): for each of ``queries`` (query_id, vector) the best of ``corpus`` (id, vector).
 
     With columns ``before`` (queries) and ``at`` (corpus), both long, only rows with at < before count for a query.
-    Exact cosine in double. Queries travel in blocks of at most ``block_bytes``, so what a task holds is bounded; the
-    corpus is not shuffled, only each batch's best rows are. Null vectors match nothing. Ties go to the lower id.
+    Exact cosine in double. Queries that fit in ``block_bytes`` go to every task, and the corpus is not shuffled. More are
+    dealt to blocks of about that size, as is the corpus, and each pair of blocks is a group of its own: the driver holds
+    neither. Only each 4,096 rows' best are shuffled for the ranking. Vectors that are null, hold nulls or have another
+    length than the queries match nothing; queries of different lengths are an error. Ties go to the lower id.
     """
     timed = "before" in queries.columns
-    queries = queries.where("vector is not null").select("query_id", "vector", *(["before"] if timed else []))
-    corpus = corpus.where("vector is not null" + (" and at is not null" if timed else "")).select("id", "vector", *(["at"] if timed else []))
-    width, n = queries.agg(F.max(F.size("vector")), F.count("*")).first()
-    blocks = max(1, -(-n * 8 * (width or 1) // block_bytes))
-    found = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        got = some.toArrow()
-        ids, wanted = got.column("query_id").to_numpy(), _rows(got.column("vector").combine_chunks())
-        before = got.column("before").to_numpy() if timed else None
-        part = corpus.mapInArrow(_best(ids, wanted.reshape(len(ids), -1), before, threshold, limit, exclude_self), "query_id long, id long, similarity double") if len(ids) else corpus.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-        found = part if found is None else found.unionByName(part)
+    there = "vector is not null and not exists(vector, x -> x is null)"
+    queries = queries.where(f"{there} and size(vector) > 0").select("query_id", "vector", *(["before"] if timed else []))
+    least, width, n = queries.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.count("*")).first()
+    if not n:
+        return corpus.sparkSession.createDataFrame([], f"{FOUND}, nth int")
+    if least != width:
+        raise ValueError(f"query vectors have {least} to {width} components")
+    corpus = corpus.where(f"{there} and size(vector) = {width}" + (" and at is not null" if timed else "")).select("id", "vector", *(["at"] if timed else []))
+    blocks = -(-n * 8 * width // block_bytes)
+    if blocks == 1:
+        asked = queries.toArrow()
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(asked, batch, width, threshold, limit, exclude_self)
+
+        found = corpus.mapInArrow(beside, FOUND)
+    else:
+        parts = max(1, -(-corpus.count() * 8 * width // block_bytes))
+        dealt = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left = queries.withColumn("q_block", dealt("query_id", blocks)).withColumn("c_block", every(parts))
+        right = corpus.withColumn("c_block", dealt("id", parts)).withColumn("q_block", every(blocks))
+
+        def cell(asked: pa.Table, some: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_best(asked, some, width, threshold, limit, exclude_self), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())]))
+
+        found = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block")).applyInArrow(cell, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -114,15 +115,28 @@ def _fold(state: dict | None, rows: pd.DataFrame) -> tuple[dict | None, list[tup
 def replayed(events: DataFrame, key: str) -> DataFrame:
     """What became of each event (key, seq, at, action, ...) in order: result, status, attempts, dead_letter.
 
-    The events of one key are one group: a claim's own history, which the attempts and sends allowed keep short.
+    One shuffle by key and one sort; a task then folds its sorted rows as they pass and holds the state of one key, so
+    neither many keys nor one with a long history takes memory. Keys that are null are one claim.
     """
-
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, out = _fold(None, rows)
-        return pd.DataFrame([(k[0], *x) for x in out], columns=[key, "seq", "at", "action", "result", "status", "attempts", "dead_letter"])
-
     kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, seq {kinds['seq']}, {OUT}")
+    kept = [key, "seq", *(c for c in EVENT if c in events.columns)]
+    schema = f"{key} {kinds[key]}, seq {kinds['seq']}, {OUT}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or row[0] != last:
+                    last, state, begun = row[0], None, True
+                e = _plain(dict(zip(kept, row)))
+                state, result, dead = step(state, e)
+                out.append((row[0], row[1], e["at"], e["action"], result, state and state["status"], state and state["attempts"], dead))
+            names = [key, "seq", "at", "action", "result", "status", "attempts", "dead_letter"]
+            fixed = [batch.schema.field(0).type, batch.schema.field(1).type, pa.float64(), *[pa.string()] * 3, pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(fixed)], names=names)
+
+    return events.select(*kept).repartition(key).sortWithinPartitions(key, "at", "seq").mapInArrow(run, schema)
 
 
 def claim_stream(events: DataFrame, key: str, watermark: str = "30 minutes") -> DataFrame:
