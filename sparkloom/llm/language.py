@@ -48,6 +48,9 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+NUMBERS = ("weights", "bias", "trust")  # of a model, in single precision
+
+
 class LanguageModel:
     """Weights of one logistic classifier for each bit; ``predict`` decodes by the sum of their losses."""
 
@@ -73,6 +76,16 @@ class LanguageModel:
         usual = float(np.quantile(self.losses(x).min(axis=1), 0.99))
         self.limit = usual + 0.4 * max(0.0, float(np.log(2)) - usual)
 
+    @classmethod
+    def of(cls, languages: list[str], numbers: list[bytes], limit: float) -> LanguageModel:
+        """The model with these languages and ``NUMBERS``, fitted elsewhere."""
+        self = cls.__new__(cls)
+        self.languages, self.limit, self.code = list(languages), limit, codewords(len(languages))
+        for name, raw in zip(NUMBERS, numbers):
+            setattr(self, name, np.frombuffer(raw, np.float32))
+        self.weights = self.weights.reshape(DIMS, -1)
+        return self
+
     def losses(self, x: np.ndarray) -> np.ndarray:
         """The trusted loss of each row for each codeword: 0 if every bit is sure, log 2 if none is decided."""
         margin = x @ self.weights + self.bias
@@ -95,8 +108,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A model of the labelled ``docs``; None if no text has a letter.
 
     Fitted on at most ``fit_rows`` rows, the same number for each language where there are as many: those whose id and
-    text hash lowest, each whole; rows that repeat both count once. Counting features runs on the executors; the driver
-    gets ``fit_rows`` packed vectors at most.
+    text hash lowest, each whole; rows that repeat both count once. Features are counted on all executors; one task gets
+    the ``fit_rows`` packed vectors, in a fixed order, and fits; the driver gets the weights alone.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
     rows = rows.where(F.col("text").isNotNull())
@@ -111,23 +124,34 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = different.join(F.broadcast(counts.select("lang", bound.alias("bound"))), "lang").where(F.col("hash") <= F.col("bound"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     lowest = near.select("lang", "hash", nth.alias("nth")).where(F.col("nth") <= each).groupBy("lang").agg(F.max("hash").alias("last"))
-    picked = rows.join(F.broadcast(lowest), "lang").where(F.col("hash") <= F.col("last")).dropDuplicates(["lang", "hash"]).select("lang", "text")
-    got = picked.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
-    if not got.num_rows:
-        return None
-    x, labels, parts, n = np.empty((got.num_rows, DIMS), np.float32), np.array(got.column("lang").to_pylist()), got.column("x").chunks, 0
-    del got
-    while parts:  # each part goes as soon as it is copied
-        for value in parts.pop(0):
-            x[n] = np.frombuffer(zlib.decompress(value.as_buffer()), np.float16)
-            n += 1
-    return LanguageModel(x, labels)
+    picked = rows.join(F.broadcast(lowest), "lang").where(F.col("hash") <= F.col("last")).dropDuplicates(["lang", "hash"]).select("lang", "hash", "text")
+    sample = picked.mapInArrow(_feature_rows, "lang string, hash long, x binary").repartition(1).sortWithinPartitions("lang", "hash")
+    got = sample.select("lang", "x").mapInArrow(_fitted, "languages array<string>, numbers array<binary>, bound double").collect()
+    return LanguageModel.of(got[0].languages, got[0].numbers, got[0].bound) if got else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the whole sample, in the one task that gets it."""
+    labels, parts = [], []
+    for batch in batches:
+        labels += batch.column(0).to_pylist()
+        parts.append(np.array([np.frombuffer(zlib.decompress(x), np.float16) for x in batch.column(1).to_pylist()], np.float32).reshape(-1, DIMS))
+    if labels:
+        x, n = np.empty((len(labels), DIMS), np.float32), 0
+        while parts:  # each part goes as soon as it is copied
+            some = parts.pop(0)
+            x[n : n + len(some)] = some
+            n += len(some)
+            del some
+        model = LanguageModel(x, np.array(labels))
+        numbers = [getattr(model, name).astype(np.float32).tobytes() for name in NUMBERS]
+        yield pa.RecordBatch.from_arrays([pa.array([model.languages]), pa.array([numbers], pa.list_(pa.binary())), pa.array([model.limit])], names=["languages", "numbers", "bound"])
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        rows = [(lang, zlib.compress(features(t).astype(np.float16).tobytes(), 1)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _letter(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
+        rows = [(lang, h, zlib.compress(features(t).astype(np.float16).tobytes(), 1)) for lang, h, t in zip(*(c.to_pylist() for c in batch.columns)) if _letter(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "hash", "x"])
 
 
 def _predicted(model: LanguageModel | None, reject: bool = False):
