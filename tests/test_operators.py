@@ -318,3 +318,27 @@ def test_query_value_and_pull_comments(spark):
     assert all(r.got == r.want for r in df.select("want", pages.with_query_value(F.col("url"), "c", "R", "rediss").alias("got")).collect())
     rows = spark.createDataFrame([(1, "https://x/repos/o/r/pulls/1"), (2, "https://x/repos/o/r/pulls/11"), (3, None)], "id int, pull_request_url string")
     assert [r.id for r in pages.comments_of_pull(rows, "o", "r", 1).collect()] == [1]
+
+
+def test_vectors_of_other_lengths_match_nothing(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [0.0, 0.0]), (6, [0.0, 1.0])], "id long, vector array<double>")
+    q = spark.createDataFrame([(9, [2.0, 0.0]), (8, None), (7, [])], "query_id long, vector array<double>")
+    for size in (1 << 20, 8):
+        assert sorted((r.query_id, r.id, r.nth) for r in retrieval.top_similar(q, v, 2, block_bytes=size).collect()) == [(9, 1, 1), (9, 5, 2)]
+    assert retrieval.top_similar(q.where("vector is null"), v, 2).collect() == []
+    with pytest.raises(ValueError):
+        retrieval.top_similar(v.where("id < 3").withColumnRenamed("id", "query_id"), v, 2)
+
+
+def test_replay_of_many_claims_and_a_long_one(spark):
+    rng = random.Random(5)
+    actions = ["claim", "acquire", "checkpoint", "tick", "finish", "retry", "fail", "close", "assert"]
+    rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 400), i, float(i // 3 * 500), rng.choice(actions), "t", "w", "x", rng.random() < 0.5, False) for i in range(5000)]
+    table = spark.createDataFrame(rows, "claim_key long, seq long, at double, action string, task_id string, worker string, value string, allow_reclaim boolean, redelivered boolean")
+    want, states = [], {}
+    for key, seq, at, action, *rest in rows:  # already in order
+        e = dict(zip(claims.EVENT, (at, action, rest[0], rest[1], rest[2], rest[3], rest[4])))
+        states[key], result, dead = claims.step(states.get(key), e)
+        want.append((key, seq, result, states[key] and states[key]["status"], dead))
+    got = claims.replayed(table.repartition(7), "claim_key").select("claim_key", "seq", "result", "status", "dead_letter").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
