@@ -15,6 +15,7 @@ from sparkloom.llm.shared import table
 from sparkloom.llm.simhash import simhash_groups
 from sparkloom.llm.tokens import count_tokens
 from sparkloom.llm.urls import judge_urls
+from sparkloom.llm.whitening import whiten
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -74,6 +75,10 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "copies")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES = {
         op8_secret_scans,
         op9_html_extraction,
         op10_mixing_sources,
+        op13_embedding_whitening,
     )
 }
 
