@@ -9,6 +9,7 @@ from sparkloom.llm.embeddings import embedding_groups
 from sparkloom.llm.html_text import extract_text
 from sparkloom.llm.language import fit_languages, held_out, predict_languages
 from sparkloom.llm.mixing import mix_documents
+from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.repeats import remove_repeats
 from sparkloom.llm.secret_scan import corpus_forest, scan_secrets
 from sparkloom.llm.shared import table
@@ -75,6 +76,12 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "copies")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
@@ -92,6 +99,7 @@ QUERIES = {
         op8_secret_scans,
         op9_html_extraction,
         op10_mixing_sources,
+        op12_packing,
         op13_embedding_whitening,
     )
 }
