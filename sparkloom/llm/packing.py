@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,45 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.llm.arrays import sliced
+from sparkloom.llm.byte_bpe import byte_encoder
 from sparkloom.llm.shared import keyed_rows, small_side, written
-from sparkloom.llm.texts import segments
-from sparkloom.llm.tokens import WHITE, Counter
 
 FIELDS = ("length", "first", "sequence", "copies", "offset", "take", "tail")
 
 
-class Encoder(Counter):
-    """Ids of a text as little-endian unsigned 32-bit numbers.
-
-    If the file's words end before white space (see ``Counter``), a text is cut at single spaces behind a non-space, or at
-    every run of white space, and the ids of each piece are looked up.
-    """
-
-    odd = re.compile(f"[{WHITE}] | $").search
-
-    def known_ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = list(set(pieces))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        return list(map(known.__getitem__, pieces))
-
-    def ids(self, text: str) -> bytes:
-        if self.pieces is None:
-            return np.array(self.encode(text).ids, "<u4").tobytes()
-        return b"".join(b"".join(self.known_ids(self.cut(part))) for part in segments(text))
-
-    def cut(self, text: str) -> list[str]:
-        if self.odd(text):
-            return self.pieces(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-
 def closest_fill(left: dict[int, int], target: int) -> dict[int, int]:
     """The multiset of ``left`` (length: count) whose sum is nearest to ``target`` from below: subset sums as the bits of a
     number, long pieces first, and the counts found by going back through the steps."""
@@ -140,11 +106,11 @@ def _cut(path: str, capacity: int, end_id: int):
     step = 4 * capacity
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, seen = byte_encoder(path), TaskContext.get().partitionId(), {}
         for batch in sliced(batches, 256):
             at, start, length, times, nth, crcs, tokens = [], [], [], [], [], [], []
             for i, value in enumerate(batch.column(2)):
-                ids = encoder.ids(value.as_py() or "") + end
+                ids = encoder.ids(value.as_py() or "").tobytes() + end
                 n = len(ids) // 4
                 full, rest = divmod(n, capacity)
                 for size, many, begin in ((capacity, full, 0), (rest, 1, full * capacity)):
@@ -199,11 +165,11 @@ def _recut(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = byte_encoder(path)
         for batch in sliced(batches, 64):
             out = []
             for key, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = encoder.ids(text or "") + end
+                ids = encoder.ids(text or "").tobytes() + end
                 out += [(key, c["start"], c["length"], zlib.crc32(ids[4 * c["start"] : 4 * (c["start"] + c["length"])])) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["row_key", "start", "length", "crc"])
 
