@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloom.llm.alignment import align_tokens
 from sparkloom.llm.decontaminate import find_contamination
 from sparkloom.llm.embeddings import embedding_groups
 from sparkloom.llm.html_text import extract_text
@@ -76,6 +77,12 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "copies")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +106,7 @@ QUERIES = {
         op8_secret_scans,
         op9_html_extraction,
         op10_mixing_sources,
+        op11_cross_tokenizer_alignment,
         op12_packing,
         op13_embedding_whitening,
     )
