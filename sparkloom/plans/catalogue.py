@@ -12,7 +12,6 @@ from sparkloom.operators import corpus, diff, evalsplit, findings, groundtruth,
 from sparkloom.plans import tables as t
 from sparkloom.plans.registry import query
 from sparkloom.sources import pages, webhooks
-from sparkloom.streaming import claims
 
 # ---- retrieval ----
 
@@ -580,34 +579,6 @@ def t28(spark, d):
     return whole.select("conv_id", report.marked(report.report(F.col("findings"), n, n, outcome, F.lit(False), F.lit(""), F.lit("")), F.col("conv_id").cast("string")).alias("body"))
 
 
-# ---- claims ----
-
-
-@query("st1_idempotent_claim", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'queued' ELSE 'duplicate_skipped' END AS result FROM events")
-def st1(spark, d):
-    """Every event claims its review; the state machine tells which came first."""
-    key = F.concat_ws("/", "user_id", "event_type")
-    e = t.table(spark, d, "events").select(key.alias("claim_key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit("claim").alias("action"), F.col("event_type").alias("task_id"), F.lit("w").alias("worker"), F.lit("").alias("value"), F.lit(False).alias("allow_reclaim"), F.lit(False).alias("redelivered"))
-    return claims.replayed(e, "claim_key").select(F.col("seq").alias("event_id"), "result")
-
-
-def _claim_events(spark, d):
-    action = F.element_at(F.array(*map(F.lit, ("claim", "acquire", "checkpoint", "tick", "finish", "retry", "fail", "close", "assert", "tick"))), (F.col("k") % 10 + 1).cast("int"))
-    return t.events(spark, d).select(
-        F.col("user_id").alias("claim_key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), action.alias("action"), F.col("event_type").alias("task_id"), F.lit("w").alias("worker"), F.lit("completed_no_findings").alias("value"), (F.col("k") % 2 == 0).alias("allow_reclaim"), F.lit(False).alias("redelivered"), "ts",
-    )
-
-
-@query("st2_st8_lease_transitions")
-def st2(spark, d):
-    return claims.replayed(_claim_events(spark, d).drop("ts"), "claim_key")
-
-
-@query("st5_st7_dead_letters")
-def st5(spark, d):
-    return claims.dead_letter_rows(claims.replayed(_claim_events(spark, d).drop("ts"), "claim_key"))
-
-
 # ---- clients ----
 
 

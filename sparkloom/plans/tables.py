@@ -9,6 +9,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files; a name of one file has to be a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def events(spark, d) -> DataFrame:
     """Events with k, the number in their JSON."""
     return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))

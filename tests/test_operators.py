@@ -288,21 +288,6 @@ def test_recovery_ends_in_a_dead_letter():
     assert claims.step(state, event("requeue", at))[0]["attempts"] == 0
 
 
-def test_claim_stream_equals_replay(spark, tmp_path):
-    names = ["claim", "acquire", "checkpoint", "finish", "retry", "claim", "acquire", "fail"]
-    base = datetime.datetime(2024, 1, 1)
-    rows = [(k, i, float(base.timestamp() + 60 * i), a, "t", "w", "general_analysis_only", False, False, base + datetime.timedelta(minutes=i)) for k in range(4) for i, a in enumerate(names[k % 2 :])]
-    schema = "claim_key long, seq long, at double, action string, task_id string, worker string, value string, allow_reclaim boolean, redelivered boolean, ts timestamp"
-    table = spark.createDataFrame(rows, schema)
-    table.coalesce(1).write.parquet(str(tmp_path / "in"))
-    want = sorted((r.claim_key, r.at, r.action, r.result) for r in claims.replayed(table.drop("ts"), "claim_key").collect())
-    stream = claims.claim_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "claim_key")
-    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.claim_key, r.at, r.action, r.result) for r in spark.read.parquet(str(tmp_path / "out")).where("action <> 'tick'").collect())
-    assert got == want
-
-
 def test_first_claims_stream(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     spark.createDataFrame([("a", base), ("a", base), ("b", base)], "k string, ts timestamp").write.parquet(str(tmp_path / "in"))
