@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -45,13 +44,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets go of what finished steps left: Spark's cleaner drops shuffles, broadcasts and plans once the driver collects
-    garbage, which a driver with memory to spare may not do for long while executors' disks fill."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unique_ids(df: DataFrame, id_col: str) -> bool:
     """True if the ids are integers, present and unique: one small aggregation over that column alone."""
     if dict(df.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
