@@ -236,7 +236,7 @@ def j4(spark, d):
     return groundtruth.false_negatives(t.comments_at_lines(spark, d), t.predictions_at_lines(spark, d), ["path"]).select("comment_id")
 
 
-_JUDGED = f"""WITH {t.PLACED}, s AS (SELECT *, ((prediction_id * 31 + comment_id * 17) % 100) / 100.0::DOUBLE AS sim, (prediction_id + comment_id) % 2 = 0 AS same FROM pairs),
+JUDGED = f"""WITH {t.PLACED}, s AS (SELECT *, ((prediction_id * 31 + comment_id * 17) % 100) / 100.0::DOUBLE AS sim, (prediction_id + comment_id) % 2 = 0 AS same FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY sim DESC, prediction_id) AS n FROM s), b AS (SELECT *, n = 1 AND sim > 0 AND sim >= 0.45 AS best FROM r),
 w AS (SELECT *, best AND same AS won, coalesce(max(CASE WHEN best THEN CASE WHEN same THEN 'same' ELSE 'different' END END) OVER (PARTITION BY comment_id), 'below_similarity_floor') AS reason FROM b),
 v AS (SELECT *, CASE WHEN won THEN true WHEN NOT bool_or(won) OVER (PARTITION BY comment_id) THEN false END AS m FROM w), f AS (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY m DESC NULLS LAST, comment_id) AS k FROM v)"""
@@ -249,12 +249,12 @@ def _judged(spark, d):
     return groundtruth.judged(pairs)
 
 
-@query("st13_ground_truth_state", f"{_JUDGED} SELECT prediction_id, m AS matched, CASE WHEN won THEN 'embedding+judge' END AS match_type, CASE WHEN won THEN comment_id END AS source_comment_id, CASE WHEN m IS NOT NULL THEN reason END AS match_reason FROM f WHERE k = 1")
+@query("st13_ground_truth_state", f"{JUDGED} SELECT prediction_id, m AS matched, CASE WHEN won THEN 'embedding+judge' END AS match_type, CASE WHEN won THEN comment_id END AS source_comment_id, CASE WHEN m IS NOT NULL THEN reason END AS match_reason FROM f WHERE k = 1")
 def st13(spark, d):
     return _judged(spark, d)
 
 
-@query("snk3_updated_predictions", f"{_JUDGED} SELECT p.matched IS NULL AS was_open, coalesce(p.matched, f.m) AS matched, count(*) AS n FROM pr p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (prediction_id) GROUP BY 1, 2")
+@query("snk3_updated_predictions", f"{JUDGED} SELECT p.matched IS NULL AS was_open, coalesce(p.matched, f.m) AS matched, count(*) AS n FROM pr p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (prediction_id) GROUP BY 1, 2")
 def snk3(spark, d):
     p = t.predictions_at_lines(spark, d)
     return groundtruth.updated(p.withColumn("was_open", F.col("matched").isNull()), _judged(spark, d)).groupBy("was_open", "matched").agg(F.count("*").alias("n"))
@@ -419,6 +419,19 @@ def src11(spark, d):
     return webhooks.dispatched(rows).select("event_id", "kind", "pr_number")
 
 
+_HMAC = "sha256(unhex('" + bytes(b ^ 0x5C for b in b"example secret".ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('" + bytes(b ^ 0x36 for b in b"example secret".ljust(64, b"\0")).hex() + "') || encode(props))))"
+
+
+@query("t24_signed_webhooks", f"WITH {t.EVENTS} SELECT event_id, 'sha256=' || {_HMAC} AS signature, CASE WHEN k % 4 IN (1, 2, 3) THEN 'unauthorized' ELSE 'pong' END AS kind FROM ev")
+def t24(spark, d):
+    """Pings signed well, badly, not at all, and in capitals."""
+    good = webhooks.signature(F.col("payload"), "example secret")
+    e = t.events(spark, d).select("event_id", F.lit("ping").alias("event"), "k", F.col("props").alias("payload"))
+    sent = F.when(F.col("k") % 4 == 0, good).when(F.col("k") % 4 == 1, F.concat(good, F.lit("0"))).when(F.col("k") % 4 == 2, F.upper(good))
+    rows = webhooks.dispatched(e.withColumn("signature", sent), "example secret")
+    return rows.select("event_id", good.alias("signature"), "kind")
+
+
 # ---- findings ----
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.plans import tables as t
 from sparkloom.plans.registry import query
-from sparkloom.streaming import claims, running
+from sparkloom.streaming import claims, heads, running
 
 _LIVE = "('queued', 'expired', 'abandoned')"
 
@@ -110,3 +110,10 @@ def st1(spark, d):
     key = F.concat_ws("/", "user_id", "event_type")
     e = t.table(spark, d, "events").select(key.alias("claim_key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit("claim").alias("action"), F.col("event_type").alias("task_id"), F.lit("w").alias("worker"), F.lit("").alias("value"), F.lit(False).alias("allow_reclaim"), F.lit(False).alias("redelivered"))
     return claims.replayed(e, "claim_key").select(F.col("seq").alias("event_id"), "result")
+
+
+@query("st9_current_stream", "WITH w AS (SELECT ((epoch_us(max(ts)) // 1000) - 600000) * 1000 AS w FROM events) SELECT event_id FROM events e WHERE epoch_us(ts) + 43200000000 <= (SELECT w FROM w) AND NOT EXISTS (SELECT 1 FROM events h WHERE h.user_id = e.user_id AND h.event_type <> e.event_type AND h.ts > e.ts AND h.ts <= e.ts + INTERVAL 12 HOUR)")
+def st9(spark, d):
+    """Events that no event of another kind by the same user follows within twelve hours, up to the watermark."""
+    side = lambda: t.streamed(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return running.drained(heads.still_current(side(), side(), ["user_id"], "event_type", "ts", "12 hours", "10 minutes").select("event_id"), "heads")

@@ -15,16 +15,24 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark, d) -> DataFrame:
+    return with_k(table(spark, d, "events"))
+
+
+def with_k(events: DataFrame) -> DataFrame:
     """Events with k, the number in their JSON."""
-    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 EVENTS = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
 
 
 def comments_at_lines(spark, d) -> DataFrame:
+    return comments_of(events(spark, d))
+
+
+def comments_of(events: DataFrame) -> DataFrame:
     """Errors and views as review comments: path by user, line by k."""
-    e = events(spark, d).where("event_type in ('error', 'view')")
+    e = events.where("event_type in ('error', 'view')")
     return e.select(F.col("event_id").alias("comment_id"), F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.col("k").alias("line"))
 
 

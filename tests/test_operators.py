@@ -142,10 +142,11 @@ def test_corpus(spark):
 
 def test_insert_if_absent(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.createDataFrame([(1, "a")], "id long, v string").write.parquet(path)
+    corpus.insert_if_absent(spark.createDataFrame([(1, "a")], "id long, v string"), path, "id")
     new = spark.createDataFrame([(1, "x"), (2, "b"), (2, "b")], "id long, v string")
-    assert tuple(corpus.insert_if_absent(new, path, "id", spark).first()) == (1, 2)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
+    assert tuple(corpus.insert_if_absent(new, path, "id").first()) == (1, 2)
+    assert tuple(corpus.insert_if_absent(new, path, "id").first()) == (0, 3)
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "v").collect())) == [(1, "a"), (2, "b")]
 
 
 def test_evidence_budget(spark):
