@@ -9,6 +9,7 @@ from pyspark.sql import Window, functions as F
 from sparkloom.functions import paths, retry, text
 from sparkloom.functions.vectors import cosine_similarity
 from sparkloom.operators import corpus, diff, evalsplit, findings, groundtruth, metrics, report, retrieval, reviews
+from sparkloom.operators.similar_sets import similar_sets
 from sparkloom.plans import tables as t
 from sparkloom.plans.registry import query
 from sparkloom.sources import pages, webhooks
@@ -497,6 +498,16 @@ def t3(spark, d):
     return both.select("a", "b", F.round(F.col("both") / (F.col("size") + F.col("size_b") - F.col("both")), 9).alias("jaccard"))
 
 
+_SETS = "tk AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")))) AS w FROM documents)"
+
+
+@query("j9_similar_documents", f"WITH {_SETS}, c AS (SELECT w, min(doc_id) AS class_id, count(*) AS members FROM tk WHERE len(w) > 0 GROUP BY w), u AS (SELECT class_id, members, len(w) AS n, unnest(w) AS t FROM c), p AS (SELECT a.class_id AS a, b.class_id AS b, any_value(b.members) AS far, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM u a JOIN u b ON a.t = b.t AND a.class_id <> b.class_id AND b.n >= 0.82 * a.n AND a.n >= 0.82 * b.n GROUP BY 1, 2), l AS (SELECT a, sum(far) AS linked FROM p WHERE jaccard >= 0.82 GROUP BY a) SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(members - 1 + coalesce(linked, 0), 0)::BIGINT AS n_links FROM tk LEFT JOIN c USING (w) LEFT JOIN l ON l.a = c.class_id")
+def j9(spark, d):
+    """Documents whose token sets have a Jaccard similarity of 0.82 or more."""
+    docs = t.table(spark, d, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    return similar_sets(docs, "doc_id", "w")
+
+
 @query("t1_identifiers", r"SELECT o_orderkey, array_to_string(list_distinct(regexp_extract_all(o_orderpriority, '\b[A-Z][A-Z0-9_]{3,}\b')).list_sort(), ',') AS ids FROM orders")
 def t1(spark, d):
     return t.table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(text.identifiers(F.col("o_orderpriority"))), ",").alias("ids"))
