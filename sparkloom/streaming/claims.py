@@ -22,7 +22,7 @@ TERMINAL = ("completed_with_findings", "completed_no_findings", "general_analysi
 FIELDS = ["status", "task_id", "lease_owner", "lease_until", "attempts", "dispatches", "dispatched_at", "payload", "error", "deferrals", "deferred_since", "resume_at", "clock"]
 STATE = "status string, task_id string, lease_owner string, lease_until double, attempts long, dispatches long, dispatched_at double, payload string, error string, deferrals long, deferred_since double, resume_at double, clock double"
 EVENT = ["at", "action", "task_id", "worker", "value", "allow_reclaim", "redelivered"]
-EVENT_STATE = "action string, task_id string, worker string, value string, allow_reclaim boolean, redelivered boolean"
+EVENT_STATE = "at double, seq long, action string, task_id string, worker string, value string, allow_reclaim boolean, redelivered boolean"
 RESULT = ["seq", "at", "action", "result", "status", "attempts", "dead_letter"]
 OUT = "at double, action string, result string, status string, attempts long, dead_letter string"
 LEASE_LOST = "its lease ran out on the last attempt"
@@ -217,24 +217,27 @@ class ClaimProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.claim = handle.getValueState("claim", STATE, None if self.event_time else int(self.keep * 1000))
-        self.waiting = handle.getMapState("waiting", "at double, seq long", EVENT_STATE) if self.event_time else None
+        self.waiting = handle.getListState("waiting", EVENT_STATE) if self.event_time else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         events = [_plain(e) for part in rows for e in part.to_dict("records")]
         if not self.event_time:
             yield self.taken(key, sorted(events, key=lambda e: (e["at"], e["seq"])), timerValues.getCurrentProcessingTimeInMs())
             return
-        for e in events:
-            self.waiting.updateValue((e["at"], e["seq"]), tuple(e.get(c) for c in EVENT[1:]))
-        for at in {math.ceil(e["at"] * 1000) for e in events}:
-            self.handle.registerTimer(at)
+        self.waiting.appendList([(e["at"], e["seq"], *(e.get(c) for c in EVENT[1:])) for e in events])
+        self.handle.registerTimer(math.ceil(min(e["at"] for e in events) * 1000))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        turn = sorted(k for k in self.waiting.keys() if k[0] <= now / 1000) if self.event_time else []
-        events = [dict(zip(("seq", *EVENT), (seq, at, *self.waiting.getValue((at, seq))))) for at, seq in turn]
-        for k in turn:
-            self.waiting.removeKey(k)
+        events = []
+        if self.event_time:
+            waiting = sorted(self.waiting.get(), key=lambda e: (e[0], e[1]))
+            due = sum(e[0] <= now / 1000 for e in waiting)
+            events = [_plain(dict(zip(("at", "seq", *EVENT[1:]), e))) for e in waiting[:due]]
+            if due:
+                self.waiting.clear() if due == len(waiting) else self.waiting.put(waiting[due:])
+            if due < len(waiting):
+                self.handle.registerTimer(math.ceil(waiting[due][0] * 1000))
         yield self.taken(key, events, now)
 
     def taken(self, key, events: list[dict], now_ms: int) -> pd.DataFrame:
