@@ -8,7 +8,6 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
 from sparkloom.functions import text
 
@@ -80,12 +79,6 @@ def same_finding(a: Column, b: Column, a_inference: Column, b_inference: Column,
     return F.coalesce(a_inference == b_inference, F.lit(False)) & (left != "") & (right != "") & ((F.lower(left) == F.lower(right)) | family | near | close)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts (the standard library's); keep it for candidate pairs."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-
 class _Concern:
     """What the pair rule looks at, computed once a finding."""
 
@@ -115,27 +108,52 @@ class _Concern:
         return m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and m.ratio() >= RATIO
 
 
+class _Merge:
+    """A table function over one review's findings in order: it holds the kept ones only."""
+
+    def __init__(self):
+        self.kept: list[tuple[int, _Concern]] = []
+
+    def eval(self, row):
+        key, pos, concern, inference = row
+        this = _Concern(concern, inference)
+        home = next((p for p, old in self.kept if old.same(this)), None)
+        if home is None:
+            self.kept.append((pos, this))
+        yield key, pos, pos if home is None else home
+
+
+class _Cluster:
+    """A table function over one review's groups in order: it holds what each cluster has gathered."""
+
+    def __init__(self):
+        self.open: list[tuple[int, set, set]] = []
+
+    def eval(self, row):
+        key, pos, symbols, evidence = row
+        s, e = set(symbols or ()), set(evidence or ())
+        home = next((c for c in self.open if s & c[1] and e & c[2]), None)
+        if home is None:
+            self.open.append((pos, s, e))
+        else:
+            home[1].update(s)
+            home[2].update(e)
+        yield key, pos, pos if home is None else home[0]
+
+
+def _folded(rows: DataFrame, function: type, key: str, result: str) -> DataFrame:
+    """``function`` over each key's rows in order of pos: PARTITION BY and ORDER BY of a table function, so rows pass one by one."""
+    kinds = dict(rows.dtypes)
+    return F.udtf(function, returnType=f"{key} {kinds[key]}, pos {kinds['pos']}, {result} {kinds['pos']}")(rows.asTable().partitionBy(key).orderBy("pos"))
+
+
 def merged(findings: DataFrame, key: str = "review_id") -> DataFrame:
     """``findings`` (key, pos, concern, is_inference, ...) with ``kept_pos``: the earlier finding that absorbs each.
 
-    An ordered fold a review: a finding joins the first kept one whose own concern it repeats, else it is kept. Reviews
-    hold a few dozen findings (the call cap bounds them), so one group is small.
+    An ordered fold a review: a finding joins the first kept one whose own concern it repeats, else it is kept. A task holds
+    the kept findings of one review, never a whole group; time grows with the product of a review's findings and its kept ones.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, _Concern]] = []
-        out = []
-        rows = rows.sort_values("pos", kind="stable")
-        for pos, concern, inference in zip(rows["pos"], rows["concern"], rows["is_inference"]):
-            this = _Concern(concern, inference)
-            home = next((p for p, old in kept if old.same(this)), None)
-            if home is None:
-                kept.append((pos, this))
-            out.append(pos if home is None else home)
-        return rows.assign(kept_pos=out)[[key, "pos", "kept_pos"]]
-
-    kinds = dict(findings.dtypes)
-    return findings.select(key, "pos", "concern", "is_inference").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, pos {kinds['pos']}, kept_pos {kinds['pos']}")
+    return _folded(findings.select(key, "pos", "concern", "is_inference"), _Merge, key, "kept_pos")
 
 
 def union_of_evidence(findings: DataFrame, homes: DataFrame, key: str = "review_id", source: str = "source_key") -> DataFrame:
@@ -152,26 +170,9 @@ def clusters(groups: DataFrame, key: str = "review_id") -> DataFrame:
     """(key, pos, cluster_pos) for ``groups`` (key, pos, symbols, evidence): an ordered fold.
 
     A group joins the first cluster that shares a symbol and a piece of evidence with what it has gathered so far; two
-    clusters never merge. Groups of one review are bounded by the hunk cap.
+    clusters never merge. A task holds the clusters of one review.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        open_: list[tuple[int, set, set]] = []
-        out = []
-        rows = rows.sort_values("pos", kind="stable")
-        for pos, symbols, evidence in zip(rows["pos"], rows["symbols"], rows["evidence"]):
-            s, e = set(symbols if symbols is not None else ()), set(evidence if evidence is not None else ())
-            home = next((c for c in open_ if s & c[1] and e & c[2]), None)
-            if home is None:
-                open_.append((pos, s, e))
-            else:
-                home[1].update(s)
-                home[2].update(e)
-            out.append(pos if home is None else home[0])
-        return rows.assign(cluster_pos=out)[[key, "pos", "cluster_pos"]]
-
-    kinds = dict(groups.dtypes)
-    return groups.select(key, "pos", "symbols", "evidence").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, pos {kinds['pos']}, cluster_pos {kinds['pos']}")
+    return _folded(groups.select(key, "pos", "symbols", "evidence"), _Cluster, key, "cluster_pos")
 
 
 def synthesized(requests: DataFrame, provider: Callable[[list[dict]], list[str | None]], schema: str, inputs: list[str]) -> DataFrame:

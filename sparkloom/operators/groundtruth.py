@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkloom.functions.vectors import cosine_similarity
 from sparkloom.operators.diff import starting_line
 
 LINES, FLOOR = 10, 0.45
@@ -68,10 +67,6 @@ def judged(pairs: DataFrame, floor: float = FLOOR) -> DataFrame:
     return state.withColumn("__first", first).where("__first = 1").select("prediction_id", "matched", "match_type", F.when(F.col("won"), F.col("comment_id")).alias("source_comment_id"), "match_reason")
 
 
-def with_similarity(pairs: DataFrame, concern_vector: str, body_vector: str) -> DataFrame:
-    return pairs.withColumn("similarity", cosine_similarity(F.col(concern_vector), F.col(body_vector)))
-
-
 def updated(predictions: DataFrame, states: DataFrame, id_col: str = "prediction_id") -> DataFrame:
     """All predictions, those of ``states`` with their verdict; verdicts never overwrite earlier ones."""
     new = states.select(id_col, *(F.col(c).alias(f"new_{c}") for c in ("matched", "match_type", "source_comment_id", "match_reason")))

@@ -277,7 +277,10 @@ def a8(spark, d):
     return diff.joined_in_order(t.table(spark, d, "conversations"), ["conv_id"], "turn", "text")
 
 
-@query("t9_hunk_split", rf"WITH {t.DIFFS}, m AS (SELECT *, sum((starts_with(line, '@@'))::INT) OVER w AS nth, last_value(CASE WHEN starts_with(line, '+++ b/') THEN substr(line, 7) END IGNORE NULLS) OVER w AS p FROM ln WINDOW w AS (PARTITION BY conv_id ORDER BY nr ROWS UNBOUNDED PRECEDING)), h AS (SELECT conv_id, nth, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT starts_with(line, '+++ b/')), '') AS hunk, coalesce(arg_max(p, nr), '') AS path FROM m WHERE nth > 0 GROUP BY conv_id, nth) SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nth) - 1)::INTEGER AS pos, path, sha256(hunk) AS hunk_hash FROM h WHERE length(regexp_replace(hunk, '^\s+|\s+$', '', 'g')) > 30")
+_HUNKS = rf"WITH {t.DIFFS}, m AS (SELECT *, sum((starts_with(line, '@@'))::INT) OVER w AS nth, last_value(CASE WHEN starts_with(line, '+++ b/') THEN substr(line, 7) END IGNORE NULLS) OVER w AS p FROM ln WINDOW w AS (PARTITION BY conv_id ORDER BY nr ROWS UNBOUNDED PRECEDING)), h AS (SELECT conv_id, nth, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT starts_with(line, '+++ b/')), '') AS hunk, coalesce(arg_max(p, nr), '') AS path FROM m WHERE nth > 0 GROUP BY conv_id, nth), hk AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nth) - 1)::INTEGER AS pos, path, hunk FROM h WHERE length(regexp_replace(hunk, '^\s+|\s+$', '', 'g')) > 30)"
+
+
+@query("t9_hunk_split", f"{_HUNKS} SELECT conv_id, pos, path, sha256(hunk) AS hunk_hash FROM hk")
 def t9(spark, d):
     return diff.split_hunks(t.diffs(spark, d), "conv_id", "diff").select("conv_id", "pos", "path", F.sha2("hunk", 256).alias("hunk_hash"))
 
@@ -296,13 +299,27 @@ def a9_sum(spark, d):
     return s.select("conv_id", "file_count", "added", "removed", F.array_join(F.transform("files", lambda x: x["path"]), ",").alias("paths"))
 
 
-@query("t27_change_overview")
+@query(
+    "t27_change_overview",
+    f"""{_COUNTS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS nth, path LIKE '%/tests/%' AS is_test FROM c)
+SELECT conv_id, '**Changed areas (' || count(*) || ' files; +' || sum(added)::BIGINT || '/-' || sum(removed)::BIGINT || ' lines):**' || chr(10) || string_agg('- `' || path || ' (+' || added || '/-' || removed || ')`', chr(10) ORDER BY nth) FILTER (nth <= 12)
+  || CASE WHEN count(*) > 12 THEN chr(10) || '- `…and ' || (count(*) - 12) || ' more changed files`' ELSE '' END || chr(10)
+  || CASE WHEN count(*) FILTER (is_test) > 0 THEN '**Test files changed:** ' || string_agg('`' || path || '`', ', ' ORDER BY nth) FILTER (is_test) ELSE '**Tests:** none are part of this diff, so run those that cover the code it touches.' END AS overview
+FROM s GROUP BY conv_id""",
+)
 def t27(spark, d):
     s = diff.summarize(diff.line_counts(t.diffs(spark, d), "conv_id", "diff"), "conv_id")
     return s.select("conv_id", diff.overview(s).alias("overview"))
 
 
-@query("t10_relevant_lines")
+_ADDED = r"""al AS (SELECT conv_id, pos, hunk, unnest(string_split(hunk, chr(10))) AS line, generate_subscripts(string_split(hunk, chr(10)), 1) AS nr FROM hk),
+cl AS (SELECT conv_id, pos, nr, substr(line, 2) AS x, regexp_replace(substr(line, 2), '^\s+|\s+$', '', 'g') AS bare FROM al WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')),
+ql AS (SELECT *, contains(x, '"' || '""') OR contains(x, chr(39) || chr(39) || chr(39)) AS quoted FROM cl WHERE bare <> '' AND NOT regexp_matches(bare, '^(import |from |logger = |client = )') AND NOT contains(x, '= structlog')),
+kl AS (SELECT conv_id, pos, x, nr FROM (SELECT *, coalesce(sum(quoted::INT) OVER (PARTITION BY conv_id, pos ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ql) WHERE NOT quoted AND before % 2 = 0),
+nl AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pos ORDER BY nr) AS nth FROM kl)"""
+
+
+@query("t10_relevant_lines", f"{_HUNKS}, {_ADDED} SELECT hk.conv_id, hk.pos, coalesce(string_agg(x, chr(10) ORDER BY nth) FILTER (nth <= 8), '') || CASE WHEN count(nth) > 8 THEN chr(10) || '... (' || (count(nth) - 8) || ' more lines)' ELSE '' END AS preview FROM hk LEFT JOIN nl ON nl.conv_id = hk.conv_id AND nl.pos = hk.pos GROUP BY hk.conv_id, hk.pos")
 def t10(spark, d):
     return diff.split_hunks(t.diffs(spark, d), "conv_id", "diff").select("conv_id", "pos", diff.relevant_lines(F.col("hunk")).alias("preview"))
 
@@ -525,7 +542,17 @@ def g3(spark, d):
     return findings.union_of_evidence(rows, findings.merged(rows))
 
 
-@query("g2_clusters")
+_SYMBOLS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")))"
+
+
+@query(
+    "g2_clusters",
+    f"""WITH RECURSIVE r AS (SELECT conv_id, turn::INTEGER AS pos, {_SYMBOLS} AS symbols, [role] AS evidence, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, i, pos, pos AS cluster_pos, [{{'pos': pos, 's': symbols, 'e': evidence}}] AS open FROM r WHERE i = 1
+  UNION ALL SELECT conv_id, i, pos, coalesce(home, pos), CASE WHEN home IS NULL THEN list_append(open, {{'pos': pos, 's': symbols, 'e': evidence}}) ELSE list_transform(open, lambda c: CASE WHEN c.pos = home THEN {{'pos': c.pos, 's': list_distinct(list_concat(c.s, symbols)), 'e': list_distinct(list_concat(c.e, evidence))}} ELSE c END) END
+  FROM (SELECT r.conv_id, r.i, r.pos, r.symbols, r.evidence, f.open, list_extract(list_filter(f.open, lambda c: list_has_any(c.s, r.symbols) AND list_has_any(c.e, r.evidence)), 1).pos AS home FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1))
+SELECT conv_id AS review_id, pos, cluster_pos FROM f""",
+)
 def g2(spark, d):
     rows = t.table(spark, d, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").cast("int").alias("pos"), text.tokens(F.col("text")).alias("symbols"), F.array("role").alias("evidence"))
     return findings.clusters(rows)

@@ -40,6 +40,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def stored_once(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and not again if an executor is lost."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, tag: str, sink: Callable | None = None) -> DataFrame | None:
     """Runs ``stream`` over all there is now, then stops. Its rows, from files in the shared folder; none with a ``sink``, a
     function of (batch, batch id) that takes them."""

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import hmac
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def test_clusters_do_not_merge(spark):
 def test_native_pair_rule_agrees_with_the_fold(spark):
     concerns = ["", "MAX_SIZE undefined", "undefined MAX_SIZE again", "the handler may leak memory on error paths", "the handler could leak memory on error paths", "quite another thing"]
     pairs = spark.createDataFrame([(a, b) for a in concerns for b in concerns], "a string, b string")
-    ratio = findings.sequence_ratio(F.lower(text.strip(F.col("a"))), F.lower(text.strip(F.col("b"))))
+    ratio = F.udf(lambda a, b: SequenceMatcher(None, a or "", b or "").ratio(), "double")(F.lower(text.strip(F.col("a"))), F.lower(text.strip(F.col("b"))))
     for r in pairs.select("a", "b", findings.same_finding(F.col("a"), F.col("b"), F.lit(False), F.lit(False), ratio).alias("same")).collect():
         assert r.same == findings._Concern(r.a, False).same(findings._Concern(r.b, False)), (r.a, r.b)
 
