@@ -20,19 +20,19 @@ BONUS = {"identifier": 0.08, "suffix": 0.025, "test": 0.025, "repo": 0.02}
 FOUND = "query_id long, id long, similarity double"
 
 
-def _rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def vector_rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _best(queries: pa.Table, corpus: pa.RecordBatch | pa.Table, width: int, threshold: float, limit: int, exclude_self: bool) -> Iterator[pa.RecordBatch]:
+def best_rows(queries: pa.Table, corpus: pa.RecordBatch | pa.Table, width: int, threshold: float, limit: int, exclude_self: bool) -> Iterator[pa.RecordBatch]:
     """The ``limit`` best corpus rows for each query out of every 4,096, by matrix products of bounded size."""
-    ids, wanted = queries.column("query_id").to_numpy(), _rows(queries.column("vector"), width)
+    ids, wanted = queries.column("query_id").to_numpy(), vector_rows(queries.column("vector"), width)
     before = queries.column("before").to_numpy() if "before" in queries.column_names else None
     unit = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
     for k in range(0, corpus.num_rows, 4096):
         some = corpus.slice(k, 4096)
-        x, own = _rows(some.column("vector"), width), some.column("id").to_numpy()
+        x, own = vector_rows(some.column("vector"), width), some.column("id").to_numpy()
         at = None if before is None else some.column("at").to_numpy()
         norm = np.linalg.norm(x, axis=1)
         for j in range(0, len(ids), 1024):
@@ -74,7 +74,7 @@ def top_similar(queries: DataFrame, corpus: DataFrame, limit: int, threshold: fl
 
         def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from _best(asked, batch, width, threshold, limit, exclude_self)
+                yield from best_rows(asked, batch, width, threshold, limit, exclude_self)
 
         found = corpus.mapInArrow(beside, FOUND)
     else:
@@ -85,9 +85,13 @@ def top_similar(queries: DataFrame, corpus: DataFrame, limit: int, threshold: fl
         right = corpus.withColumn("c_block", dealt("id", parts)).withColumn("q_block", every(blocks))
 
         def cell(asked: pa.Table, some: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(_best(asked, some, width, threshold, limit, exclude_self), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())]))
+            return pa.Table.from_batches(best_rows(asked, some, width, threshold, limit, exclude_self), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())]))
 
         found = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block")).applyInArrow(cell, FOUND)
+    return ranked_rows(found, limit)
+
+
+def ranked_rows(found: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
@@ -118,14 +122,20 @@ def long_enough(hunk: Column) -> Column:
     return F.length(text.strip(F.coalesce(hunk, F.lit("")))) >= MIN_HUNK
 
 
-def similar_comments(hunks: DataFrame, corpus: DataFrame, limit: int = RESULTS, threshold: float = SIMILARITY) -> DataFrame:
+def similar_comments(hunks: DataFrame, corpus: DataFrame, limit: int = RESULTS, threshold: float = SIMILARITY, index: str | None = None) -> DataFrame:
     """Live retrieval for ``hunks`` (query_id, hunk, path, repo_owner, repo_name, vector) over review comments.
 
     Candidates over the threshold (four times ``limit`` by similarity) are re-ranked, repeated bodies go, and the first
-    ``limit`` stay: columns of the comment with similarity, score and nth.
+    ``limit`` stay: columns of the comment with similarity, score and nth. Candidates are exact; with ``index``, the
+    path of a stored index of the corpus by github_comment_id, they are those it finds.
     """
     fit = hunks.where(long_enough(F.col("hunk")))
-    near = top_similar(fit, corpus.select(F.col("github_comment_id").alias("id"), F.col("embedding").alias("vector")), OVERFETCH * limit, threshold)
+    if index:
+        from sparkloom.operators.vector_index import search_index
+
+        near = search_index(corpus.sparkSession, index, fit, OVERFETCH * limit, threshold)
+    else:
+        near = top_similar(fit, corpus.select(F.col("github_comment_id").alias("id"), F.col("embedding").alias("vector")), OVERFETCH * limit, threshold)
     asked = fit.select("query_id", F.col("hunk").alias("target_hunk"), F.col("path").alias("target_path"), F.col("repo_owner").alias("target_owner"), F.col("repo_name").alias("target_name"))
     hits = near.drop("nth").join(corpus.drop("embedding"), F.col("id") == F.col("github_comment_id")).join(asked, "query_id")
     same = (F.col("target_owner") == F.col("repo_owner")) & (F.col("target_name") == F.col("repo_name"))

@@ -28,4 +28,4 @@ def oracle_sql() -> dict:
     return dict(_SQL)
 
 
-from sparkloom.plans import catalogue, claim_queries, sink_queries  # noqa: E402, F401  registers the queries
+from sparkloom.plans import catalogue, claim_queries, index_queries, sink_queries  # noqa: E402, F401  registers the queries
