@@ -25,11 +25,16 @@ FRAME_WORDS = REPLIES | frozenset(
 )
 # Words that tell of a frame only outside an article.
 DOUBTFUL = frozenset("side search widget tags copyright legal disclaimer skip".split())
+# Words that say nothing: where a thing stands, what it looks like, what it holds.
+NEUTRAL = frozenset(
+    "site page main global top bottom left right center primary secondary first last inner outer wrapper wrap container box block section area zone region slot unit panel module widget bar row col column list item items group "
+    "link links button buttons btn icon icons post posts article articles story stories content body text form input field fields message messages msg media desktop mobile small medium large sm md lg xl js is fixed sticky open closed active".split()
+)
 # Names that only tell of a frame elsewhere, and parts of the article itself.
 NOT_FRAMES = re.compile(r"^(?:with|without|has|no)[-_]|^(?:article|post|entry|story|content|main|page)[-_](?:header|head|title|body|text|content|main)$")
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-# How a line's markup weighs its density, and the least weighted density of content.
-IN_FRAME, IN_DOUBT, IN_ARTICLE, INHERITED, FLOOR = 0.04, 0.5, 1.5, 0.75, 0.4
+# How a line's markup weighs its density against the threshold, and the least weighted density of content: links alone have none.
+IN_FRAME, IN_DOUBT, IN_ARTICLE, INHERITED, FLOOR = 0.2, 0.5, 1.5, 0.75, 0.1
 
 
 class Element:
@@ -145,19 +150,22 @@ class Lines(HTMLParser):
             e.frame = above and up.frame or e.framed and not own_head or e.named and not e.holds_main
             e.inside = not e.frame and (e.main or above and up.inside)
             e.doubtful = not e.inside and (e.doubtful and not e.holds_main or above and up.doubtful)
-            own = float(np.log1p(e.chars / max(1, e.tags)))
+            own = float(np.sqrt(e.chars / max(1, e.tags)))
             e.density = max(own, INHERITED * up.density) if above and up.tag not in ("html", "body") else own
             e.scope = up.scope if above and (e.tag in LISTS or e.inside and up.inside) else e
 
 
 def names_frame(names: str, article: bool = False, known: dict[tuple[str, bool], int] = {}) -> int:  # noqa: B006  names repeat from page to page
-    """2 if a class or id attribute names a frame, 1 if it may, 0 if not: a word of it does, and it is no name of an
-    article's part. Of an article itself, only names of readers' comments count."""
+    """2 if a class or id attribute names a frame, 1 if it may, 0 if not. One of its names does if all its words do, but for
+    those that say nothing, and it is no name of an article's part: ``site-footer`` is one, ``share-price`` is not. Of an
+    article itself, only names of readers' comments count."""
     found = known.get((names, article))
     if found is None:
         tokens = [t for t in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split() if not NOT_FRAMES.search(t)]
-        words = [w for t in tokens for w in re.split(r"[-_]+", t)]
-        found = 2 if not (REPLIES if article else FRAME_WORDS).isdisjoint(words) else int(not article and not DOUBTFUL.isdisjoint(words))
+        telling = [{w.rstrip("0123456789") for w in re.split(r"[-_]+", t)} - NEUTRAL - {""} for t in tokens]
+        frames = REPLIES if article else FRAME_WORDS
+        sure = any(words and words <= frames for words in telling)
+        found = 2 if sure else int(not article and any(words and words <= FRAME_WORDS | DOUBTFUL for words in telling))
         if len(known) < 100_000:
             known[names, article] = found
     return found
@@ -172,13 +180,13 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def two_means(x: np.ndarray, rounds: int = 20) -> float:
-    """The threshold between two clusters of ``x``; over all of them if they are the same."""
+    """The threshold between two clusters of ``x``; below all of them if they are the same."""
     low, high = float(x.min()), float(x.max())
     for _ in range(rounds):
         cut = (low + high) / 2
         below, above = x[x <= cut], x[x > cut]
         if not len(above) or not len(below):
-            return low - 1
+            return -1.0
         new = float(below.mean()), float(above.mean())
         if new == (low, high):
             break
@@ -186,29 +194,42 @@ def two_means(x: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
-def line_scores(lines: list[list], sigma: float) -> np.ndarray:
-    """The smoothed text-to-tag ratio of each line, or that of its element's lines if higher, weighed by its markup.
+def line_densities(lines: list[list], sigma: float) -> np.ndarray:
+    """The smoothed text-to-tag ratio of each line, or that of its element's lines if higher; markup has no say in it.
 
-    The element's ratio counts less the more of the text around the line is in links: so lines of links do not stand in
-    for the prose beside them, but a single one does not leave it.
+    Ratios are under a square root, so that a few long paragraphs do not make all others thin. Either counts less
+    the more of the text around the line is in links: so lines of links do not pass for the prose beside them, but a
+    single one does not leave it.
     """
     whole = np.array([len(x[0]) for x in lines], float)
     size = whole - np.array([x[2] for x in lines], float)
-    ratio = np.log1p(size / np.maximum(1, np.array([x[1] for x in lines], float)))
+    ratio = np.sqrt(size / np.maximum(1, np.array([x[1] for x in lines], float)))
     prose = smoothed(size / whole, sigma)
-    weight = np.array([IN_FRAME if x[3].frame else IN_ARTICLE if x[3].inside else IN_DOUBT if x[3].doubtful else 1.0 for x in lines])
-    return weight * np.maximum(smoothed(ratio, sigma), prose * np.array([x[3].density for x in lines]))
+    return prose * np.maximum(smoothed(ratio, sigma), np.array([x[3].density for x in lines]))
+
+
+def line_weights(lines: list[list]) -> np.ndarray:
+    """How far the markup of each line speaks for content."""
+    return np.array([IN_FRAME if x[3].frame else IN_ARTICLE if x[3].inside else IN_DOUBT if x[3].doubtful else 1.0 for x in lines])
 
 
-def content_lines(lines: list[list], scores: np.ndarray) -> np.ndarray:
+def content_lines(lines: list[list], density: np.ndarray) -> np.ndarray:
     """True for the lines of the content regions.
 
-    Dense lines are those over the threshold of two clusters, which is at least ``FLOOR`` and at most half the highest
-    score. Thin lines between two dense ones of their own scope (an article, else an element that is no list) belong to
-    the region, as does a heading right before it; lines of frames do neither.
+    Two clusters of the densities alone set the threshold, at most half the highest weighed density of an element outside
+    frames (a few long lines do not raise it). A line whose
+    weighed density is over it is content; where all lines are equally dense, there are no two clusters, and all with any
+    text outside links are. Thin lines between two dense ones of their own scope (an article, else an element that is no
+    list) belong to the region, as does a heading right before it; lines of frames do neither. A page of frames has none.
     """
-    cut = max(FLOOR, min(two_means(scores), scores.max() / 2))
-    region = scores > cut
+    weights = line_weights(lines)
+    weighed = density * weights
+    free = [k for k, x in enumerate(lines) if not x[3].frame]
+    if not free:
+        return np.zeros(len(lines), bool)
+    home = max(w * lines[k][3].density for k, w in zip(free, weights[free]))
+    cut = max(FLOOR, min(two_means(density), home / 2))
+    region = weighed > cut
     dense = np.flatnonzero(region).tolist()
     for a, b in zip(dense, dense[1:]):
         for k in range(a + 1, b):
@@ -230,7 +251,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser.settle()
     if not parser.lines:
         return ""
-    region = content_lines(parser.lines, line_scores(parser.lines, sigma))
+    region = content_lines(parser.lines, line_densities(parser.lines, sigma))
     return "\n\n".join(x[0] for x, r in zip(parser.lines, region) if r)
 
 
@@ -244,10 +265,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """The id, url, text (main content, empty if none) and n_chars (code points) of every row.
 
     The parser's events are cut into lines at block tags. A line's text-to-tag ratio (characters outside links over
-    tags since the line before, logarithm) is smoothed by a Gaussian over its neighbours; that of all lines of its
-    element counts instead if higher. Markup only weighs it: frames by tag, role, class or id (menus, headers, footers,
-    sidebars, notices, adverts, forms, comments) little, lines in ``article`` or ``main`` more. Two-means clustering of
-    the weighed ratios sets the threshold, and thin lines between dense ones of the same scope belong to the region.
+    tags since the line before, square root) is smoothed by a Gaussian over its neighbours; that of all lines of its
+    element counts instead if higher. Two-means clustering of these densities sets the threshold. Markup only weighs a line
+    against it: frames by tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments)
+    little, lines in ``article`` or ``main`` more. Thin lines between dense ones of the same scope belong to the region.
     Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null
     html is empty. Whole pages are read; nothing is shuffled; repeated rows and null ids and urls are kept; empty tables
     give no rows.
