@@ -34,7 +34,7 @@ NEUTRAL = frozenset(
 NOT_FRAMES = re.compile(r"^(?:with|without|has|no)[-_]|^(?:article|post|entry|story|content|main|page)[-_](?:header|head|title|body|text|content|main)$")
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # How a line's markup weighs its density against the threshold, and the least weighted density of content: links alone have none.
-IN_FRAME, IN_DOUBT, IN_ARTICLE, INHERITED, FLOOR = 0.2, 0.5, 1.5, 0.75, 0.1
+IN_FRAME, IN_DOUBT, IN_ARTICLE, INHERITED, FLOOR = 0.12, 0.5, 1.5, 0.75, 0.05
 
 
 class Element:

@@ -56,7 +56,7 @@ def element_by_force(lines, e):
 def content_by_force(lines):
     """Clusters by trying every split of the sorted densities; then regions, a gap at a time."""
     density = densities_by_force(lines)
-    weight = [0.2 if x[3].frame else 1.5 if x[3].inside else 0.5 if x[3].doubtful else 1.0 for x in lines]
+    weight = [0.12 if x[3].frame else 1.5 if x[3].inside else 0.5 if x[3].doubtful else 1.0 for x in lines]
     free = [k for k, x in enumerate(lines) if not x[3].frame]
     if not free:
         return [False] * len(lines)
@@ -67,7 +67,7 @@ def content_by_force(lines):
             low = high = -1.0
             break
         low, high = sum(below) / len(below), sum(above) / len(above)
-    cut = max(0.1, min((low + high) / 2, max(weight[k] * element_by_force(lines, lines[k][3]) for k in free) / 2))
+    cut = max(0.05, min((low + high) / 2, max(weight[k] * element_by_force(lines, lines[k][3]) for k in free) / 2))
     region = [w * d > cut for w, d in zip(weight, density)]
     dense = [k for k, r in enumerate(region) if r]
     for k, line in enumerate(lines):
