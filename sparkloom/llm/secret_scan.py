@@ -14,23 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sparkloom.llm.shared import keyed_rows, small_side, written
 
 KEYS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth|credential)s?"
-SIGN = r"""(?:["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})["']?"""
-# A private key from its BEGIN line to its END line; without an END line, BEGIN and the lines of key material behind it.
-PRIVATE_KEY = r"""-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+)"""
+ASSIGN = r"""(?:["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})"""
+SIGN = rf"""{ASSIGN}["']?"""
+# A private key from its BEGIN line to its END line; without an END line, BEGIN and the header lines and lines of key material behind it.
+PRIVATE_KEY = r"""-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset): [^\n\\]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/]{2,15}={1,2}))*+)"""
 # Fixed prefixes of issued keys.
 ISSUED = r"(?:A[KS]IA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_)"
 LOGIN = r"""[^\s/:@"'<>]*+:"""
+# A named value. In quotes it runs to its own closing quote, blanks and signs included (a text of over 256 characters with blanks, or
+# one that holds a longer key or a URL, is not one value). A passphrase of three words or more runs to the end of its line. A
+# password keeps commas and semicolons that neither end it nor begin another setting. Anything else ends at these.
+OTHERS = rf"(?:{ISSUED}[A-Za-z0-9_]{{12}}|-----BEGIN|://|[A-Za-z0-9+/_-]{{32}})"
+QUOTED = "|".join(rf"{q}(?:[^{q}\s]{{4,}}|(?![^{q}\n]{{0,256}}{OTHERS})[^{q}\n]{{4,256}})(?={q})" for q in "\"'")
+PHRASE = r"(?i:pass[-_ ]?phrase)[ \t]{0,3}[:=][ \t]{0,3}[a-z]{2,20}(?:[ -][a-z]{2,20}){2,11}(?=[ \t]*(?:\n|$))"
+PASSWORD = r"(?i:pass(?:word|wd|phrase)?|pwd)s?"
+NAMED = rf"""{PHRASE}|{KEYS}{ASSIGN}(?:{QUOTED})|{PASSWORD}{SIGN}(?:[^\s"'<>,;]|[,;](?![\s,;]|$|[\w ]{{1,40}}[=:])){{6,}}|{KEYS}{SIGN}[^\s"'<>,;]{{6,}}"""
 # A private key, named or not; a named value; the password of a URL; an issued key; or a key-like run with a digit or
 # of 32 characters. Each runs to its end.
-CANDIDATE = rf"""(?:{KEYS}{SIGN})?{PRIVATE_KEY}|{KEYS}{SIGN}[^\s"'<>,;]{{6,}}|(?<=://){LOGIN}[^\s/@"'<>]{{3,}}(?=@)|(?<![A-Za-z0-9+/_-])(?:{ISSUED}[A-Za-z0-9_.+/=-]{{12,}}|(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}|[A-Za-z0-9+/_-]{{32,}})={{0,2}})"""
+CANDIDATE = rf"""(?:{KEYS}{SIGN})?{PRIVATE_KEY}|{NAMED}|(?<=://){LOGIN}[^\s/@"'<>]{{3,}}(?=@)|(?<![A-Za-z0-9+/_-])(?:{ISSUED}[A-Za-z0-9_.+/=-]{{12,}}|(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}|[A-Za-z0-9+/_-]{{32,}})={{0,2}})"""
 VENDOR = rf"^(?:A[KS]IA[0-9A-Z]{{16}}$|gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_|xox[abprs]-|sk[-_][A-Za-z0-9]|AIza[0-9A-Za-z_-]{{30,}}|eyJ[A-Za-z0-9_-]{{10,}}|glpat-|npm_[A-Za-z0-9]{{20,}}|-----BEGIN )"
 # Words of code and prose that random strings do not hold; the frequent words of a corpus come on top.
 DICTIONARY = tuple("password secret token example sample test dummy change here your user admin name value string number text file path main class service controller handler manager factory config default general public private static string update create delete insert select index table column report version release build package module library common server client request response message data image page content title header footer section chapter paragraph".split())
 SECRET_WORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth\w*|bearer|credentials?)\W*$"
-BENIGN_WORDS = r"(?i)(?:commit|sha(?:1|256|512)?|hash|checksum|digest|md5|uuid|guid|etag|revision|integrity|version|build|isbn|base64,?|id|ref|tag|file|path|url|see)\W*$"
+BENIGN_WORDS = r"(?i)(?:commit|sha(?:1|256|512)?|hash|checksum|digest|md5|uuid|guid|etag|revision|integrity|version|build|isbn|base64,?|ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp[0-9]+|id|ref|tag|file|path|url|see)\W*$"
 PLACEHOLDER = r"(?i)your|example|sample|dummy|change.?me|placeholder|xxxx|\*\*\*\*|<|\$\{|\{\{|1234567|todo|redacted|foobar"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|fixtures?|examples?|samples?|docs?|mocks?)(?:[/_.-]|$)|\.lock$"
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "likeness", "distinct", "hex", "digest_length", "dictionary", "vowels", "slashes", "vendor", "named", "secret_word", "benign_word", "placeholder", "test_path"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "likeness", "distinct", "hex", "digest_length", "dictionary", "vowels", "slashes", "vendor", "named", "secret_word", "benign_word", "placeholder", "test_path", "blanks", "passphrase"]
 
 
 def _share(s: Column, chars: str) -> Column:
@@ -79,7 +88,7 @@ def features(secret: Column, before: Column, path: Column, words: tuple[str, ...
         "symbols": _share(secret, r"\W_"),
         "transitions": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / size,
         "likeness": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(secret, 1, 64), ""))) / F.least(size, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(secret, ""))) / F.least(size, F.lit(64)),
         "hex": flag(secret.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "digest_length": flag(F.length(secret).isin(32, 40, 56, 64, 96, 128) & secret.rlike("^[0-9a-fA-F]+$")),
         "dictionary": F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / size,
@@ -91,6 +100,8 @@ def features(secret: Column, before: Column, path: Column, words: tuple[str, ...
         "benign_word": flag(before.rlike(BENIGN_WORDS)),
         "placeholder": flag(secret.rlike(PLACEHOLDER)),
         "test_path": flag(path.rlike(TEST_PATH)),
+        "blanks": _share(secret, " "),
+        "passphrase": flag(before.rlike(r"(?i)pass[-_ ]?phrase[ \t]{0,3}[:=]\W*$")),
     }
 
 
@@ -108,11 +119,11 @@ def labelled_findings(spark: SparkSession, each: int = 200, words: tuple[str, ..
         (f"concat({pick('token', 'auth_token', 'secret', 'api_key', 'access_token')}, {pick(' = ', '=', ': ')}, {quote})", f"substring({h('a')}, 1, cast({pick(40, 32, 24)} as int))", 1),
         (f"concat({pick('password', 'db_password', 'passwd', 'pwd')}, {pick('=', ' = ', ': ')}, {quote})", f"substring({h('b')}, 1, cast({pick(18, 12, 16, 20)} as int))", 1),
         (f"concat({pick('password', 'pass', 'pwd')}, {pick('=', ' = ', ': ')}, {quote})", f"concat({pick('Sun', 'Tiger', 'Blue', 'Kx')}, substring({b('c')}, 1, 6), {pick('!', '#9', '42')})", 1),
-        (pick("of ", "with ", "the ", "key ", ""), f"concat('AKIA', substring(upper({b('d')}), 1, 16))", 1),
+        (pick("of ", "with ", "the ", "see ", "", "tag ", "ref: "), f"concat('AKIA', substring(upper({b('d')}), 1, 16))", 1),
         (f"concat({pick('api_key', 'apikey', 'client_key', 'secret')}, {pick('=', ': ', ' = ')}, {quote})", f"substring({b('e')}, 1, 36)", 1),
         (pick("bearer ", "Authorization: Bearer ", "and "), f"concat('eyJ', substring({b('f')}, 1, 30))", 1),
-        (pick("use ", "token ", ""), f"concat('ghp_', substring({b('g')}, 1, 36))", 1),
-        (pick("slack ", "", "the "), f"concat({pick('xoxb-', 'sk-', 'AIza')}, substring({b('i')}, 1, 38))", 1),
+        (pick("use ", "token ", "", "url ", "see "), f"concat('ghp_', substring({b('g')}, 1, 36))", 1),
+        (pick("slack ", "", "the ", "version "), f"concat({pick('xoxb-', 'sk-', 'AIza')}, substring({b('i')}, 1, 38))", 1),
         (pick("aws_secret_access_key = ", "secret: ", "private_key="), f"substring({b('j')}, 1, 40)", 1),
         (pick("commit ", "commit: ", "revision ", "sha "), f"substring({h('k')}, 1, 40)", 0),
         (pick("sha256:", "checksum ", "digest: ", "md5 ", "hash="), f"substring({h('l')}, 1, cast({pick(64, 32, 40)} as int))", 0),
@@ -136,6 +147,11 @@ def labelled_findings(spark: SparkSession, each: int = 200, words: tuple[str, ..
         (pick("", "key: ", "private_key = "), f"concat('-----BEGIN ', {pick('RSA ', 'EC ', '')}, 'PRIVATE KEY-----', {key_lines})", 1),
         (f"concat({pick('token', 'api_key', 'secret', 'access_token')}, {pick('=', ': ', ' = ')})", f"repeat({b('s')}, cast(2 + n % 200 as int))", 1),
         (pick("base64,", "image ", "data:image/png;base64,"), f"repeat({b('t')}, cast(20 + n % 200 as int))", 0),
+        (f"concat({pick('password', 'passwd', 'secret', 'pwd')}, {pick('=', ' = ', ': ')}, {pick(chr(34), '`')})", f"concat({pick('Red', 'our', 'K7', '')}, substring({b('z')}, 1, 5), {pick(' ', ', ', ' & ', ';')}, substring({b('aa')}, 1, cast({pick(5, 8, 11)} as int)), {pick('', '!', '?')})", 1),
+        (f"concat({pick('DB_PASS', 'PASSWORD', 'pwd', 'MYSQL_PASS')}, {pick('=', ': ')})", f"concat(substring({b('ab')}, 1, 4), {pick(',', ';', '$')}, substring({b('ac')}, 1, cast({pick(3, 5, 9)} as int)), {pick(';', ',', '%')}, substring({b('ad')}, 1, 5))", 1),
+        (f"concat({pick('passphrase', 'pass_phrase', 'key passphrase')}, {pick(': ', ' = ', '=')})", f"concat({word(1)}, {pick(' ', '-')}, {word(5)}, ' ', {word(9)}, {pick('', ' ')}, {word(13)})", 1),
+        (f"concat({pick('password', 'token', 'secret', 'auth')}, {pick(': ', ' = ')}, {pick(chr(34), '`')})", f"concat({pick('please enter', 'must not be', 'the field for', 'invalid', 'reset your')}, ' ', {word(3)}, ' ', {word(8)}, ' ', {word(15)})", 0),
+        (pick("ssh-rsa ", "ssh-ed25519 ", "ecdsa-sha2-nistp256 "), f"concat('AAAA', {pick('B3NzaC1yc2EAAAADAQAB', 'C3NzaC1lZDI1NTE5AAAAI', 'E2VjZHNhLXNoYTItbmlzd')}, repeat({b('ae')}, cast(1 + n % 5 as int)))", 0),
     ]
     made = None
     for k, (before, secret, label, *path) in enumerate(kinds):
