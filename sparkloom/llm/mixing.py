@@ -74,43 +74,62 @@ def _units(bags: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 SUMS = "topic long, n long, fit double, total binary"
+#: Vectors count in this unit. So the products and sums of vectors are sums of whole numbers under 2 ** 53, which
+#: come out the same in whatever order and batches they are taken.
+UNIT = float(1 << 20)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as doubles that are whole numbers of ``UNIT``."""
+    return np.rint(x * x.dtype.type(UNIT)).astype(float)
+
+
+def _worst(found: dict[bytes, float], most: int) -> dict[bytes, float]:
+    """The ``most`` vectors of the lowest fit; the first by their bytes of equal ones."""
+    return dict(sorted(found.items(), key=lambda r: (r[1], r[0]))[:most])
 
 
 def _cell_sums(centroids: np.ndarray):
-    """For each task: of every cell the number of rows and the sum of their vectors; and, as topic -1, the row that fits worst."""
+    """For each task: of every cell the number of rows and the sum of their vectors; and, as topic -1, the different vectors that fit worst."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, worst, near = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape), (2.0, None), centroids.T.astype(np.float32)
+        k, near = len(centroids), _whole(centroids).T
+        n, total, worst = np.zeros(k, np.int64), np.zeros(centroids.shape, np.int64), {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                x = _units(batch.column(0).slice(k, 2048), centroids.shape[1])
+            for at in range(0, batch.num_rows, 2048):
+                x = _whole(_units(batch.column(0).slice(at, 2048), centroids.shape[1]))
                 score = x @ near
                 cell, best = score.argmax(axis=1), score.max(axis=1)
-                n += np.bincount(cell, minlength=len(n))
-                total += (np.arange(len(n))[:, None] == cell).astype(np.float32) @ x
-                if best.min() < worst[0]:
-                    worst = (float(best.min()), x[best.argmin()].astype(float))
+                n += np.bincount(cell, minlength=k)
+                total += ((np.arange(k)[:, None] == cell).astype(float) @ x).astype(np.int64)
+                bar, least = max(worst.values()) if len(worst) == k else np.inf, {}
+                for i in np.argsort(best, kind="stable"):
+                    if best[i] > bar or len(least) >= k and best[i] > max(least.values()):
+                        break
+                    least[x[i].astype(np.int64).tobytes()] = float(best[i])
+                worst |= least
+                worst = _worst(worst, k)
         some = np.flatnonzero(n)
         if len(some):
-            sums = [total[i].tobytes() for i in some] + [worst[1].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1]), pa.array([*n[some].tolist(), 1]), pa.array([0.0] * len(some) + [worst[0]]), pa.array(sums, pa.binary())], names=["topic", "n", "fit", "total"])
+            sums = [total[i].tobytes() for i in some] + list(worst)
+            yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), *[-1] * len(worst)]), pa.array([*n[some].tolist(), *[1] * len(worst)]), pa.array([0.0] * len(some) + list(worst.values())), pa.array(sums, pa.binary())], names=["topic", "n", "fit", "total"])
 
     return rows
 
 
 def _added(most: int):
-    """The sums of a cell's rows added up; of topic -1 the ``most`` rows that fit worst."""
+    """The sums of a cell's rows added up; of topic -1 the ``most`` vectors that fit worst."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, worst = {}, []
+        sums, worst = {}, {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["topic"] < 0:
-                    worst = sorted([*worst, (r["fit"], r["total"])])[:most]
+                    worst = _worst(worst | {r["total"]: r["fit"]}, most)
                 else:
-                    n, total = sums.get(r["topic"], (0, 0.0))
-                    sums[r["topic"]] = (n + r["n"], total + np.frombuffer(r["total"]))
-        out = [(k, n, 0.0, t.tobytes()) for k, (n, t) in sums.items()] + [(-1, 1, fit, t) for fit, t in worst]
+                    n, total = sums.get(r["topic"], (0, 0))
+                    sums[r["topic"]] = (n + r["n"], total + np.frombuffer(r["total"], np.int64))
+        out = [(k, n, 0.0, t.tobytes()) for k, (n, t) in sums.items()] + [(-1, 1, fit, t) for t, fit in worst.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.binary()))], names=["topic", "n", "fit", "total"])
 
@@ -121,8 +140,8 @@ def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512,
     """Unit topic centroids: spherical k-means over all ``bags``.
 
     It starts from the centroids of at most ``start_rows`` rows whose keys hash lowest, one for each key. In each round the executors assign
-    every row and add up vectors and counts of each cell; only these sums come to the driver. An empty cell takes a row
-    that fits worst. It ends when no centroid moves by more than ``close`` (one less the cosine), or after ``rounds``.
+    every row and add up vectors and counts of each cell, in whole numbers (``UNIT``), so partitions and batches change
+    nothing; only these sums come to the driver. An empty cell takes a row that fits worst. It ends when no centroid moves by more than ``close`` (one less the cosine), or after ``rounds``.
     """
     words, hashed = bags.where("n_tokens > 0"), F.xxhash64(key_col)
     last = words.select(hashed.alias("h")).distinct().orderBy("h").limit(start_rows).agg(F.max("h")).first()[0]
@@ -136,8 +155,8 @@ def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512,
         now = np.zeros_like(c)
         for r in sums:
             if r.topic >= 0:
-                now[r.topic] = np.frombuffer(r.total)
-        worst = [np.frombuffer(r.total) for r in sorted((r for r in sums if r.topic < 0), key=lambda r: (r.fit, r.total))]
+                now[r.topic] = np.frombuffer(r.total, np.int64)
+        worst = [np.frombuffer(r.total, np.int64) for r in sorted((r for r in sums if r.topic < 0), key=lambda r: (r.fit, bytes(r.total)))]
         for k, v in zip(np.flatnonzero(~now.any(axis=1)), worst):
             now[k] = v
         norm = np.linalg.norm(now, axis=1, keepdims=True)
@@ -150,12 +169,13 @@ def fit_topics(bags: DataFrame, key_col: str, topics: int = 8, dims: int = 512,
 
 def _placed(centroids: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _whole(centroids).T
         for batch in batches:
             bags, topic = batch.column(1), np.full(batch.num_rows, NONE, object)
             some = np.flatnonzero(bags.is_valid().to_numpy(zero_copy_only=False))
             for k in range(0, len(some), 2048):
                 at = some[k : k + 2048]
-                cell = (_units(bags.take(pa.array(at)), centroids.shape[1]) @ centroids.T.astype(np.float32)).argmax(axis=1)
+                cell = (_whole(_units(bags.take(pa.array(at)), centroids.shape[1])) @ near).argmax(axis=1)
                 topic[at] = [f"t{i}" for i in cell]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(topic.tolist(), pa.string())], names=["who", "topic"])
 
@@ -211,7 +231,8 @@ def rake(cells: list[tuple], mass: np.ndarray, targets: Targets, rounds: int = R
 
 def rake_frame(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, float]:
     """The same steps as joins and aggregations of Spark, for more cells than the driver may hold: ``cells`` with ``w``,
-    and the largest error left."""
+    and the largest error left. Sums are of decimals, which have no order."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,18)")).cast("double")
     total = cells.agg(F.sum("mass")).first()[0] or 0
     w, goals = cells.withColumn("w", F.col("mass").cast("double")), {}
     for d, target in targets.items():
@@ -222,13 +243,13 @@ def rake_frame(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, close:
             raw = own.select(d, F.coalesce(given[F.col(d)], F.lit(max(0.0, 1 - sum(target.values()))) * F.col("m") / rest).alias("g"))
         else:
             raw = own.select(d, F.when(F.col("m") > 0, F.pow(F.col("m") / total, F.lit(float(target)))).otherwise(0.0).alias("g"))
-        scale = raw.agg(F.sum("g")).first()[0] or 1.0
+        scale = raw.agg(exact("g")).first()[0] or 1.0
         goals[d] = written(raw.select(d, (F.col("g") / scale * total).alias("goal")), "goal")
     error, errors = 0.0, []
     for _ in range(rounds):
         error = 0.0
         for d, goal in goals.items():
-            now = written(w.groupBy(d).agg(F.sum("w").alias("now")).join(goal, d), "marginal")
+            now = written(w.groupBy(d).agg(exact("w").alias("now")).join(goal, d), "marginal")
             error = max(error, (now.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] or 0.0) / max(total, 1e-12))
             w = w.join(now, d).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("goal") / F.col("now")).otherwise(0.0)).drop("now", "goal")
         w = written(w, "cells")
@@ -254,7 +275,7 @@ def mix(placed: DataFrame, targets: Targets, key_col: str, budget: float = 1.0,
     cells = written(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("mass")), "cells")
     n = cells.count()
     if n <= driver_cells:
-        found = [tuple(r) for r in cells.collect()]
+        found = sorted(tuple(r) for r in cells.collect())
         mass = np.array([float(r[-1] or 0) for r in found])
         w, error = rake([r[:-1] for r in found], mass, targets) if found else (mass, 0.0)
         factor = np.divide(w, mass, out=np.ones_like(w), where=mass > 0) * budget

@@ -167,16 +167,16 @@ def _forest(keys: list[str], radius: int, similarity: float | None = None, words
     return rows
 
 
-def _in_groups(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+def _in_groups(rows: DataFrame, keys: list[str], most: int, broadcast_bytes: int) -> DataFrame:
     """``rows`` sorted by ``keys`` and part; groups over ``most`` rows are cut in parts, every two of which meet.
 
-    The groups so large are broadcast: at most a row for ``most`` of them.
+    The groups so large are broadcast if they take at most ``broadcast_bytes``, else joined.
     """
-    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = small_side(written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most), "large"), broadcast_bytes)
     n_parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(most))
     own = F.pmod(F.xxhash64("node"), n_parts)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda j: F.least(own, j) * n_parts + F.greatest(own, j))
-    dealt = rows.join(F.broadcast(large), keys, "left").select(*rows.columns, F.explode(pairs).alias("part"))
+    dealt = rows.join(large, keys, "left").select(*rows.columns, F.explode(pairs).alias("part"))
     return dealt.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
 
 
@@ -200,13 +200,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     positions = band_bits(classes.count(), similarity, miss)
     banded = classes.select("node", *FP).mapInArrow(_banded(positions), "node long, " + ", ".join(f"{f} long" for f in FP) + ", band long, value long")
     keys = ["band", "value"]
-    near = connected_components(_in_groups(banded, keys, bucket_rows).mapInArrow(_forest([*keys, "part"], radius), "a long, b long"))
+    near = connected_components(_in_groups(banded, keys, bucket_rows, broadcast_bytes).mapInArrow(_forest([*keys, "part"], radius), "a long, b long"))
     members = near.select("component", "node").union(near.select("component", F.col("component").alias("node")).distinct())
     members = written(members.join(classes.select("node", *FP), "node"), "members")
 
     texts = rows.select(F.col("row_key").alias("node"), F.col(text_col).alias("text"))
     small = small_side(members, broadcast_bytes)
-    met = _in_groups(texts.join(small, "node").select("component", "node", *FP, "text"), ["component"], member_rows)
+    met = _in_groups(texts.join(small, "node").select("component", "node", *FP, "text"), ["component"], member_rows, broadcast_bytes)
     groups = connected_components(met.mapInArrow(_forest(["component", "part"], radius, similarity, words), "a long, b long"))
 
     placed = classes.join(groups, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
