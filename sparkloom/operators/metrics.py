@@ -49,6 +49,25 @@ def final_score(samples: DataFrame, floor: float) -> DataFrame:
     return precision_recall_f1(samples.agg(*confusion(hit, F.col("had_retrieval"), F.col("num_concerns"))).withColumn("floor", F.lit(floor)))
 
 
+def sample_results(rows: DataFrame, floor: float | None = None) -> DataFrame:
+    """``rows`` (had_retrieval, num_concerns, best_similarity, best_concern, judge_confirmed, judge_reason) as a run records them.
+
+    Null flags and counts are false and zero. Without retrieval nothing was said; where nothing was said there is no similarity, else the
+    best one to three digits, zero if none was over zero. Only with a ``floor``, and where the similarity before rounding reaches it, was
+    the judge asked.
+    """
+    had = F.coalesce("had_retrieval", F.lit(False))
+    said = F.when(had, F.coalesce("num_concerns", F.lit(0))).otherwise(0).cast("int")
+    asked = (said > 0) & (F.col("best_similarity") >= floor) if floor is not None else F.lit(False)
+    return rows.withColumns({
+        "had_retrieval": had, "num_concerns": said,
+        "best_similarity": F.when(said > 0, F.coalesce(F.round("best_similarity", 3), F.lit(0.0))),
+        "best_concern": F.when(said > 0, F.col("best_concern")),
+        "judge_confirmed": F.when(asked, F.col("judge_confirmed")),
+        "judge_reason": F.when(asked, F.col("judge_reason")),
+    })
+
+
 def cold_start(samples: DataFrame) -> DataFrame:
     n = F.count_if(~F.col("had_retrieval"))
     return samples.agg(F.count("*").alias("n_samples"), n.alias("no_retrieval_match_count"), F.round(n / F.nullif(F.count("*"), F.lit(0)) * 100, 1).alias("no_retrieval_match_pct"))

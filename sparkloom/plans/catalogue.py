@@ -12,6 +12,7 @@ from sparkloom.operators import corpus, diff, evalsplit, findings, groundtruth,
 from sparkloom.operators.similar_sets import similar_sets
 from sparkloom.plans import tables as t
 from sparkloom.plans.registry import query
+from sparkloom.sinks import artifacts
 from sparkloom.sources import pages, webhooks
 
 # ---- retrieval ----
@@ -399,10 +400,36 @@ def snk5(spark, d):
     return reviews.published(e.where("event_type <> 'click'"), e.where("event_type = 'click'")).select("head_sha", "event_id")
 
 
-@query("snk6_run_artifact")
+_RUN = f"""WITH {t.EVENTS}, pool AS (SELECT *, event_type || '/p' || (user_id % 2) AS repo FROM ev WHERE ts >= TIMESTAMP '2024-01-15'),
+pn AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY repo) AS c FROM pool),
+ph AS (SELECT *, CASE WHEN pos < c // 2 THEN 'tune' ELSE 'test' END AS part FROM pn),
+pm AS (SELECT *, row_number() OVER (PARTITION BY repo, part ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY repo, part) AS size, greatest(1, CASE part WHEN 'tune' THEN 15 ELSE 35 END // (SELECT count(DISTINCT repo) FROM pool)) AS q FROM ph),
+sp AS (SELECT *, event_type <> 'error' AS had, value / 500 AS raw FROM pm WHERE size <= q OR EXISTS (SELECT 1 FROM range(0, 35) r(i) WHERE i < q AND place = floor(i * (size / q::DOUBLE)))),
+sr AS (SELECT part, event_id AS sample_id, had AS had_retrieval, CASE WHEN had THEN user_id % 4 ELSE 0 END::INT AS num_concerns, CASE WHEN had AND user_id % 4 > 0 THEN round(raw::DECIMAL(20, 17), 3)::DOUBLE END AS best_similarity, raw, CASE WHEN had AND user_id % 4 > 0 THEN event_type END AS best_concern, props AS real_comment, k % 2 = 0 AS judge FROM sp),
+th AS (SELECT unnest([0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75])::DOUBLE AS threshold),
+tc AS (SELECT threshold, coalesce(sum(CASE WHEN best_similarity >= threshold THEN 1 ELSE 0 END), 0)::BIGINT AS tp, coalesce(sum(num_concerns - CASE WHEN best_similarity >= threshold THEN 1 ELSE 0 END), 0)::BIGINT AS fp, coalesce(sum(CASE WHEN best_similarity >= threshold THEN 0 ELSE 1 END), 0)::BIGINT AS fn FROM th, sr WHERE part = 'tune' GROUP BY threshold),
+tp AS (SELECT *, {_PRF} FROM tc), tf AS (SELECT *, round(2 * precision * recall / nullif(precision + recall, 0), 3) AS f1 FROM tp),
+fl AS (SELECT threshold AS floor FROM tf ORDER BY f1 DESC NULLS LAST, threshold LIMIT 1),
+ts AS (SELECT sample_id, had_retrieval, num_concerns, best_similarity, best_concern, real_comment, CASE WHEN num_concerns > 0 AND raw >= floor THEN judge END AS judge_confirmed, CASE WHEN num_concerns > 0 AND raw >= floor THEN 'k' END AS judge_reason, floor FROM sr, fl WHERE part = 'test'),
+fc AS (SELECT floor, sum(hit)::BIGINT AS tp, sum(num_concerns - hit)::BIGINT AS fp, sum(1 - hit)::BIGINT AS fn, count(*) AS n, count(*) FILTER (NOT had_retrieval) AS bare FROM (SELECT *, CASE WHEN best_similarity >= floor AND judge_confirmed THEN 1 ELSE 0 END AS hit FROM ts) GROUP BY floor),
+fp AS (SELECT *, {_PRF} FROM fc), ff AS (SELECT *, round(2 * precision * recall / nullif(precision + recall, 0), 3) AS f1 FROM fp)
+SELECT to_json(struct_pack(run_at := '2024-06-01T00:00:00', split_date := '2024-01-15T00:00:00', repo_pool := (SELECT list(DISTINCT repo ORDER BY repo) FROM pool), pool_sizes_by_repo := (SELECT map_from_entries(list((repo, n) ORDER BY repo)) FROM (SELECT repo, count(*) AS n FROM pool GROUP BY repo)),
+tune_size := (SELECT count(*) FROM sr WHERE part = 'tune'), test_size := n, tuning_sweep := (SELECT list(struct_pack(threshold := threshold, tp := tp, fp := fp, fn := fn, precision := precision, recall := recall, f1 := f1) ORDER BY threshold) FROM tf), floor_selected := floor,
+final_metrics := struct_pack(floor := floor, tp := tp, fp := fp, fn := fn, precision := precision, recall := recall, f1 := f1), no_retrieval_match_count := bare, no_retrieval_match_pct := round(bare / n * 100, 1),
+test_sample_results := (SELECT list(struct_pack(sample_id := sample_id, had_retrieval := had_retrieval, num_concerns := num_concerns, best_similarity := best_similarity, best_concern := best_concern, real_comment := real_comment, judge_confirmed := judge_confirmed, judge_reason := judge_reason) ORDER BY sample_id) FROM ts)))::VARCHAR AS artifact FROM ff"""
+
+
+@query("snk6_run_artifact", _RUN)
 def snk6(spark, d):
-    swept = metrics.sweep(t.samples(spark, d))
-    return swept.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("threshold", "tp", "fp", "fn", "precision", "recall", "f1"))).alias("tuning_sweep"))).alias("artifact"))
+    """The whole record of a run: events from the split date on are the pool, their kinds and halves of users its repositories."""
+    split_date, e = datetime(2024, 1, 15), t.events(spark, d)
+    comments = e.withColumns({"comment_created_at": F.col("ts"), "repo_owner": F.col("event_type"), "repo_name": F.concat(F.lit("p"), F.col("user_id") % 2)})
+    pool = evalsplit.held_out_pool(comments, split_date, with_bots=True)
+    picked = evalsplit.stratified_split(pool, ["repo_owner", "repo_name"], ["comment_created_at", "event_id"])
+    rows = t.samples_of(picked).withColumn("judge_reason", F.lit("k"))
+    tune = metrics.sample_results(rows.where("part = 'tune'"))
+    floor = metrics.best_threshold(metrics.sweep(tune)).first().floor
+    return artifacts.run_record(pool, tune, metrics.sample_results(rows.where("part = 'test'"), floor), datetime(2024, 6, 1), split_date)
 
 
 @query("src3_rate_guard", f"WITH {t.EVENTS} SELECT event_id, (CASE WHEN k < 10 THEN greatest(0, user_id - 50) + 5 ELSE 0 END)::BIGINT AS wait_seconds FROM ev")

@@ -85,11 +85,12 @@ def review(changes: DataFrame, comments: DataFrame, embed: Embedder, synthesize,
 
 
 def evaluate(comments: DataFrame, split_date, embed: Embedder, concerns, judge: Judge | None = None, **sizes) -> dict[str, DataFrame]:
-    """Held-out evaluation: {"samples", "sweep", "floor", "final", "cold_start"}.
+    """Held-out evaluation: {"samples", "sweep", "floor", "final", "cold_start", "pool"}.
 
     Comments from ``split_date`` on are split into tune and test; retrieval sees only what came before. ``concerns`` is a
     function of the retrieved rows (query_id, body, ...) giving (query_id, concern). The floor is tuned on similarity
-    alone; the test score also needs the judge.
+    alone; the test score also needs the judge, who is asked of test samples that reach the floor and of no others.
+    ``samples`` are ``metrics.sample_results`` with ``part``; ``artifacts.run_record`` makes the record of a run of them.
     """
     pool = evalsplit.held_out_pool(comments, split_date)
     picked = evalsplit.stratified_split(pool, ["repo_owner", "repo_name"], ["comment_created_at", "github_comment_id"], **sizes)
@@ -97,18 +98,22 @@ def evaluate(comments: DataFrame, split_date, embed: Embedder, concerns, judge:
     hits = retrieval.similar_comments_for_eval(asked, comments, comments.select("repo_owner", "repo_name").distinct())
     said = _settled(embedded(concerns(hits), "concern", embed, "concern_vector")).join(embedded(asked.select("query_id", "real_comment"), "real_comment", embed, "body_vector"), "query_id")
     scored = said.withColumn("similarity", cosine_similarity(F.col("concern_vector"), F.col("body_vector"))).drop("concern_vector", "body_vector")
-    best = metrics.best_match(scored, ["query_id"], "concern")
-    if judge:
-        best = _settled(judged_pairs(best, judge, "concern", "real_comment"))
-    else:
-        best = best.withColumn("same_concern", F.lit(None).cast("boolean")).withColumn("judge_reason", F.lit(None).cast("string"))
+    best = _settled(metrics.best_match(scored, ["query_id"], "concern"))
     counts = scored.groupBy("query_id").agg(F.count("*").cast("int").alias("num_concerns"))
-    samples = (
+    found = (
         asked.select("query_id", "part", "real_comment").join(hits.select("query_id").distinct().withColumn("had_retrieval", F.lit(True)), "query_id", "left").join(counts, "query_id", "left")
-        .join(best.select("query_id", F.col("similarity").alias("best_similarity"), F.col("concern").alias("best_concern"), F.col("same_concern").alias("judge_confirmed"), "judge_reason"), "query_id", "left")
-        .fillna({"had_retrieval": False, "num_concerns": 0, "best_similarity": 0.0})
+        .join(best.select("query_id", F.col("similarity").alias("best_similarity"), F.col("concern").alias("best_concern")), "query_id", "left")
     )
-    swept = metrics.sweep(samples.where("part = 'tune'"))
+    unjudged = {"judge_confirmed": F.lit(None).cast("boolean"), "judge_reason": F.lit(None).cast("string")}
+    tune = metrics.sample_results(found.where("part = 'tune'").withColumns(unjudged))
+    swept = metrics.sweep(tune)
     floor = metrics.best_threshold(swept)
-    test = samples.where("part = 'test'")
-    return {"samples": samples, "sweep": swept, "floor": floor, "final": metrics.final_score(test, floor.first().floor), "cold_start": metrics.cold_start(test)}
+    least, test = floor.first().floor, found.where("part = 'test'")
+    if judge:
+        close = best.where(F.col("similarity") >= least).join(test.select("query_id"), "query_id", "left_semi")
+        judged = _settled(judged_pairs(close, judge, "concern", "real_comment"))
+        test = test.join(judged.select("query_id", F.col("same_concern").alias("judge_confirmed"), "judge_reason"), "query_id", "left")
+    else:
+        test = test.withColumns(unjudged)
+    test = metrics.sample_results(test, least)
+    return {"samples": tune.unionByName(test), "sweep": swept, "floor": floor, "final": metrics.final_score(test, least), "cold_start": metrics.cold_start(test), "pool": pool}

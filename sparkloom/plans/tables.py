@@ -52,8 +52,13 @@ pairs AS (SELECT c.comment_id, c.path, c.line, p.prediction_id, p.predicted_line
 
 def samples(spark, d) -> DataFrame:
     """Events as evaluation samples: similarity by value, concerns by user, the judge by k."""
-    return events(spark, d).select(
-        F.col("event_id").alias("sample_id"), (F.col("event_type") != "error").alias("had_retrieval"), F.pmod("user_id", F.lit(4)).cast("int").alias("num_concerns"), (F.col("value") / 500).alias("best_similarity"), (F.pmod("k", F.lit(2)) == 0).alias("judge_confirmed")
+    return samples_of(events(spark, d)).drop("best_concern", "real_comment")
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    """The same with what was said (the kind of event) and written (its JSON), and with ``part`` if it is there."""
+    return events.select(
+        *(c for c in events.columns if c == "part"), F.col("event_type").alias("best_concern"), F.col("props").alias("real_comment"), F.col("event_id").alias("sample_id"), (F.col("event_type") != "error").alias("had_retrieval"), F.pmod("user_id", F.lit(4)).cast("int").alias("num_concerns"), (F.col("value") / 500).alias("best_similarity"), (F.pmod("k", F.lit(2)) == 0).alias("judge_confirmed")
     )
 
 

@@ -48,10 +48,19 @@ def test_evaluate(spark):
     rows = [(i, "o", f"r{i % 2}", HUNK.replace("buffer", words[i % 3]), f"{words[i % 3]} number may overflow", "bot[bot]" if i == 90 else "ann", at + datetime.timedelta(hours=i)) for i in range(100)]
     df = embedded(spark.createDataFrame(rows, "github_comment_id long, repo_owner string, repo_name string, diff_hunk string, body string, author string, comment_created_at timestamp").withColumn("path", F.lit("a.py")), "diff_hunk", hashed_words())
     split = at + datetime.timedelta(hours=60)
-    out = plans.evaluate(df, split, hashed_words(), lambda hits: hits.select("query_id", F.col("body").alias("concern")).distinct(), lambda a, b: (a == b, "equal"), tune=6, test_max=8, test_min=4)
+    asked = spark.sparkContext.accumulator(0)
+
+    def judge(a, b):
+        asked.add(1)
+        return a == b, "equal"
+
+    out = plans.evaluate(df, split, hashed_words(), lambda hits: hits.select("query_id", F.col("body").alias("concern")).distinct(), judge, tune=6, test_max=8, test_min=4)
     samples = out["samples"].collect()
     assert len(samples) == 14 and all(s.query_id >= 60 and s.query_id != 90 for s in samples)
     final = out["final"].first()
+    # Only test samples that reach the floor went to the judge.
+    assert 0 < sum(s.judge_reason is not None for s in samples) <= asked.value <= 8
+    assert all(s.judge_reason is None for s in samples if s.part == "tune" or (s.best_similarity or 0) < final.floor)
     assert final.tp + final.fn == 8 and out["cold_start"].first().n_samples == 8
 
 

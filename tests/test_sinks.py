@@ -180,3 +180,37 @@ def test_delivery_of_a_table(spark):
     assert got == {2: ("created", 1), 3: ("created", 1), 4: ("created", 1)}
     assert reports.delivered(rows.limit(0), Service()).count() == 0
     assert [r.m for r in rows.select(reports.mark_of(F.col("body")).alias("m")).collect()] == ["a", "a", None, None, None]
+
+
+def test_run_record_is_written_once(spark, tmp_path):
+    import datetime
+    import json
+
+    from sparkloom.operators import metrics
+    from sparkloom.sinks import artifacts
+
+    schema = "sample_id long, had_retrieval boolean, num_concerns int, best_similarity double, best_concern string, real_comment string, judge_confirmed boolean, judge_reason string"
+    # 0.4496 rounds to 0.45: over that threshold when the floor is tuned, but the judge is not asked.
+    rows = [(1, True, 2, 0.4496, "a", "x", True, "j"), (2, True, 1, 0.8, "b", "y", True, "j"), (3, False, 4, 0.9, "c", "z", True, "j"), (4, True, 0, 0.9, "d", "w", True, "j"), (5, True, 3, None, None, None, None, None), (6, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    pool = spark.createDataFrame([("o", "r")] * 3 + [("o", "q")], "repo_owner string, repo_name string")
+    at, split = datetime.datetime(2024, 6, 1, 2, 3, 4), datetime.datetime(2024, 1, 1)
+    tune = metrics.sample_results(df)
+    record = artifacts.run_record(pool, tune, metrics.sample_results(df, 0.45), at, split)
+    path = artifacts.write_record(record, str(tmp_path), at)
+    assert path.endswith("held_out_eval_20240601_020304")
+    got = json.loads(spark.read.text(path).first().value)
+    assert got["repo_pool"] == ["o/q", "o/r"] and got["pool_sizes_by_repo"] == {"o/q": 1, "o/r": 3}
+    assert (got["run_at"], got["split_date"], got["tune_size"], got["test_size"]) == ("2024-06-01T02:03:04", "2024-01-01T00:00:00", 6, 6)
+    assert got["floor_selected"] == 0.45 and got["tuning_sweep"][0] == {"threshold": 0.45, "tp": 2, "fp": 4, "fn": 4, "precision": 0.333, "recall": 0.333, "f1": 0.333}
+    assert got["final_metrics"] == {"floor": 0.45, "tp": 1, "fp": 5, "fn": 5, "precision": 0.167, "recall": 0.167, "f1": 0.167}
+    assert (got["no_retrieval_match_count"], got["no_retrieval_match_pct"]) == (2, 33.3)
+    samples = {s.pop("sample_id"): s for s in got["test_sample_results"]}
+    assert list(samples) == [1, 2, 3, 4, 5, 6]
+    assert (samples[1]["best_similarity"], samples[1]["judge_confirmed"]) == (0.45, None)
+    assert samples[3] == {"had_retrieval": False, "num_concerns": 0, "best_similarity": None, "best_concern": None, "real_comment": "z", "judge_confirmed": None, "judge_reason": None}
+    assert samples[5]["best_similarity"] == 0.0
+    with pytest.raises(Exception, match="(?i)exists"):
+        artifacts.write_record(record, str(tmp_path), at)
+    none = json.loads(artifacts.run_record(pool.limit(0), tune.limit(0), tune.limit(0), at, split).first().artifact)
+    assert none["repo_pool"] == [] and none["test_sample_results"] == [] and none["no_retrieval_match_pct"] is None
