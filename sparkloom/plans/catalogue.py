@@ -11,6 +11,7 @@ from sparkloom.functions.vectors import cosine_similarity
 from sparkloom.operators import corpus, diff, evalsplit, findings, groundtruth, metrics, report, retrieval, reviews
 from sparkloom.operators.similar_sets import similar_sets
 from sparkloom.plans import tables as t
+from sparkloom.plans.review import settled
 from sparkloom.plans.registry import query
 from sparkloom.sinks import artifacts
 from sparkloom.sources import pages, webhooks
@@ -426,7 +427,7 @@ def snk6(spark, d):
     comments = e.withColumns({"comment_created_at": F.col("ts"), "repo_owner": F.col("event_type"), "repo_name": F.concat(F.lit("p"), F.col("user_id") % 2)})
     pool = evalsplit.held_out_pool(comments, split_date, with_bots=True)
     picked = evalsplit.stratified_split(pool, ["repo_owner", "repo_name"], ["comment_created_at", "event_id"])
-    rows = t.samples_of(picked).withColumn("judge_reason", F.lit("k"))
+    rows = settled(t.samples_of(picked).withColumn("judge_reason", F.lit("k")))
     tune = metrics.sample_results(rows.where("part = 'tune'"))
     floor = metrics.best_threshold(metrics.sweep(tune)).first().floor
     return artifacts.run_record(pool, tune, metrics.sample_results(rows.where("part = 'test'"), floor), datetime(2024, 6, 1), split_date)

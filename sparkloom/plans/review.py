@@ -18,7 +18,7 @@ def ingest(api_comments: DataFrame, existing: DataFrame, embed: Embedder, owner:
     return embedded(new.withColumn("repo_owner", F.lit(owner)).withColumn("repo_name", F.lit(repo)), "diff_hunk", embed)
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, so that providers are not asked again: in the checkpoint folder, or in two copies without one."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK_2)
 
@@ -33,7 +33,7 @@ def review(changes: DataFrame, comments: DataFrame, embed: Embedder, synthesize,
     hunks = diff.split_hunks(changes, "review_id", "diff")
     capped = reviews.capped_hunks(hunks)
     asked = capped.join(changes.drop("diff"), "review_id").withColumn("query_id", F.col("review_id") * 1000 + F.col("pos"))
-    hits = retrieval.similar_comments(_settled(embedded(asked, "hunk", embed, "vector")), comments, threshold=threshold)
+    hits = retrieval.similar_comments(settled(embedded(asked, "hunk", embed, "vector")), comments, threshold=threshold)
     source = F.struct("repo_owner", "repo_name", "path", "body", "similarity", F.col("html_url"), F.col("target_path").alias("triggered_by_file"), F.col("target_hunk").alias("triggered_by_hunk"))
     key = text.source_key(F.col("html_url"), F.col("repo_owner"), F.col("repo_name"), F.col("path"), F.col("body"))
     per_hunk = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", source.alias("s"), "score", key.alias("k")))).alias("m"))
@@ -55,7 +55,7 @@ def review(changes: DataFrame, comments: DataFrame, embed: Embedder, synthesize,
     lines = F.transform(F.slice("matches", 1, findings.MAX_COMMENTS), lambda m, i: text.evidence_line(i, m["similarity"], m["body"], m["path"]))
     requests = todo.select("review_id", "pos", "hunk", F.to_json(lines).alias("comments"), F.left(F.col("changed_context"), F.lit(findings.MAX_CONTEXT)).alias("changed_context"), F.slice("matches", 1, findings.MAX_COMMENTS).alias("candidates"), "truncated")
     kinds = ", ".join(f"`{n}` {k}" for n, k in requests.dtypes)
-    replies = _settled(findings.synthesized(requests, synthesize, kinds, ["hunk", "comments", "changed_context"]))
+    replies = settled(findings.synthesized(requests, synthesize, kinds, ["hunk", "comments", "changed_context"]))
     said = findings.validated(replies.where("not failed")).select("review_id", "pos", "reply_pos", "concern", "evidence", "confidence", "suggested_check", "is_inference", "source_comments")
     every = capped.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hunk"))), lambda x: x["hunk"]), "\n").alias("every"))
     mine = said.join(every, "review_id").join(clustered.select("review_id", "pos", "hunk"), ["review_id", "pos"])
@@ -96,9 +96,9 @@ def evaluate(comments: DataFrame, split_date, embed: Embedder, concerns, judge:
     picked = evalsplit.stratified_split(pool, ["repo_owner", "repo_name"], ["comment_created_at", "github_comment_id"], **sizes)
     asked = picked.select(F.col("github_comment_id").alias("query_id"), F.col("diff_hunk").alias("hunk"), F.lit(split_date).cast("timestamp").alias("before_date"), F.col("embedding").alias("vector"), "part", F.col("body").alias("real_comment"))
     hits = retrieval.similar_comments_for_eval(asked, comments, comments.select("repo_owner", "repo_name").distinct())
-    said = _settled(embedded(concerns(hits), "concern", embed, "concern_vector")).join(embedded(asked.select("query_id", "real_comment"), "real_comment", embed, "body_vector"), "query_id")
+    said = settled(embedded(concerns(hits), "concern", embed, "concern_vector")).join(embedded(asked.select("query_id", "real_comment"), "real_comment", embed, "body_vector"), "query_id")
     scored = said.withColumn("similarity", cosine_similarity(F.col("concern_vector"), F.col("body_vector"))).drop("concern_vector", "body_vector")
-    best = _settled(metrics.best_match(scored, ["query_id"], "concern"))
+    best = settled(metrics.best_match(scored, ["query_id"], "concern"))
     counts = scored.groupBy("query_id").agg(F.count("*").cast("int").alias("num_concerns"))
     found = (
         asked.select("query_id", "part", "real_comment").join(hits.select("query_id").distinct().withColumn("had_retrieval", F.lit(True)), "query_id", "left").join(counts, "query_id", "left")
@@ -111,7 +111,7 @@ def evaluate(comments: DataFrame, split_date, embed: Embedder, concerns, judge:
     least, test = floor.first().floor, found.where("part = 'test'")
     if judge:
         close = best.where(F.col("similarity") >= least).join(test.select("query_id"), "query_id", "left_semi")
-        judged = _settled(judged_pairs(close, judge, "concern", "real_comment"))
+        judged = settled(judged_pairs(close, judge, "concern", "real_comment"))
         test = test.join(judged.select("query_id", F.col("same_concern").alias("judge_confirmed"), "judge_reason"), "query_id", "left")
     else:
         test = test.withColumns(unjudged)
