@@ -11,7 +11,8 @@ STOP_WORDS = [
     "this", "to", "with", "without", "which", "could", "should", "would",
     "issue", "check", "verify", "ensure", "file", "code", "concern",
 ]
-IDENTIFIER = r"\b[A-Z][A-Z0-9_]{3,}\b"
+# ASCII boundaries, written out: what \b takes for a word beside letters like É depends on the version of Java.
+IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]{3,}(?![A-Za-z0-9_])"
 MISSING_SYMBOL_CLAIM = r"(?i)\b(undefined|not defined|unimported|not imported|missing import|implicit.any)\b"
 TYPE_CLAIM = r"(?i)\b(implicit.any|type information|type annotation|explicit type)\b"
 MISSING_SYMBOL_FAMILY = r"undefined|not defined|unimported|not imported|missing import"
@@ -26,7 +27,7 @@ def strip(c: Column) -> Column:
 
 
 def identifiers(c: Column) -> Column:
-    """Distinct upper-case identifiers of four characters or more, in order of appearance."""
+    """Distinct upper-case ASCII identifiers of four characters or more, in order of appearance; any other letter ends one."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(IDENTIFIER), F.lit(0)))
 
 

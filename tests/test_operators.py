@@ -329,3 +329,8 @@ def test_replay_of_many_claims_and_a_long_one(spark):
         want.append((key, seq, result, states[key] and states[key]["status"], dead))
     got = claims.replayed(table.repartition(7), "claim_key").select("claim_key", "seq", "result", "status", "dead_letter").collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_identifiers_end_at_letters_outside_ascii(spark):
+    df = spark.createDataFrame([("\u00c9ELLEQUE, ANREELLE\u00c8 _ABCD ABCD9_ xTAIL ABC",)], "t string")
+    assert df.select(text.identifiers(F.col("t"))).first()[0] == ["ELLEQUE", "ANREELLE", "ABCD9_"]
