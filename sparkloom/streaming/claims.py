@@ -220,7 +220,7 @@ class ClaimProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", EVENT_STATE) if self.event_time else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        events = [_plain(e) for part in rows for e in part.to_dict("records")]
+        events = [_plain(dict(zip(part.columns, e))) for part in rows for e in zip(*(part[c].tolist() for c in part.columns))]
         if not self.event_time:
             yield self.taken(key, sorted(events, key=lambda e: (e["at"], e["seq"])), timerValues.getCurrentProcessingTimeInMs())
             return
@@ -241,8 +241,8 @@ class ClaimProcessor(StatefulProcessor):
         yield self.taken(key, events, now)
 
     def taken(self, key, events: list[dict], now_ms: int) -> pd.DataFrame:
-        state = dict(zip(FIELDS, self.claim.get())) if self.claim.exists() else None
-        out = []
+        held, out = self.claim.get(), []
+        state = dict(zip(FIELDS, held)) if held else None
         for state, row in timed(state and _plain(state), events, now_ms / 1000, self.keep if self.event_time else None):
             out.append((key[0], *row))
         if state is None:
@@ -252,7 +252,7 @@ class ClaimProcessor(StatefulProcessor):
             due = wake(state, self.keep if self.event_time else None)
             if due is not None:
                 self.handle.registerTimer(max(math.ceil(due * 1000), now_ms + 1))
-        return pd.DataFrame(out, columns=[self.key, *RESULT]).astype({"seq": "Int64", "attempts": "Int64"})
+        return pd.DataFrame(out, columns=[self.key, *RESULT], dtype=object)
 
     def close(self) -> None:
         pass
