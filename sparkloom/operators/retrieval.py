@@ -17,6 +17,7 @@ MIN_HUNK = 30
 BONUS = {"identifier": 0.08, "suffix": 0.025, "test": 0.025, "repo": 0.02}
 
 
+SLACK = 1e-9  # over what rounding does to a cosine
 FOUND = "query_id long, id long, similarity double"
 
 
@@ -25,29 +26,50 @@ def vector_rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product of each row of ``a`` with that of ``b``, summed in order: the same bits wherever two rows lie."""
+    total = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        total += a[:, d] * b[:, d]
+    return total
+
+
 def best_rows(queries: pa.Table, corpus: pa.RecordBatch | pa.Table, width: int, threshold: float, limit: int, exclude_self: bool) -> Iterator[pa.RecordBatch]:
-    """The ``limit`` best corpus rows for each query out of every 4,096, by matrix products of bounded size."""
+    """The ``limit`` best corpus rows for each query out of every 4,096.
+
+    Matrix products of bounded size propose them; as their last bits depend on where a row lies, the similarity of those is computed
+    pair by pair, so that equal vectors tie and the lower id comes first."""
     ids, wanted = queries.column("query_id").to_numpy(), vector_rows(queries.column("vector"), width)
     before = queries.column("before").to_numpy() if "before" in queries.column_names else None
-    unit = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+    length = np.sqrt(dots(wanted, wanted))
+    unit = wanted / np.where(length > 0, length, 1)[:, None]
     for k in range(0, corpus.num_rows, 4096):
         some = corpus.slice(k, 4096)
         x, own = vector_rows(some.column("vector"), width), some.column("id").to_numpy()
         at = None if before is None else some.column("at").to_numpy()
-        norm = np.linalg.norm(x, axis=1)
-        for j in range(0, len(ids), 1024):
-            asked = slice(j, j + 1024)
-            score = np.where(norm > 0, unit[asked] @ x.T / np.where(norm > 0, norm, 1), 0.0)
-            fits = score >= threshold
+        norm = np.sqrt(dots(x, x))
+        other = np.where(norm > 0, x.T, 0) / np.where(norm > 0, norm, 1)
+        for j in range(0, len(ids), 256):
+            asked = slice(j, j + 256)
+            score = unit[asked] @ other
+            fits = score >= threshold - SLACK
             if before is not None:
                 fits &= at[None] < before[asked, None]
             if exclude_self:
                 fits &= ids[asked, None] != own[None]
             if score.shape[1] > limit:
-                score = np.where(fits, score, -np.inf)
-                fits &= score >= -np.partition(-score, limit - 1, axis=1)[:, limit - 1 : limit]
+                score[~fits] = -np.inf
+                last = score.shape[1] - limit
+                fits &= score >= np.partition(score, last, axis=1)[:, last : last + 1] - SLACK
             q, c = np.nonzero(fits)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[asked][q]), pa.array(own[c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
+            q += j
+            size = length[q] * norm[c]
+            inner = [dots(wanted[q[h : h + 16384]], x[c[h : h + 16384]]) for h in range(0, len(q), 16384)]
+            exact = np.where(size > 0, np.concatenate([[], *inner]) / np.where(size > 0, size, 1), 0.0)
+            best = np.lexsort((own[c], -exact, q))
+            nth = np.arange(len(q)) - np.searchsorted(q[best], q[best])
+            best = best[(nth < limit) & (exact[best] >= threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[best]]), pa.array(own[c[best]]), pa.array(exact[best])], names=["query_id", "id", "similarity"])
 
 
 def top_similar(queries: DataFrame, corpus: DataFrame, limit: int, threshold: float = -1.0, exclude_self: bool = False, block_bytes: int = 32 << 20) -> DataFrame:

@@ -6,6 +6,8 @@ import hmac
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +336,24 @@ def test_replay_of_many_claims_and_a_long_one(spark):
 def test_identifiers_end_at_letters_outside_ascii(spark):
     df = spark.createDataFrame([("\u00c9ELLEQUE, ANREELLE\u00c8 _ABCD ABCD9_ xTAIL ABC",)], "t string")
     assert df.select(text.identifiers(F.col("t"))).first()[0] == ["ELLEQUE", "ANREELLE", "ABCD9_"]
+
+
+def test_equal_vectors_tie_wherever_they_lie(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((37, 64)).astype("float32").astype(float)] * 90)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>").repartition(3)
+    got = retrieval.top_similar(v.where("id % 111 = 0").withColumnRenamed("id", "query_id"), v, 100).orderBy("query_id", "nth").collect()
+    for q in range(0, len(x), 111):
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 100 and [r.id for r in mine[:90]] == list(range(q % 37, len(x), 37))
+        assert len({r.similarity for r in mine}) == 2
+
+
+def test_search_holds_small_tiles(monkeypatch):
+    seen = []
+    real = retrieval.np.partition
+    monkeypatch.setattr(retrieval.np, "partition", lambda a, *rest, **more: (seen.append(a.size), real(a, *rest, **more))[1])
+    x = np.random.default_rng(2).standard_normal((5000, 4))
+    side = lambda name, n: pa.table({name: pa.array(range(n)), "vector": pa.array(x[:n].tolist())})
+    found = sum(b.num_rows for b in retrieval.best_rows(side("query_id", 600), side("id", 5000), 4, -1.0, 3, False))
+    assert found == 600 * 3 * 2 and max(seen) <= 256 * 4096
