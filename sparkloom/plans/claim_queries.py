@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.plans import tables as t
@@ -115,5 +117,7 @@ def st1(spark, d):
 @query("st9_current_stream", "WITH w AS (SELECT ((epoch_us(max(ts)) // 1000) - 600000) * 1000 AS w FROM events) SELECT event_id FROM events e WHERE epoch_us(ts) + 43200000000 <= (SELECT w FROM w) AND NOT EXISTS (SELECT 1 FROM events h WHERE h.user_id = e.user_id AND h.event_type <> e.event_type AND h.ts > e.ts AND h.ts <= e.ts + INTERVAL 12 HOUR)")
 def st9(spark, d):
     """Events that no event of another kind by the same user follows within twelve hours, up to the watermark."""
-    side = lambda: t.streamed(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return running.drained(heads.still_current(side(), side(), ["user_id"], "event_type", "ts", "12 hours", "10 minutes").select("event_id"), "heads")
+    e = t.streamed(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    sink = heads.StillCurrent(running.shared_folder(spark, "current"), ("user_id",), "event_type", "ts", timedelta(hours=12), timedelta(minutes=10))
+    running.drained(e, "heads", sink)
+    return sink.rows(spark, e.schema).select("event_id")
